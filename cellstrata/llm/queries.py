@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellstrata.llm import decontaminate, tokens
+from cellstrata.llm import decontaminate, langid, tokens, toxicity
 from cellstrata.runtime import ship
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -50,6 +50,27 @@ from d left join h using (doc_id) left join it using (doc_id)
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rest = _share("doc_id", 4)
+    model = langid.learn(docs, F.col("doc_id").isNotNull() & (rest != 2))
+    said = langid.identify(docs, *model, keep=["doc_id"])
+    return said.select("row.doc_id", F.coalesce(_share("row.doc_id", 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_share("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), keep=["doc_id"])
+    return scored.select(
+        "row.doc_id",
+        F.coalesce(_share("row.doc_id", 5) == 0, F.lit(True)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "offending",
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(_table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"])
     return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
