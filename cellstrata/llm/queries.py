@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellstrata.llm import chat, decontaminate, langid, neighbours, tokens, toxicity
+from cellstrata.llm import chat, decontaminate, langid, lines, mixing, neighbours, tokens, toxicity
 from cellstrata.runtime import ship
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -101,6 +101,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_recurring(_table(spark, sf_dir, "documents"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL_OP8 = f"with {lines.sql()} select doc_id, n_lines, n_dropped, sha256(text) kept_sha256 from kept"
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.sample(_table(spark, sf_dir, "documents"))
+    return mixed.select("row.doc_id", "n_words", "topic", F.round("probability", 6).alias("probability"), "sampled")
+
+
+SQL_OP9 = f"with {mixing.sql()} select doc_id, n_words, topic, round(probability, 6) probability, sampled from mixed"
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(_table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"])
     return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -111,4 +127,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": SQL_OP1, "op5_chat_formatting": SQL_OP5}
+    return {"op1_benchmark_decontamination": SQL_OP1, "op5_chat_formatting": SQL_OP5, "op8_line_dedup": SQL_OP8, "op9_source_mixing": SQL_OP9}
