@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellstrata.llm import chat, decontaminate, langid, lines, mixing, neighbours, tokens, toxicity
+from cellstrata.llm import chat, decontaminate, jaccard, langid, lines, mixing, neighbours, tokens, toxicity
 from cellstrata.runtime import ship
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +62,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("row.doc_id", F.coalesce(_share("row.doc_id", 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents"))
+
+
+SQL_OP4 = rf"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+'), []) w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from w, unnest(range(1, greatest(len(w) - 3, 2))) t(i) where len(w) > 0),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+eb as (select a, b from e union all select b, a from e),
+r as (select distinct a doc_id, a c from eb union select r.doc_id, b from r join eb on eb.a = r.c),
+m as (select doc_id, min(c) c from r group by 1)
+select w.doc_id, coalesce(n, 0) n_shingles, coalesce(c, w.doc_id) component_id from w left join n using (doc_id) left join m using (doc_id)
+"""
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
@@ -127,4 +144,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": SQL_OP1, "op5_chat_formatting": SQL_OP5, "op8_line_dedup": SQL_OP8, "op9_source_mixing": SQL_OP9}
+    return {"op1_benchmark_decontamination": SQL_OP1, "op4_ngram_jaccard_join": SQL_OP4, "op5_chat_formatting": SQL_OP5, "op8_line_dedup": SQL_OP8, "op9_source_mixing": SQL_OP9}
