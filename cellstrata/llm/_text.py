@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,3 +151,25 @@ def annotate(docs: DataFrame, fn: Callable, fields: list[T.StructField], keep: l
     row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
     df = docs.select(row, F.col(f"`{text}`").alias("text"))
     return df.mapInArrow(fn, T.StructType([df.schema["row"], *fields]))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    head = np.array([len(arrays), *[len(a) for a in arrays], *[a.dtype.itemsize for a in arrays]], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+
+
+def unpack(data: bytes, *kinds) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 1 + 2 * n)
+    out, at = [], head.nbytes
+    for size, width, kind in zip(head[1 : 1 + n].tolist(), head[1 + n :].tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, size, at))
+        at += size * width
+    return out
+
+
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Splits hashes evenly by their upper halves; the lower half names one within its bucket."""
+    return ((x >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)

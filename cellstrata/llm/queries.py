@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellstrata.llm import chat, decontaminate, jaccard, langid, lines, mixing, neighbours, tokens, toxicity
+from cellstrata.llm import chat, decontaminate, jaccard, langid, lines, mixing, neighbours, suffixes, tokens, toxicity
 from cellstrata.runtime import ship
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -105,6 +105,11 @@ from t group by conv_id
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(_table(spark, sf_dir, "documents"), with_kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(_share("doc_id", 5) != 0)
