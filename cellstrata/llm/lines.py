@@ -20,18 +20,22 @@ occurrence stays. A document may end up empty: ``drop_recurring`` leaves that to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellstrata.runtime import cut
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILAR = 3, 4, 3, 0.8
+BITS = 20
 
 
 def masked(line: Column) -> Column:
     """The line with single blanks between tokens and its variable fields as ``<*>``."""
-    plain = F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))
-    return F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
+    odd = line.rlike(r"[\x09-\x0D]|  |^ | $")
+    plain = F.when(odd, F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))).otherwise(line)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
 
 
 def _tokens(ms: Column) -> Column:
@@ -42,32 +46,44 @@ def _key(ms: Column) -> Column:
     return F.struct(F.xxhash64(ms).alias("a"), F.xxhash64(F.lit(1), ms).alias("b"))
 
 
+def _bits(df: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test whether a hash may be among ``df``'s: a bitmap of 2^BITS bits, whatever the rows; false hits are harmless."""
+    place = F.pmod(F.col(column), F.lit(1 << BITS))
+    rows = df.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = [0] * (1 << (BITS - 6))
+    for r in rows.collect():  # at most 2^BITS / 64
+        words[r.w] = r.b
+    table = F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<bigint>")
+    return lambda h: F.getbit(F.element_at(table, (F.shiftright(F.pmod(h, F.lit(1 << BITS)), 6) + 1).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+
+
 def templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of each document's distinct lines; (key, n_docs, first_doc, template) of the lines whose template recurs."""
-    lines = docs.select("doc_id", F.explode(F.split(F.col(text), "\n")).alias("line")).select("doc_id", masked(F.col("line")).alias("ms"))
+    """(doc_id, key) of each document's distinct lines; (key, n_docs, first_doc) of the lines whose template recurs."""
+    # Masked inside the array, so that no later filter or hash has it computed again.
+    lines = docs.select("doc_id", F.explode(F.transform(F.split(F.col(text), "\n"), masked)).alias("ms"))
     lines = lines.withColumn("n", F.when(F.col("ms") != "", _tokens(F.col("ms"))).otherwise(0)).where(F.col("n") >= min_tokens)
-    keyed = lines.withColumns({"key": _key(F.col("ms")), "leaf": F.struct("n", F.xxhash64(F.substring_index("ms", " ", depth)).alias("lead"))})
-    held = cut(keyed.groupBy("key", "leaf", "doc_id").agg(F.lit(1).alias("one")).drop("one"), "lines")
-    counts = held.groupBy("key", "leaf").agg(F.count("doc_id").alias("docs"))
-    leaves = counts.groupBy("leaf").agg(F.sum("docs").alias("most"), F.count("*").alias("kinds")).where(F.col("most") >= min_docs).select("leaf")
-    able = cut(counts.join(leaves, "leaf"), "leaves")  # one row per masked line in the leaves that may recur
-    said = keyed.join(able.select("key", "docs"), "key").groupBy("key", "leaf", "docs").agg(F.first("ms").alias("ms"))
-    said = cut(said, "templates")
-    order = Window.partitionBy("leaf").orderBy(F.desc("docs"), "ms")
-    seeds = said.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("leaf", F.col("key").alias("seed"), F.col("ms").alias("seed_ms"))
+    lines = lines.withColumn("leaf", F.xxhash64("n", F.substring_index("ms", " ", depth)))
+    held = lines.select(_key(F.col("ms")).alias("key"), "n", "leaf", "doc_id").distinct()
+    held = cut(held, "lines")
+    counts = cut(held.groupBy("key", "n", "leaf").agg(F.count("doc_id").alias("docs")), "counts")
+    leaves = counts.groupBy("leaf").agg(F.sum("docs").alias("most"), F.count("*").alias("kinds")).where(F.col("most") >= min_docs)
+    leaves = cut(leaves.select("leaf", "kinds"), "leaves")
+    able = counts.join(leaves, "leaf")
+    # Only leaves of several masked lines need the lines themselves; a bitmap keeps most others at the scan.
+    several = leaves.where("kinds > 1")
+    may = _bits(several, "leaf")
+    near = able.where("kinds > 1").select("key", "n", "leaf", "docs")
+    said = lines.where(may(F.col("leaf"))).select(_key(F.col("ms")).alias("key"), "ms").distinct()
+    said = cut(said.join(near, "key"), "templates")
+    seeds = cut(said.groupBy("leaf").agg(F.min(F.struct((-F.col("docs")).alias("d"), "ms", "key")).alias("seed")), "seeds")
     pairs = said.join(seeds, "leaf")
-    same = F.size(F.filter(F.zip_with(F.split("ms", " "), F.split("seed_ms", " "), lambda a, b: a == b), lambda x: x))
-    joins = same >= F.lit(similar) * F.col("leaf.n")
-    group = pairs.select(
-        "key",
-        F.when(joins, F.col("seed")).otherwise(F.col("key")).alias("group"),
-        F.when(joins, F.array_join(F.zip_with(F.split("ms", " "), F.split("seed_ms", " "), lambda a, b: F.when(a == b, a).otherwise("<*>")), " ")).otherwise(F.col("ms")).alias("template"),
-    )
-    group = cut(group, "groups")
-    # Distinct documents of each template: first within (group, document), then of the group.
-    spread = held.select("key", "doc_id").join(group.select("key", "group"), "key").groupBy("group", "doc_id").agg(F.lit(1).alias("one"))
+    same = F.size(F.filter(F.zip_with(F.split("ms", " "), F.split("seed.ms", " "), lambda a, b: a == b), lambda x: x))
+    group = pairs.select("key", F.when(same >= F.lit(similar) * F.col("n"), F.col("seed.key")).otherwise(F.col("key")).alias("group"))
+    group = cut(group.unionByName(able.where("kinds = 1").select("key", F.col("key").alias("group"))), "groups")
+    # Distinct documents of each template: first within (template, document), then of the template.
+    spread = held.select("key", "doc_id").join(group, "key").select("group", "doc_id").distinct()
     recurs = spread.groupBy("group").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    return held, group.join(recurs, "group").select("key", "n_docs", "first_doc", "template")
+    return held, cut(group.join(cut(recurs, "recurs"), "group").select("key", "n_docs", "first_doc"), "recurring")
 
 
 def drop_recurring(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
