@@ -31,11 +31,17 @@ MIN_DOCS, MIN_TOKENS, DEPTH, SIMILAR = 3, 4, 3, 0.8
 BITS = 20
 
 
-def masked(line: Column) -> Column:
-    """The line with single blanks between tokens and its variable fields as ``<*>``."""
-    odd = line.rlike(r"[\x09-\x0D]|  |^ | $")
-    plain = F.when(odd, F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))).otherwise(line)
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+def masked(text: Column) -> Column:
+    """A text's lines with single blanks between tokens and variable fields as ``<*>``.
+
+    Each step is a pass of its own over the array, and its costly part is for the lines that need it:
+    inside one lambda nothing is shared between its branches.
+    """
+    lines = F.split(text, "\n")
+    even = lambda x: F.trim(F.regexp_replace(x, r"[\x09-\x0D\x20]+", " "))
+    odd = lambda x: F.contains(x, F.lit("  ")) | F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" "))
+    plain = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.transform(lines, even)).otherwise(F.transform(lines, lambda x: F.when(odd(x), even(x)).otherwise(x)))
+    return F.transform(plain, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(x))
 
 
 def _tokens(ms: Column) -> Column:
@@ -60,7 +66,7 @@ def _bits(df: DataFrame, column: str) -> Callable[[Column], Column]:
 def templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of each document's distinct lines; (key, n_docs, first_doc) of the lines whose template recurs."""
     # Masked inside the array, so that no later filter or hash has it computed again.
-    lines = docs.select("doc_id", F.explode(F.transform(F.split(F.col(text), "\n"), masked)).alias("ms"))
+    lines = docs.select("doc_id", F.explode(masked(F.col(text))).alias("ms"))
     lines = lines.withColumn("n", F.when(F.col("ms") != "", _tokens(F.col("ms"))).otherwise(0)).where(F.col("n") >= min_tokens)
     lines = lines.withColumn("leaf", F.xxhash64("n", F.substring_index("ms", " ", depth)))
     held = lines.select(_key(F.col("ms")).alias("key"), "n", "leaf", "doc_id").distinct()
@@ -93,7 +99,8 @@ def drop_recurring(docs: DataFrame, *, text: str = "text", **options) -> DataFra
     gone = gone.groupBy("doc_id").agg(F.collect_list("key").alias("gone")).withColumnRenamed("doc_id", "gone_id")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = F.split(F.col(f"row.`{text}`"), "\n")
-    kept = F.when(F.col("gone").isNull(), whole).otherwise(F.filter(whole, lambda x: ~F.array_contains(F.col("gone"), _key(masked(x)))))
+    both = F.filter(F.zip_with(whole, masked(F.col(f"row.`{text}`")), lambda x, m: F.struct(x.alias("x"), _key(m).alias("k"))), lambda s: ~F.array_contains(F.col("gone"), s.k))
+    kept = F.when(F.col("gone").isNull(), whole).otherwise(F.transform(both, lambda s: s.x))
     both = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left").select("row", kept.alias("kept"), F.coalesce(F.size(whole), F.lit(0)).alias("lines"))
     return both.select(
         "row",
