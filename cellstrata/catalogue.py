@@ -474,7 +474,7 @@ def snapshot_description(spark, d):
     return render.describe_snapshot(snapshot(spark, build_snapshot(spark, d)[0], "description")).drop("ttl").withColumnRenamed("table", "table_name")
 
 
-@_query("snapshot_references", "select 6 as skipped, 12 as read_files")
+@_query("snapshot_references", "select 6 as skipped, cast(4 * count(distinct case when o_orderkey < 500 then 0 when o_orderkey < 2000 then 1 else 2 end) as int) read_files from orders")
 def snapshot_references(spark, d):
     files = snapshot(spark, build_snapshot(spark, d)[0], "files")
     return files.agg(F.count("reference").cast("int").alias("skipped"), F.count(F.when(F.col("reference").isNull(), 1)).cast("int").alias("read_files"))
