@@ -1,0 +1 @@
+"""Nothing streams: snapshots are immutable and a scan over one is bounded, so there is no stateful operator to offer."""
