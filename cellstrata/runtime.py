@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -61,13 +62,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder in scratch storage when the application ends."""
+    atexit.register(_remove, spark, path)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once as Parquet in the shared scratch folder and read it back: cuts lineage and recomputation.
 
-    The files outlive lost executors and are removed when the application ends.
+    The files outlive lost executors. They are removed when the application ends, or by :func:`drop`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Remove what :func:`cut` wrote, once all that is made of it has been written itself; and let Spark's
+    cleaner know, which removes the shuffle files of plans that nobody holds any more."""
+    for df in cuts:
+        _remove(df.sparkSession, df._scratch)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
