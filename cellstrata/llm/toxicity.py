@@ -88,7 +88,7 @@ def sentence_scores(model: Model, texts: pa.Array):
         pair = np.unique(where[may[ok]] * len(model.words) + at[ok])  # a feature counts once in a sentence
         np.add.at(z, pair // len(model.words), model.weights[pair % len(model.words)])
     begin = np.flatnonzero(np.diff(np.concatenate([[-1], sentence])))
-    last = np.append(begin[1:], len(s)) - 1
+    last = np.append(begin[1:], len(s))[: len(begin)] - 1
     doc = X.owner(bound)
     return z, bound, s[begin] - offs[doc], e[last] - offs[doc]
 
@@ -100,7 +100,7 @@ def noisy_or(z: np.ndarray, bound: np.ndarray) -> np.ndarray:
 
 def fit(hashes: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, label: np.ndarray, prior: float, rounds: int = 400) -> Model:
     """hashes, sentence: of all features; doc_of: by sentence; label: by document; prior: share of label 1 among all."""
-    empty = Model(np.zeros(0, X.U64), np.zeros(0), -40.0)
+    empty = Model(np.zeros(0, X.U64), np.zeros(0), float("-inf"))
     n_pos, n_neg = int(label.sum()), int((1 - label).sum())
     if not n_pos or not n_neg:
         return empty
@@ -110,9 +110,12 @@ def fit(hashes: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, label: np.
     pos = np.bincount(w[label[d] == 1], minlength=len(vocab))
     neg = np.bincount(w[label[d] == 0], minlength=len(vocab))
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (n_pos - pos + 0.5) + 1 / (neg + 0.5) + 1 / (n_neg - neg + 0.5))
-    chosen = np.flatnonzero((np.abs(z) > 4) & (pos + neg >= 3))
-    chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:5000]]
+    # the likelihood ratio that a feature and the label go together, as a number of deviations
+    part = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0.0)
+    has, n = pos + neg, n_pos + n_neg
+    z = np.sqrt(np.maximum(0, 2 * (part(pos, has * n_pos / n) + part(neg, has * n_neg / n) + part(n_pos - pos, (n - has) * n_pos / n) + part(n_neg - neg, (n - has) * n_neg / n))))
+    chosen = np.flatnonzero((z > 4.5) & (has >= 3))
+    chosen = chosen[np.argsort(-z[chosen], kind="stable")[:5000]]
     chosen.sort()
     if not len(chosen):
         return empty
@@ -146,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, tex
     share = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
     if len(share) < 2:
-        return Model(np.zeros(0, X.U64), np.zeros(0), -40.0)
+        return Model(np.zeros(0, X.U64), np.zeros(0), float("-inf"))
     one = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = one(0).unionByName(one(1))  # at most 2 * per_class rows of 12 bytes
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").repartition(1)
@@ -168,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, tex
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     found = rows.mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0].model) if found else Model(np.zeros(0, X.U64), np.zeros(0), -40.0)
+    return pickle.loads(found[0].model) if found else Model(np.zeros(0, X.U64), np.zeros(0), float("-inf"))
 
 
 _FIELDS = [
