@@ -55,6 +55,19 @@ WORD = np.ones(256, dtype=bool)
 WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
+def _order(own: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Sorts by (own, key). Both fit one word but for the key's last bits, whose rare ties are sorted in full."""
+    bits = max(1, int(own[-1] if len(own) else 0).bit_length())
+    if bits <= 16:
+        word = own.astype(X.U64) << X.U64(64 - bits) | key >> X.U64(bits)
+        order = np.argsort(word)
+        told = word[order]
+        same = np.flatnonzero(told[1:] == told[:-1])
+        if not len(same) or (key[order[same]] == key[order[same + 1]]).all():
+            return order
+    return np.lexsort((key, own))
+
+
 def shingle_sets(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, text after text and sorted within, and each text's first one."""
     buf, offs = X.flat(texts)
@@ -64,7 +77,7 @@ def shingle_sets(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray,
     if seed:
         g = X.mix(g ^ X.U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     own = np.searchsorted(first, at, "right") - 1
-    order = np.lexsort((g, own))
+    order = _order(own, g)
     g, own = g[order], own[order]
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
@@ -89,31 +102,25 @@ def least_overlap(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def _sets(docs: DataFrame, shingle: int, seed: int, text: str) -> DataFrame:
-    def run(batches):
-        for b in X.pieces(batches):
-            g, first = shingle_sets(b.column(1), shingle, seed)
-            lo, hi = _fingerprints(g, first)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64))], ["doc_id", "n", "c", "hi"])
-
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, c long, hi long")
-
-
-def _frequent(docs: DataFrame, shingle: int, seed: int, total: int, text: str, most: int, least: int) -> np.ndarray:
-    """Hashes of frequent shingles: at most ``most``, as each is counted total / most times or more."""
-    floor = max(least, -(-total // most))
+def _sets(docs: DataFrame, shingle: int, seed: int, text: str, most: int) -> DataFrame:
+    """(doc_id, n, c, hi) of every row, and (h, times) of shingles that one chunk of documents has twice or more,
+    and more often than half the share of them that makes a shingle frequent."""
 
     def run(batches):
         held, size = [], 0
+        empty = lambda n: pa.nulls(n, pa.int64())
+        names = ["doc_id", "n", "c", "hi", "h", "times"]
 
         def told():
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            # what is below half its even share of the threshold here is left out of the count
-            at = np.flatnonzero(n >= max(2, floor * size // (2 * max(total, 1))))
-            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(n[at], pa.int64())], ["h", "n"])
+            at = np.flatnonzero(n >= max(2, size // (2 * most)))
+            return pa.RecordBatch.from_arrays([*[empty(len(at))] * 4, pa.array(h[at].view(np.int64)), pa.array(n[at], pa.int64())], names)
 
         for b in X.pieces(batches):
-            g, _ = shingle_sets(b.column(0), shingle, seed)
+            g, first = shingle_sets(b.column(1), shingle, seed)
+            lo, hi = _fingerprints(g, first)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), empty(n), empty(n)], names)
             held.append(g)
             size += len(g)
             if size >= _CHUNK:
@@ -122,7 +129,13 @@ def _frequent(docs: DataFrame, shingle: int, seed: int, total: int, text: str, m
         if held:
             yield told()
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).select("h")
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, c long, hi long, h long, times long")
+
+
+def _frequent(told: DataFrame, total: int, most: int, least: int) -> np.ndarray:
+    """Hashes of frequent shingles: at most ``most``, as each is counted total / most times or more."""
+    floor = max(least, -(-total // most))
+    rows = told.groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= floor).select("h")
     return np.sort(np.array([r.h for r in rows.toLocalIterator()], dtype=np.int64).view(X.U64))
 
 
@@ -133,7 +146,8 @@ def _classes(size_rank: int, percent: int) -> int:
 
 
 def signatures(g: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent: int):
-    """For sets as of shingle_sets: signature, set, position in the set's order, and whether it is of frequent shingles."""
+    """For sets as of shingle_sets: signature, set, position in the set's order, whether it is of frequent shingles;
+    and by set whether all of its signatures are rare shingles."""
     n = np.diff(first)
     own = X.owner(first)
     if len(frequent):
@@ -142,7 +156,7 @@ def signatures(g: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent:
     else:
         often = np.zeros(len(g), dtype=bool)
     key = X.mix(g ^ X.U64(0x5851F42D4C957F2D))
-    order = np.lexsort((key, often, own))
+    order = _order(2 * own + often, key) if len(own) else own
     key, often = key[order], often[order]
     place = np.arange(len(g)) - first[own]
     need = n - least_overlap(n, percent) + 1
@@ -178,7 +192,7 @@ def signatures(g: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent:
     else:
         extra = (np.zeros(0, X.U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     kind = np.concatenate([np.zeros(len(out[0][0]), bool), np.ones(len(extra[0]), bool)])
-    return *(np.concatenate([a, b]) for a, b in zip(out[0], extra, strict=True)), kind
+    return *(np.concatenate([a, b]) for a, b in zip(out[0], extra, strict=True)), kind, rare >= need
 
 
 def _pairs(order: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,24 +218,38 @@ def _signed(docs: DataFrame, shingle: int, seed: int, percent: int, frequent: np
         for b in X.pieces(batches):
             g, first = shingle_sets(b.column(0), shingle, seed)
             lo, _ = _fingerprints(g, first)
-            sig, d, pos, often = signatures(g, first, held.value, percent)
+            sig, d, pos, often, pure = signatures(g, first, held.value, percent)
             n = np.diff(first)
             for at in range(0, len(sig), 1 << 18):
                 p = slice(at, at + (1 << 18))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig[p].view(np.int64)), pa.array(lo.view(np.int64)[d[p]]), pa.array(n[d[p]], pa.int32()), pa.array(pos[p], pa.int32()), pa.array(often[p])],
-                    ["sig", "c", "n", "pos", "often"],
+                    [pa.array(sig[p].view(np.int64)), pa.array(lo.view(np.int64)[d[p]]), pa.array(n[d[p]], pa.int32()), pa.array(pos[p], pa.int32()), pa.array(pure[d[p]]), pa.array(often[p])],
+                    ["sig", "c", "n", "pos", "pure", "often"],
                 )
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sig long, c long, n int, pos int, often boolean")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sig long, c long, n int, pos int, pure boolean, often boolean")
 
 
-def _may_link(percent: int, a: str, b: str):
-    """Length and position bounds of two classes with a common shingle at the given positions."""
-    n1, n2, p1, p2 = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
-    sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+def _sizes_fit(percent: int, n1, n2):
+    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+
+
+def _likely(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of rows for each common signature of classes x and y, the pairs (a, b) that may be similar enough.
+
+    *Position*: of two sets with a common shingle at p1 and p2, at most min(p1, p2) + 1 + min(n1 - p1, n2 - p2) - 1
+    are shared. *Count*: if all signatures of both are single shingles, what is shared up to the end of the prefix
+    that ends first is what the signatures share, and behind it that set has no more than ceil(t n) - 1.
+    """
+    n1, n2, p1, p2 = F.col("xn"), F.col("yn"), F.col("xpos"), F.col("ypos")
     most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return sizes & (most * (100 + percent) >= (n1 + n2) * percent)
+    need = (F.col("xn") + F.col("yn")) * percent
+    by = pairs.groupBy(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b")).agg(
+        F.count("*").alias("s"), F.min(most).alias("most"), F.first("xn").alias("xn"), F.first("yn").alias("yn"), F.min(F.col("xpure") & F.col("ypure")).alias("pure")
+    )
+    behind = F.expr(f"(greatest(xn, yn) * {percent} + 99) div 100 - 1")
+    fit = (F.col("most") * (100 + percent) >= need) & (~F.col("pure") | ((F.col("s") + behind) * (100 + percent) >= need))
+    return by.where(fit).select("a", "b")
 
 
 def _verified(edges: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, seed: int, percent: int, text: str) -> DataFrame:
@@ -262,43 +290,43 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, tex
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     text = "text"
     for seed in range(8):
-        sets = cut(_sets(docs, shingle, seed, text), "jaccard-sets")
+        told = cut(_sets(docs, shingle, seed, text, most_frequent), "jaccard-sets")
+        sets = told.where("h is null").select("doc_id", "n", "c", "hi")
         able = sets.where("n > 0 and doc_id is not null")
         reps = cut(able.groupBy("c", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
         seen = reps.agg(F.count("*").alias("n"), F.countDistinct("c").alias("k")).first()
         if seen.n == seen.k:  # else two classes have one 64-bit hash: hash anew
             break
     total = sets.agg(F.sum("n")).first()[0] or 0
-    known = docs.where("doc_id is not null")
-    frequent = _frequent(known, shingle, seed, total, text, most_frequent, least_frequent)
-    signed = _signed(known, shingle, seed, percent, frequent, text)
+    frequent = _frequent(told.where("h is not null"), total, most_frequent, least_frequent)
+    signed = _signed(docs.where("doc_id is not null"), shingle, seed, percent, frequent, text)
     # A rare shingle's group is bounded by what made it rare, so a window may hold it. Groups of frequent
     # ones have no bound: their leaders come from a combined aggregate and meet them in a join.
-    lead = F.struct(F.xxhash64("c").alias("x"), "c", "n", "pos")
+    lead = F.struct(F.xxhash64("c").alias("x"), "c", "n", "pos", "pure")
     own = Window.partitionBy("sig")
-    rare = signed.where("not often").select("sig", "c", "n", "pos", F.min(lead).over(own).alias("lead"), F.min("c").over(own).alias("c0"), F.max("c").over(own).alias("c1"))
-    cols = ["sig", "c", "n", "pos", F.col("lead.c").alias("lead_c"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos")]
-    live = rare.where("c0 <> c1").select(*cols, F.lit(False).alias("often"))
+    rare = signed.where("not often").select("sig", "c", "n", "pos", "pure", F.min(lead).over(own).alias("lead"), F.min("c").over(own).alias("c0"), F.max("c").over(own).alias("c1"))
+    cols = ["sig", "c", "n", "pos", "pure", "lead"]
+    live = rare.where("c0 <> c1").select(*cols)
     if len(frequent):
         many = cut(signed.where("often").drop("often").distinct(), "jaccard-frequent")
         heads = many.groupBy("sig").agg(F.min(lead).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig", "lead")
-        live = live.unionByName(many.join(heads, "sig").select(*cols, F.lit(True).alias("often")))
-    live = cut(live, "jaccard-live")
-    stars = live.where("c <> lead_c").where(_may_link(percent, "", "lead_")).select(F.col("lead_c").alias("a"), F.col("c").alias("b")).distinct()
-    stars = cut(stars, "jaccard-stars")
+        live = live.unionByName(many.join(heads, "sig").select(*cols))
+    live = cut(live.distinct(), "jaccard-live")
+    side = lambda p, *of: [F.col(c).alias(p + c.rpartition(".")[2]) for c in of]
+    pairs = live.where("c <> lead.c").select("sig", *side("x", "c", "n", "pos", "pure"), *side("y", "lead.c", "lead.n", "lead.pos", "lead.pure"))
+    stars = cut(_likely(pairs.where(_sizes_fit(percent, F.col("xn"), F.col("yn"))), percent), "jaccard-stars")
     links = cut(_verified(stars, docs, reps, shingle, seed, percent, text), "jaccard-links")
     shared = able.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.collect_set("c").alias("all")).where("a <> b").select("a", F.explode("all").alias("b"))
     links = links.unionByName(shared)
     label = cut(components(links), "jaccard-label")
     # Pairs of different components that share a signature and were not looked at yet.
-    told = live.select("sig", "c", "n", "pos").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component")
-    told = cut(told, "jaccard-told")
-    mixed = told.groupBy("sig").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 <> k1").select("sig")
-    mixed = cut(told.join(mixed, "sig").distinct(), "jaccard-mixed")
-    x, y = (mixed.select("sig", *[F.col(c).alias(f"{p}{c}") for c in ("c", "n", "pos", "k")]) for p in ("x", "y"))
-    rest = x.join(y, "sig").where("xk < yk").where(_may_link(percent, "x", "y")).select(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b")).distinct()
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(rest.join(done, ["a", "b"], "left_anti"), "jaccard-rest")
+    placed = live.drop("lead").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component")
+    placed = cut(placed, "jaccard-placed")
+    mixed = placed.groupBy("sig").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 <> k1").select("sig")
+    mixed = cut(placed.join(mixed, "sig"), "jaccard-mixed")
+    x, y = (mixed.select("sig", *side(p, "c", "n", "pos", "pure", "k")) for p in ("x", "y"))
+    rest = _likely(x.join(y, "sig").where("xk < yk").where(_sizes_fit(percent, F.col("xn"), F.col("yn"))), percent)
+    rest = cut(rest.join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
     more = _verified(rest, docs, reps, shingle, seed, percent, text)
     label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     whole = label.join(reps.select(F.col("c").alias("node"), "rep"), "node")
