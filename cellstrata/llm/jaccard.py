@@ -3,10 +3,13 @@
 A document is the set of its distinct shingles of five words. Two documents link when the
 Jaccard similarity of their sets is at least ``percent`` / 100, decided in whole numbers.
 
-*Order and classes.* Shingles that are found in many documents are *frequent*, the others
-rare; rare ones come first, each class in the order of its hashes. Frequent ones are counted
-over all documents, and their number is bounded by total shingles / threshold, so the broadcast
-is at most ``MOST_FREQUENT`` hashes.
+*Order and classes.* All shingles are counted: packed sorted arrays of each chunk's shingles meet
+in groups of the hash space. Those of one document come first in the order, then *rare* ones, then
+*frequent* ones, each class in the order of its hashes. What is found more than once is told to all
+tasks by a bitmap of fixed size, whose false hits only move a shingle to the rare ones; frequent is
+what ``LEAST_FREQUENT`` documents have, or the least power of two times that leaves at most
+``MOST_FREQUENT`` hashes, which are broadcast. A shingle of one document can match nothing, so it
+counts for a prefix but is not indexed.
 
 *Signatures.* A set of n shingles that links shares at least a = ceil(t n) of them, so n - a + 1
 unshared ones are too many. Its prefix grows in the global order until sum(max(0, p - (k - 1)))
@@ -20,7 +23,7 @@ frequent shingles alone too.
 
 *Candidates.* Equal sets are one class. In a group of classes with a common signature, stars
 around one class are verified first and joined into components; then all pairs of different
-components that share a signature, and pass the length and position bounds, are verified.
+components that share a signature, and pass the bounds on length, position and count, are verified.
 So no pair that could join components is left out, and groups of copies are not expanded.
 
 *Verification* fetches the texts of both classes and intersects their sets.
@@ -33,6 +36,7 @@ nothing; rows that share an id link what any of them links.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +49,20 @@ from cellstrata.runtime import cut, ship
 
 SHINGLE, PERCENT = 5, 80
 MOST_FREQUENT = 1 << 20
-LEAST_FREQUENT = 64
+LEAST_FREQUENT = 8
+BITMAP = 1 << 27  # bits
+_GROUP = 2_000_000  # shingles of a group of the hash space
 _CHUNK = 4_000_000
 _SMALL = 64
 _PER_CLASS = 4
+STARS = 2  # rounds after the first; the last one is over all pairs
 
 #: Bytes of words: all but blank and the controls 9 to 13.
 WORD = np.ones(256, dtype=bool)
 WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
-def _order(own: np.ndarray, key: np.ndarray) -> np.ndarray:
+def _sorted(own: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Sorts by (own, key). Both fit one word but for the key's last bits, whose rare ties are sorted in full."""
     bits = max(1, int(own[-1] if len(own) else 0).bit_length())
     if bits <= 16:
@@ -77,7 +84,7 @@ def shingle_sets(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray,
     if seed:
         g = X.mix(g ^ X.U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     own = np.searchsorted(first, at, "right") - 1
-    order = _order(own, g)
+    order = _sorted(own, g)
     g, own = g[order], own[order]
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
@@ -102,41 +109,114 @@ def least_overlap(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def _sets(docs: DataFrame, shingle: int, seed: int, text: str, most: int) -> DataFrame:
-    """(doc_id, n, c, hi) of every row, and (h, times) of shingles that one chunk of documents has twice or more,
-    and more often than half the share of them that makes a shingle frequent."""
+@dataclass
+class Order:
+    """What is known of shingles: those of several documents (a bitmap), and the names of frequent ones, sorted."""
+
+    buckets: int
+    bitmap: np.ndarray
+    frequent: np.ndarray
+
+    def rank(self, g: np.ndarray) -> np.ndarray:
+        """0: of one document, 1: rare, 2: frequent."""
+        name = X.bucket_of(g, self.buckets).astype(X.U64) << X.U64(32) | (g & X.U64(0xFFFFFFFF))
+        word, bit = _place(name, 64 * len(self.bitmap))
+        out = (self.bitmap[word] >> bit & X.U64(1)).astype(np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, name), len(self.frequent) - 1)
+            out[self.frequent[at] == name] = 2
+        return out
+
+
+def _place(name: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    at = X.mix(name) % X.U64(bits)
+    return (at >> X.U64(6)).astype(np.int64), at & X.U64(63)
+
+
+def _sets(docs: DataFrame, shingle: int, seed: int, text: str, buckets: int) -> DataFrame:
+    """(doc_id, n, c, hi) of every row, and (bucket, packed) of each chunk's distinct shingles and their counts."""
 
     def run(batches):
         held, size = [], 0
-        empty = lambda n: pa.nulls(n, pa.int64())
-        names = ["doc_id", "n", "c", "hi", "h", "times"]
+        empty = lambda n, t=pa.int64(): pa.nulls(n, t)
+        names = ["doc_id", "n", "c", "hi", "bucket", "packed"]
 
         def told():
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            at = np.flatnonzero(n >= max(2, size // (2 * most)))
-            return pa.RecordBatch.from_arrays([*[empty(len(at))] * 4, pa.array(h[at].view(np.int64)), pa.array(n[at], pa.int64())], names)
+            edge = np.searchsorted(X.bucket_of(h, buckets), np.arange(buckets + 1))
+            low = (h & X.U64(0xFFFFFFFF)).astype(np.uint32)
+            full = np.flatnonzero(np.diff(edge))
+            rows = []
+            for b in full.tolist():
+                p = slice(edge[b], edge[b + 1])
+                many = np.flatnonzero(n[p] > 1).astype(np.uint32)
+                rows.append(X.pack(np.diff(low[p], prepend=np.uint32(0)), many, n[p][many].astype(np.uint32)))
+            return pa.RecordBatch.from_arrays([*[empty(len(rows))] * 4, pa.array(full, pa.int32()), pa.array(rows, pa.binary())], names)
 
         for b in X.pieces(batches):
             g, first = shingle_sets(b.column(1), shingle, seed)
             lo, hi = _fingerprints(g, first)
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), empty(n), empty(n)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), empty(n, pa.int32()), empty(n, pa.binary())], names)
             held.append(g)
             size += len(g)
             if size >= _CHUNK:
                 yield told()
                 held, size = [], 0
-        if held:
+        if size:
             yield told()
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, c long, hi long, h long, times long")
-
-
-def _frequent(told: DataFrame, total: int, most: int, least: int) -> np.ndarray:
-    """Hashes of frequent shingles: at most ``most``, as each is counted total / most times or more."""
-    floor = max(least, -(-total // most))
-    rows = told.groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= floor).select("h")
-    return np.sort(np.array([r.h for r in rows.toLocalIterator()], dtype=np.int64).view(X.U64))
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, c long, hi long, bucket int, packed binary")
+
+
+def _counted(key, table):
+    """Shingles of a group of the hash space that are found more than once: (name, times)."""
+    low, times = [], []
+    for data in table.column("packed").to_pylist():
+        step, many, n = X.unpack(data, np.uint32, np.uint32, np.uint32)
+        count = np.ones(len(step), dtype=np.int64)
+        count[many] = n
+        low.append(np.cumsum(step, dtype=np.uint32))
+        times.append(count)
+    low, times = np.concatenate(low), np.concatenate(times)
+    by = np.argsort(low, kind="stable")
+    low, times = low[by], times[by]
+    lead = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    total = np.add.reduceat(times, lead)
+    at = np.flatnonzero(total > 1)
+    name = np.int64(key[0].as_py()) << 32 | low[lead[at]].astype(np.int64)
+    return pa.table({"name": pa.array(name, pa.int64()), "times": pa.array(total[at], pa.int64())})
+
+
+def _order(told: DataFrame, buckets: int, most: int, least: int) -> Order:
+    several = cut(told.groupBy("bucket").applyInArrow(_counted, "name long, times long"), "jaccard-several")
+
+    def bits(batches):
+        for b in batches:
+            word, bit = _place(np.asarray(b.column(0)).view(X.U64), BITMAP)
+            word, back = np.unique(word, return_inverse=True)
+            held = np.zeros(len(word), dtype=X.U64)
+            np.bitwise_or.at(held, back, X.U64(1) << bit)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(held.view(np.int64))], ["w", "b"])
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([X.pack(np.asarray(b.column(0)), np.asarray(b.column(1)))], pa.binary())], ["packed"])
+
+    words = several.select("name").mapInArrow(bits, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+    bitmap = np.zeros(BITMAP // 64, dtype=X.U64)  # its words, whatever the documents
+    for r in words.mapInArrow(packed, "packed binary").toLocalIterator():
+        w, b = X.unpack(r.packed, np.int64, np.int64)
+        bitmap[w] = b.view(X.U64)
+    sizes = several.where(F.col("times") >= least).groupBy(F.floor(F.log2(F.col("times") / least)).alias("k")).agg(F.count("*").alias("n")).collect()
+    floor, left = least, sum(r.n for r in sizes)
+    for r in sorted(sizes):
+        if left <= most:
+            break
+        left -= r.n
+        floor = least << (r.k + 1)
+    rows = several.where(F.col("times") >= floor).select("name")  # at most ``most``
+    return Order(buckets, bitmap, np.sort(np.array([r.name for r in rows.toLocalIterator()], dtype=np.int64).view(X.U64)))
 
 
 def _classes(size_rank: int, percent: int) -> int:
@@ -145,23 +225,19 @@ def _classes(size_rank: int, percent: int) -> int:
     return 0 if size < _SMALL else max(1, math.ceil((100 - percent) / 100 * size / _PER_CLASS))
 
 
-def signatures(g: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent: int):
+def signatures(g: np.ndarray, first: np.ndarray, known: Order, percent: int):
     """For sets as of shingle_sets: signature, set, position in the set's order, whether it is of frequent shingles;
-    and by set whether all of its signatures are rare shingles."""
+    and by set whether its prefix has no frequent ones. Shingles of one document are left out."""
     n = np.diff(first)
     own = X.owner(first)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
-        often = frequent[at] == g
-    else:
-        often = np.zeros(len(g), dtype=bool)
+    rank = known.rank(g)
     key = X.mix(g ^ X.U64(0x5851F42D4C957F2D))
-    order = _order(2 * own + often, key) if len(own) else own
-    key, often = key[order], often[order]
+    order = _sorted(4 * own + rank, key) if len(own) else own
+    key, rank = key[order], rank[order]
     place = np.arange(len(g)) - first[own]
     need = n - least_overlap(n, percent) + 1
-    rare = np.bincount(own[~often], minlength=len(n))
-    take = ~often & (place < need[own])
+    rare = np.bincount(own[rank < 2], minlength=len(n))
+    take = (rank == 1) & (place < need[own])
     out = [(key[take], own[take], place[take])]
     pairs = []
     step = math.log(1.25)
@@ -211,8 +287,8 @@ def _pairs(order: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(i), np.concatenate(j)) if i else (none, none)
 
 
-def _signed(docs: DataFrame, shingle: int, seed: int, percent: int, frequent: np.ndarray, text: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+def _signed(docs: DataFrame, shingle: int, seed: int, percent: int, known: Order, text: str) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for b in X.pieces(batches):
@@ -289,46 +365,54 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, tex
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     text = "text"
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(16, total // (6 * _GROUP))
     for seed in range(8):
-        told = cut(_sets(docs, shingle, seed, text, most_frequent), "jaccard-sets")
-        sets = told.where("h is null").select("doc_id", "n", "c", "hi")
+        told = cut(_sets(docs, shingle, seed, text, buckets), "jaccard-sets")
+        sets = told.where("packed is null").select("doc_id", "n", "c", "hi")
         able = sets.where("n > 0 and doc_id is not null")
         reps = cut(able.groupBy("c", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
         seen = reps.agg(F.count("*").alias("n"), F.countDistinct("c").alias("k")).first()
         if seen.n == seen.k:  # else two classes have one 64-bit hash: hash anew
             break
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    frequent = _frequent(told.where("h is not null"), total, most_frequent, least_frequent)
-    signed = _signed(docs.where("doc_id is not null"), shingle, seed, percent, frequent, text)
+    known = _order(told.where("packed is not null").select("bucket", "packed"), buckets, most_frequent, least_frequent)
+    signed = _signed(docs.where("doc_id is not null"), shingle, seed, percent, known, text)
     # A rare shingle's group is bounded by what made it rare, so a window may hold it. Groups of frequent
     # ones have no bound: their leaders come from a combined aggregate and meet them in a join.
     lead = F.struct(F.xxhash64("c").alias("x"), "c", "n", "pos", "pure")
     own = Window.partitionBy("sig")
-    rare = signed.where("not often").select("sig", "c", "n", "pos", "pure", F.min(lead).over(own).alias("lead"), F.min("c").over(own).alias("c0"), F.max("c").over(own).alias("c1"))
     cols = ["sig", "c", "n", "pos", "pure", "lead"]
-    live = rare.where("c0 <> c1").select(*cols)
-    if len(frequent):
+    rare = signed.where("not often").select("sig", "c", "n", "pos", "pure").distinct()
+    live = rare.withColumns({"lead": F.min(lead).over(own), "c0": F.min("c").over(own), "c1": F.max("c").over(own)}).where("c0 <> c1").select(*cols)
+    if len(known.frequent):
         many = cut(signed.where("often").drop("often").distinct(), "jaccard-frequent")
         heads = many.groupBy("sig").agg(F.min(lead).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig", "lead")
         live = live.unionByName(many.join(heads, "sig").select(*cols))
-    live = cut(live.distinct(), "jaccard-live")
+    live = cut(live, "jaccard-live")
     side = lambda p, *of: [F.col(c).alias(p + c.rpartition(".")[2]) for c in of]
+    near = _sizes_fit(percent, F.col("xn"), F.col("yn"))
     pairs = live.where("c <> lead.c").select("sig", *side("x", "c", "n", "pos", "pure"), *side("y", "lead.c", "lead.n", "lead.pos", "lead.pure"))
-    stars = cut(_likely(pairs.where(_sizes_fit(percent, F.col("xn"), F.col("yn"))), percent), "jaccard-stars")
-    links = cut(_verified(stars, docs, reps, shingle, seed, percent, text), "jaccard-links")
+    done = cut(_likely(pairs.where(near), percent), "jaccard-stars")
+    links = _verified(done, docs, reps, shingle, seed, percent, text)
     shared = able.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.collect_set("c").alias("all")).where("a <> b").select("a", F.explode("all").alias("b"))
-    links = links.unionByName(shared)
-    label = cut(components(links), "jaccard-label")
-    # Pairs of different components that share a signature and were not looked at yet.
-    placed = live.drop("lead").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component")
-    placed = cut(placed, "jaccard-placed")
-    mixed = placed.groupBy("sig").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 <> k1").select("sig")
-    mixed = cut(placed.join(mixed, "sig"), "jaccard-mixed")
-    x, y = (mixed.select("sig", *side(p, "c", "n", "pos", "pure", "k")) for p in ("x", "y"))
-    rest = _likely(x.join(y, "sig").where("xk < yk").where(_sizes_fit(percent, F.col("xn"), F.col("yn"))), percent)
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = _verified(rest, docs, reps, shingle, seed, percent, text)
-    label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    label = cut(components(links.unionByName(shared)), "jaccard-label")
+    live = live.drop("lead")
+    for turn in range(1, STARS + 1):
+        # What shares a signature but no component yet.
+        placed = cut(live.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component"), "jaccard-placed")
+        mixed = placed.groupBy("sig").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("x"), "c", "n", "pos", "pure", "k")).alias("lead"))
+        mixed = cut(mixed.where("k0 <> k1").select("sig", "lead"), "jaccard-mixed")
+        live = cut(placed.join(mixed, "sig"), "jaccard-left")
+        if turn < STARS:  # another star in each group, around another class
+            pairs = live.where("k <> lead.k").select("sig", *side("x", "c", "n", "pos", "pure"), *side("y", "lead.c", "lead.n", "lead.pos", "lead.pure"))
+        else:  # then all that is left
+            x, y = (live.select("sig", *side(p, "c", "n", "pos", "pure", "k")) for p in ("x", "y"))
+            pairs = x.join(y, "sig").where("xk < yk")
+        fresh = cut(_likely(pairs.where(near), percent).join(done, ["a", "b"], "left_anti"), "jaccard-fresh")
+        links = _verified(fresh, docs, reps, shingle, seed, percent, text)
+        label = cut(components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links)), "jaccard-label")
+        done = done.unionByName(fresh)
+        live = live.drop("lead", "k")
     whole = label.join(reps.select(F.col("c").alias("node"), "rep"), "node")
     small = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     by = cut(label.join(small, "component").select(F.col("node").alias("c"), "component_id"), "jaccard-components")
