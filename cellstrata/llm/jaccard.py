@@ -51,6 +51,8 @@ SHINGLE, PERCENT = 5, 80
 MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 8
 BITMAP = 1 << 27  # bits
+HIGH = 64  # documents; what has fewer is compared by bitmaps before texts are
+SKETCH = 8  # words of such a bitmap
 _GROUP = 2_000_000  # shingles of a group of the hash space
 _CHUNK = 4_000_000
 _SMALL = 64
@@ -111,20 +113,25 @@ def least_overlap(n, percent: int):
 
 @dataclass
 class Order:
-    """What is known of shingles: those of several documents (a bitmap), and the names of frequent ones, sorted."""
+    """What is known of shingles: those of several documents (a bitmap), and the sorted names of frequent ones and of
+    the most frequent of these."""
 
     buckets: int
     bitmap: np.ndarray
     frequent: np.ndarray
+    high: np.ndarray
 
     def rank(self, g: np.ndarray) -> np.ndarray:
-        """0: of one document, 1: rare, 2: frequent."""
+        """0: of one document, 1: rare, 2: frequent, 3: frequent and high."""
         name = X.bucket_of(g, self.buckets).astype(X.U64) << X.U64(32) | (g & X.U64(0xFFFFFFFF))
         word, bit = _place(name, 64 * len(self.bitmap))
         out = (self.bitmap[word] >> bit & X.U64(1)).astype(np.int64)
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, name), len(self.frequent) - 1)
             out[self.frequent[at] == name] = 2
+        if len(self.high):
+            at = np.minimum(np.searchsorted(self.high, name), len(self.high) - 1)
+            out[self.high[at] == name] = 3
         return out
 
 
@@ -215,8 +222,11 @@ def _order(told: DataFrame, buckets: int, most: int, least: int) -> Order:
             break
         left -= r.n
         floor = least << (r.k + 1)
-    rows = several.where(F.col("times") >= floor).select("name")  # at most ``most``
-    return Order(buckets, bitmap, np.sort(np.array([r.name for r in rows.toLocalIterator()], dtype=np.int64).view(X.U64)))
+    rows = several.where(F.col("times") >= floor)  # at most ``most``
+    found = np.array([(r.name, r.times) for r in rows.toLocalIterator()], dtype=np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0].view(X.U64) if len(found) else found[:, 0])]
+    names = found[:, 0].copy().view(X.U64)
+    return Order(buckets, bitmap, names, names[found[:, 1] >= HIGH])
 
 
 def _classes(size_rank: int, percent: int) -> int:
@@ -227,12 +237,13 @@ def _classes(size_rank: int, percent: int) -> int:
 
 def signatures(g: np.ndarray, first: np.ndarray, known: Order, percent: int):
     """For sets as of shingle_sets: signature, set, position in the set's order, whether it is of frequent shingles;
-    and by set whether its prefix has no frequent ones. Shingles of one document are left out."""
+    and by set whether its prefix has no frequent ones, its numbers of frequent, of high and of other shared shingles, and a
+    bitmap of the latter. Shingles of one document are left out."""
     n = np.diff(first)
     own = X.owner(first)
     rank = known.rank(g)
     key = X.mix(g ^ X.U64(0x5851F42D4C957F2D))
-    order = _sorted(4 * own + rank, key) if len(own) else own
+    order = _sorted(4 * own + np.minimum(rank, 2), key) if len(own) else own
     key, rank = key[order], rank[order]
     place = np.arange(len(g)) - first[own]
     need = n - least_overlap(n, percent) + 1
@@ -245,8 +256,8 @@ def signatures(g: np.ndarray, first: np.ndarray, known: Order, percent: int):
         lo = first[d] + rare[d]
         h = key[lo : first[d + 1]]
         lack = int(need[d] - rare[d])
-        rank = int(math.log(n[d]) / step)
-        for b in (rank, rank + 1):
+        size_rank = int(math.log(n[d]) / step)
+        for b in (size_rank, size_rank + 1):
             m = _classes(b, percent)
             salt = X.mix(np.array([b + 1], dtype=X.U64))[0]
             if not m:
@@ -268,7 +279,16 @@ def signatures(g: np.ndarray, first: np.ndarray, known: Order, percent: int):
     else:
         extra = (np.zeros(0, X.U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     kind = np.concatenate([np.zeros(len(out[0][0]), bool), np.ones(len(extra[0]), bool)])
-    return *(np.concatenate([a, b]) for a, b in zip(out[0], extra, strict=True)), kind, rare >= need
+    return *(np.concatenate([a, b]) for a, b in zip(out[0], extra, strict=True)), kind, rare >= need, *_profile(key, rank, own, len(n))
+
+
+def _profile(key: np.ndarray, rank: np.ndarray, own: np.ndarray, sets: int):
+    often, high = (np.bincount(own[rank >= r], minlength=sets) for r in (2, 3))
+    low = (rank == 1) | (rank == 2)
+    bits = np.zeros((sets, SKETCH), dtype=X.U64)
+    at = key[low] % X.U64(64 * SKETCH)
+    np.bitwise_or.at(bits, (own[low], (at >> X.U64(6)).astype(np.int64)), X.U64(1) << (at & X.U64(63)))
+    return often, high, np.bincount(own[low], minlength=sets), bits
 
 
 def _pairs(order: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,6 +307,10 @@ def _pairs(order: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(i), np.concatenate(j)) if i else (none, none)
 
 
+_WORDS = [f"b{i}" for i in range(SKETCH)]
+_OF = ["c", "n", "pos", "pure", "f", "high", "low", *_WORDS]
+
+
 def _signed(docs: DataFrame, shingle: int, seed: int, percent: int, known: Order, text: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -294,20 +318,29 @@ def _signed(docs: DataFrame, shingle: int, seed: int, percent: int, known: Order
         for b in X.pieces(batches):
             g, first = shingle_sets(b.column(0), shingle, seed)
             lo, _ = _fingerprints(g, first)
-            sig, d, pos, often, pure = signatures(g, first, held.value, percent)
+            sig, d, pos, often, pure, f, high, low, bits = signatures(g, first, held.value, percent)
             n = np.diff(first)
             for at in range(0, len(sig), 1 << 18):
                 p = slice(at, at + (1 << 18))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig[p].view(np.int64)), pa.array(lo.view(np.int64)[d[p]]), pa.array(n[d[p]], pa.int32()), pa.array(pos[p], pa.int32()), pa.array(pure[d[p]]), pa.array(often[p])],
-                    ["sig", "c", "n", "pos", "pure", "often"],
+                    [pa.array(sig[p].view(np.int64)), pa.array(lo.view(np.int64)[d[p]]), pa.array(n[d[p]], pa.int32()), pa.array(pos[p], pa.int32()), pa.array(pure[d[p]]), *[pa.array(v[d[p]], pa.int32()) for v in (f, high, low)], *[pa.array(bits[d[p], w].view(np.int64)) for w in range(SKETCH)], pa.array(often[p])],
+                    ["sig", *_OF, "often"],
                 )
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sig long, c long, n int, pos int, pure boolean, often boolean")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sig long, c long, n int, pos int, pure boolean, f int, high int, low int, " + ", ".join(f"{w} long" for w in _WORDS) + ", often boolean")
+
 
+def _near(percent: int):
+    """Whether sets x and y can be similar enough by their sizes and by what they can have in common.
 
-def _sizes_fit(percent: int, n1, n2):
-    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+    Of other shingles than high ones, at most those are shared whose bits both have, and what a set has beyond its bits.
+    """
+    n1, n2 = F.col("xn"), F.col("yn")
+    ones = lambda f: sum((F.bit_count(f(w)) for w in _WORDS), F.lit(0))
+    common = ones(lambda w: F.col(f"x{w}").bitwiseAND(F.col(f"y{w}")))
+    spare = F.least(*[F.col(f"{p}low") - ones(lambda w, p=p: F.col(f"{p}{w}")) for p in "xy"])
+    shared = F.least("xhigh", "yhigh") + F.least("xlow", "ylow", common + spare)
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (shared * (100 + percent) >= (n1 + n2) * percent)
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -315,16 +348,18 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
 
     *Position*: of two sets with a common shingle at p1 and p2, at most min(p1, p2) + 1 + min(n1 - p1, n2 - p2) - 1
     are shared. *Count*: if all signatures of both are single shingles, what is shared up to the end of the prefix
-    that ends first is what the signatures share, and behind it that set has no more than ceil(t n) - 1.
+    that ends first is what the signatures share, and behind it that set has no more than ceil(t n) - 1. If neither
+    prefix has rare shingles only, all rare ones are signatures: what is shared is them and frequent ones.
     """
     n1, n2, p1, p2 = F.col("xn"), F.col("yn"), F.col("xpos"), F.col("ypos")
     most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
     need = (F.col("xn") + F.col("yn")) * percent
     by = pairs.groupBy(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b")).agg(
-        F.count("*").alias("s"), F.min(most).alias("most"), F.first("xn").alias("xn"), F.first("yn").alias("yn"), F.min(F.col("xpure") & F.col("ypure")).alias("pure")
+        F.count("*").alias("s"), F.min(most).alias("most"), F.first("xn").alias("xn"), F.first("yn").alias("yn"), F.min(F.col("xpure") & F.col("ypure")).alias("pure"),
+        F.min(~F.col("xpure") & ~F.col("ypure")).alias("mixed"), F.sum(F.when(F.col("often"), 0).otherwise(1)).alias("r"), F.min(F.least("xf", "yf")).alias("f"),
     )
     behind = F.expr(f"(greatest(xn, yn) * {percent} + 99) div 100 - 1")
-    fit = (F.col("most") * (100 + percent) >= need) & (~F.col("pure") | ((F.col("s") + behind) * (100 + percent) >= need))
+    fit = (F.col("most") * (100 + percent) >= need) & (~F.col("pure") | ((F.col("s") + behind) * (100 + percent) >= need)) & (~F.col("mixed") | ((F.col("r") + F.col("f")) * (100 + percent) >= need))
     return by.where(fit).select("a", "b")
 
 
@@ -379,19 +414,22 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, tex
     signed = _signed(docs.where("doc_id is not null"), shingle, seed, percent, known, text)
     # A rare shingle's group is bounded by what made it rare, so a window may hold it. Groups of frequent
     # ones have no bound: their leaders come from a combined aggregate and meet them in a join.
-    lead = F.struct(F.xxhash64("c").alias("x"), "c", "n", "pos", "pure")
+    of = _OF
+    # The leader of a group is the class nearest to what many share: most of its copies link with it.
+    lead = F.struct((F.col("n") - F.col("high")).alias("own"), F.xxhash64("c").alias("x"), *of)
     own = Window.partitionBy("sig")
-    cols = ["sig", "c", "n", "pos", "pure", "lead"]
-    rare = signed.where("not often").select("sig", "c", "n", "pos", "pure").distinct()
-    live = rare.withColumns({"lead": F.min(lead).over(own), "c0": F.min("c").over(own), "c1": F.max("c").over(own)}).where("c0 <> c1").select(*cols)
+    cols = ["sig", *of, "lead"]
+    rare = signed.where("not often").select("sig", *of).distinct()
+    live = rare.withColumns({"lead": F.min(lead).over(own), "c0": F.min("c").over(own), "c1": F.max("c").over(own)}).where("c0 <> c1").select(*cols, F.lit(False).alias("often"))
     if len(known.frequent):
         many = cut(signed.where("often").drop("often").distinct(), "jaccard-frequent")
         heads = many.groupBy("sig").agg(F.min(lead).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig", "lead")
-        live = live.unionByName(many.join(heads, "sig").select(*cols))
+        live = live.unionByName(many.join(heads, "sig").select(*cols, F.lit(True).alias("often")))
     live = cut(live, "jaccard-live")
     side = lambda p, *of: [F.col(c).alias(p + c.rpartition(".")[2]) for c in of]
-    near = _sizes_fit(percent, F.col("xn"), F.col("yn"))
-    pairs = live.where("c <> lead.c").select("sig", *side("x", "c", "n", "pos", "pure"), *side("y", "lead.c", "lead.n", "lead.pos", "lead.pure"))
+    near = _near(percent)
+    leads = [f"lead.{c}" for c in of]
+    pairs = live.where("c <> lead.c").select("sig", "often", *side("x", *of), *side("y", *leads))
     done = cut(_likely(pairs.where(near), percent), "jaccard-stars")
     links = _verified(done, docs, reps, shingle, seed, percent, text)
     shared = able.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.collect_set("c").alias("all")).where("a <> b").select("a", F.explode("all").alias("b"))
@@ -400,13 +438,13 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, tex
     for turn in range(1, STARS + 1):
         # What shares a signature but no component yet.
         placed = cut(live.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component"), "jaccard-placed")
-        mixed = placed.groupBy("sig").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("x"), "c", "n", "pos", "pure", "k")).alias("lead"))
+        mixed = placed.groupBy("sig").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("x"), *of, "k")).alias("lead"))
         mixed = cut(mixed.where("k0 <> k1").select("sig", "lead"), "jaccard-mixed")
         live = cut(placed.join(mixed, "sig"), "jaccard-left")
         if turn < STARS:  # another star in each group, around another class
-            pairs = live.where("k <> lead.k").select("sig", *side("x", "c", "n", "pos", "pure"), *side("y", "lead.c", "lead.n", "lead.pos", "lead.pure"))
+            pairs = live.where("k <> lead.k").select("sig", "often", *side("x", *of), *side("y", *leads))
         else:  # then all that is left
-            x, y = (live.select("sig", *side(p, "c", "n", "pos", "pure", "k")) for p in ("x", "y"))
+            x, y = live.select("sig", "often", *side("x", *of, "k")), live.select("sig", *side("y", *of, "k"))
             pairs = x.join(y, "sig").where("xk < yk")
         fresh = cut(_likely(pairs.where(near), percent).join(done, ["a", "b"], "left_anti"), "jaccard-fresh")
         links = _verified(fresh, docs, reps, shingle, seed, percent, text)
