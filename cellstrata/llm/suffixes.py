@@ -36,9 +36,9 @@ from cellstrata.llm import _text as X
 from cellstrata.runtime import cut, scratch_dir, ship
 
 LENGTH, GRAM, HOT = 50, 24, 20_000
-_CHUNK = 1_000_000  # anchors of a chunk
-_GROUP = 2_000_000  # anchors of a reduce group
-_SNIPPETS = 100_000  # snippets of a reduce group
+_CHUNK = 500_000  # anchors of a chunk
+_GROUP = 500_000  # anchors of a reduce group
+_SNIPPETS = 50_000  # snippets of a reduce group
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = X.U64(0xD1342543DE82EF95)
 _SPREAD = X.U64(0x9E3779B97F4A7C15)
