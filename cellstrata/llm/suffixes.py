@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellstrata.llm import _text as X
-from cellstrata.runtime import cut, scratch_dir, ship
+from cellstrata.runtime import at_exit, cut, drop, scratch_dir, ship
 
 LENGTH, GRAM, HOT = 50, 24, 20_000
 _CHUNK = 500_000  # anchors of a chunk
@@ -427,13 +427,18 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.monotonically_increasing_id().alias("kid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     name = f"texts_{uuid.uuid4().hex}"
-    rows.repartition(parts, "kid").write.format("parquet").bucketBy(parts, "kid").sortBy("kid").option("path", f"{scratch_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    writer = rows.repartition(parts, "kid").write.format("parquet").option("compression", "zstd").bucketBy(parts, "kid").sortBy("kid")
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}"
+    writer.option("path", path).saveAsTable(name)
+    at_exit(spark, path)
+    drop()
     table = spark.table(name)
     able = table.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     seen = cut(able.select("kid", "doc_id", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("n")), "suffix-texts")
     total = seen.agg(F.sum("n")).first()[0] or 0
     least = cut(seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1"), "suffix-copied")
     copies = cut(seen.join(least, "h").where("doc_id > first").select("kid"), "suffix-copies")
+    drop(seen, least)
     buckets = max(8, total // (13 * _GROUP))
     live = able.join(copies, "kid", "left_anti").select("kid", "text")
     found = cut(live.mapInArrow(_find_anchors(length, gram, buckets), "bucket int, packed binary, kid long, x long"), "suffix-anchors")
@@ -448,10 +453,12 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
     local = local.select("kid", (F.shiftrightunsigned(high * buckets, 32) * (1 << 32) + F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))).alias("name"))
     lists = named.unionByName(local).groupBy("kid").agg(F.collect_set("name").alias("names"), F.count("*").alias("times"))
     lists = cut(lists, "suffix-lists")
+    drop(found, share)
     occurrences = lists.agg(F.sum("times")).first()[0] or 0
     groups = max(8, int(occurrences) // _SNIPPETS)
     cutting = able.join(lists, "kid").select("kid", "doc_id", "text", "names")
     snippets = cut(cutting.mapInArrow(_cut_snippets(length, gram, buckets, groups, hot_names), f"{_SNIPPET}, e int"), "suffix-snippets")
+    drop(lists)
     sorted_ = snippets.where("bytes is not null").drop("e").groupBy("bucket").applyInArrow(_sort_snippets(length), "kid long, a int, e int")
     spans = sorted_.unionByName(snippets.where("bytes is null").select("kid", "a", "e"))
     spans = spans.groupBy("kid").agg(F.collect_list(F.struct("a", "e")).alias("s"))
