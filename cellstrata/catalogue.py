@@ -107,7 +107,7 @@ def merge_order(spark, d):
 
     files = cells_of_events(spark, d)
     merged = algebra.merge(*[files.where(F.col("file_order") == i).drop("file_order") for i in range(3)])
-    return merged.select("seq", F.row_number().over(Window.partitionBy("row").orderBy(*algebra.merge_order()[1:])).alias("place"))
+    return merged.select("seq", F.row_number().over(Window.partitionBy("row").orderBy(*algebra.merge_order()[1:])).cast("long").alias("place"))
 
 
 @_query("merge_no_dedup", f"with {CELLS_SQL} select row_key, family, qualifier, ts, type, count(*) n_cells from cells group by all having count(*) > 1")
@@ -168,20 +168,21 @@ def be_integers(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select(key, render.big_endian(data, 1, 8).cast("long").alias("decoded"))
 
 
-@_query("unsigned_timestamps", "select o_orderkey, cast(18446744073709551616 - o_orderkey as varchar) shown, row_number() over (order by o_orderkey) place from orders where o_orderkey between 1 and 50")
+@_query("unsigned_timestamps", "select o_orderkey, cast(18446744073709551615 - o_orderkey as varchar) shown, row_number() over (partition by o_orderpriority order by o_orderkey) place from orders")
 def unsigned_timestamps(spark, d):
     """Timestamps from 2^63 up: shown unsigned, the newest first."""
     from pyspark.sql import Window
 
     from cellstrata.schema import unsigned, unsigned_text
 
-    few = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey between 1 and 50")
-    return few.select("o_orderkey", unsigned_text(-F.col("o_orderkey")).alias("shown"), F.row_number().over(Window.orderBy(unsigned(-F.col("o_orderkey")).desc())).alias("place"))
+    ts = -1 - F.col("o_orderkey")
+    newest = Window.partitionBy("o_orderpriority").orderBy(unsigned(ts).desc())
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", unsigned_text(ts).alias("shown"), F.row_number().over(newest).cast("long").alias("place"))
 
 
-# --- Regions made from customers --------------------------------------------------------------------------------
+# --- Regions made from nations --------------------------------------------------------------------------------
 
-_REGIONS_SQL = """regions as (select n_nationkey region_id, case when n_nationkey = 0 then '' else lpad(cast(n_nationkey * 40 as varchar), 8, '0') end start_key,
+_REGIONS_SQL = """regions as (select cast(n_nationkey as bigint) region_id, case when n_nationkey = 0 then '' else lpad(cast(n_nationkey * 40 as varchar), 8, '0') end start_key,
   case when n_nationkey = 24 then '' else lpad(cast((n_nationkey + 1) * 40 as varchar), 8, '0') end end_key from nation)"""
 
 
@@ -197,7 +198,7 @@ def regions_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_sort(spark, d):
     from pyspark.sql import Window
 
-    return plans.sort_regions(regions_of_nations(spark, d)).select("region_id", F.row_number().over(Window.orderBy("start_key")).alias("place"))
+    return plans.sort_regions(regions_of_nations(spark, d)).select("region_id", F.row_number().over(Window.orderBy("start_key")).cast("long").alias("place"))
 
 
 @_query("region_prune", f"with {_REGIONS_SQL} select * from regions where (end_key = '' or end_key > '00000100') and (start_key = '' or start_key < '00000500')")
@@ -337,7 +338,7 @@ def cellfile_range_pushdown(spark, d):
     return _texts(cells.where((F.col("row") >= F.lit(b"0000000100")) & (F.col("row") < F.lit(b"0000000900"))))
 
 
-@_query("bloom_no_false_negative", "select count(*) n_rows, 0 misses from orders")
+@_query("bloom_no_false_negative", "select count(*) n_rows, cast(0 as bigint) misses from orders")
 def bloom_no_false_negative(spark, d):
     """Every row of the table is asked of every file's filter; a row that no file may hold is a miss."""
     import pyarrow as pa

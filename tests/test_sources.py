@@ -130,3 +130,19 @@ def test_snapshots(spark, tmp_path, by_region):
 def test_no_manifest(tmp_path):
     with pytest.raises(FormatError):
         read_manifest(str(tmp_path))
+
+
+def test_command_line(spark, store, tmp_path, capsys):
+    from cellstrata import cli
+
+    file = storage.list_files(store)[0]
+    cli.main(["file", file, "--dump"])
+    said = capsys.readouterr().out
+    assert "trailer:" in said and "compression=GZ" in said and "00000/cf:q/0/Put = 00000" in said and "n_cells=" in said
+    r = Region(1, b"default", b"t", b"", b"")
+    path = write_store(rows(spark, 5), f"{tmp_path}/data/{r.folder}/cf", partitions=1).collect()[0].path
+    r.families.append((b"cf", [StoreFile(path.rsplit("/", 1)[1])]))
+    write_manifest(f"{tmp_path}/snap", Manifest(Description("s", "t", 1700000000000), None, [r]))
+    cli.main(["snapshot", f"{tmp_path}/snap", f"{tmp_path}/data", "--start-key", "00003", "--print-snapshot", "--print-region", "--print-files", "--print-cells"])
+    said = capsys.readouterr().out
+    assert "created=2023-11-14T22:13:20Z" in said and "00003/cf:q/3/Put = 00003" in said and "00002/" not in said and r.folder in said and "n_cells=2" in said
