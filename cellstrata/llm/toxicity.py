@@ -98,35 +98,28 @@ def noisy_or(z: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return -np.expm1(np.minimum(0.0, keep[bound[1:]] - keep[bound[:-1]]))
 
 
-def fit(hashes: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, label: np.ndarray, prior: float, rounds: int = 400) -> Model:
-    """hashes, sentence: of all features; doc_of: by sentence; label: by document; prior: share of label 1 among all."""
-    empty = Model(np.zeros(0, X.U64), np.zeros(0), float("-inf"))
-    n_pos, n_neg = int(label.sum()), int((1 - label).sum())
-    if not n_pos or not n_neg:
-        return empty
-    vocab, word = np.unique(hashes, return_inverse=True)
-    pair = np.unique(doc_of[sentence] * len(vocab) + word)
-    d, w = pair // len(vocab), pair % len(vocab)
-    pos = np.bincount(w[label[d] == 1], minlength=len(vocab))
-    neg = np.bincount(w[label[d] == 0], minlength=len(vocab))
+def choose(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+    """Features that go with the label, sorted, and their log odds; pos, neg: each document's distinct features."""
+    vocab, inside = np.unique(np.concatenate([pos, neg]), return_counts=True)
+    vocab = vocab[inside >= 3]
+    told = lambda v: np.searchsorted(v, vocab, "right") - np.searchsorted(v, vocab, "left")
+    pos, neg = told(np.sort(pos)), told(np.sort(neg))
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
     # the likelihood ratio that a feature and the label go together, as a number of deviations
     part = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0.0)
     has, n = pos + neg, n_pos + n_neg
     z = np.sqrt(np.maximum(0, 2 * (part(pos, has * n_pos / n) + part(neg, has * n_neg / n) + part(n_pos - pos, (n - has) * n_pos / n) + part(n_neg - neg, (n - has) * n_neg / n))))
-    chosen = np.flatnonzero((z > 4.5) & (has >= 3))
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")[:5000]]
-    chosen.sort()
-    if not len(chosen):
-        return empty
-    place = np.full(len(vocab), -1)
-    place[chosen] = np.arange(len(chosen))
-    ok = place[word] >= 0
-    pair = np.unique(sentence[ok] * len(chosen) + place[word[ok]])
-    sent, feat = pair // len(chosen), pair % len(chosen)
+    chosen = np.flatnonzero(z > 4.5)
+    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:most]])
+    return vocab[chosen], odds[chosen]
+
+
+def fit(words: np.ndarray, odds: np.ndarray, sent: np.ndarray, feat: np.ndarray, doc_of: np.ndarray, label: np.ndarray, prior: float, rounds: int = 400) -> Model:
+    """words, odds: as chosen; sent, feat: each sentence's distinct features; doc_of: by sentence; label: by document;
+    prior: share of label 1 among all."""
+    n_pos, n_neg = int(label.sum()), int((1 - label).sum())
     weight = np.where(label == 1, prior / n_pos, (1 - prior) / n_neg)
-    bias, wts = -7.0, np.clip(odds[chosen], -4, 4)
-    theta = np.concatenate([wts, [bias]])
+    theta = np.concatenate([np.clip(odds, -4, 4), [-7.0]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     docs, n_sent = len(label), len(doc_of)
     for t in range(1, rounds + 1):
@@ -135,11 +128,48 @@ def fit(hashes: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, label: np.
         p = np.clip(-np.expm1(clean), 1e-9, 1.0)
         out = np.where(label == 1, -(1 - p) / p, 1.0) * weight
         g = out[doc_of] / (1 + np.exp(-z))
-        grad = np.concatenate([np.bincount(feat, g[sent], len(chosen)), [g.sum()]])
+        grad = np.concatenate([np.bincount(feat, g[sent], len(words)), [g.sum()]])
         grad[:-1] += 1e-5 * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Model(vocab[chosen], theta[:-1], float(theta[-1]))
+    return Model(words, theta[:-1], float(theta[-1]))
+
+
+def fit_texts(parts: list[tuple[pa.Array, np.ndarray]], prior: float) -> Model:
+    """The model of some texts and their labels. Features are made twice, so that only the chosen ones are kept."""
+    label = np.concatenate([y for _, y in parts])
+    if not label.any() or label.all():
+        return nothing()
+    seen: tuple[list, list] = ([], [])
+    for texts, y in parts:
+        _, _, _, _, bound, h, sent = _sentences(texts)
+        doc = X.owner(bound)[sent]
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        for k in (0, 1):
+            seen[k].append(h[new & (y[doc] == k)])
+    words, odds = choose(np.concatenate(seen[1]), np.concatenate(seen[0]), int(label.sum()), int((1 - label).sum()))
+    del seen
+    if not len(words):
+        return nothing()
+    sents, feats, docs_of, n_sent, n_doc = [], [], [], 0, 0
+    for texts, y in parts:
+        _, _, _, _, bound, h, sent = _sentences(texts)
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        ok = words[at] == h
+        pair = np.unique(sent[ok] * len(words) + at[ok])
+        sents.append(pair // len(words) + n_sent)
+        feats.append(pair % len(words))
+        docs_of.append(X.owner(bound) + n_doc)
+        n_sent += int(bound[-1])
+        n_doc += len(y)
+    return fit(words, odds, *(np.concatenate(v) for v in (sents, feats, docs_of)), label, prior)
+
+
+def nothing() -> Model:
+    return Model(np.zeros(0, X.U64), np.zeros(0), float("-inf"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, text: str = "text") -> Model:
@@ -149,29 +179,19 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, tex
     share = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
     if len(share) < 2:
-        return Model(np.zeros(0, X.U64), np.zeros(0), float("-inf"))
+        return nothing()
     one = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = one(0).unionByName(one(1))  # at most 2 * per_class rows of 12 bytes
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").repartition(1)
     prior = share[1] / total
 
     def run(batches):
-        hashes, sentence, doc_of, label, n_sent, n_doc = [], [], [], [], 0, 0
-        for b in X.pieces(batches):
-            _, _, _, _, bound, h, sent = _sentences(b.column(0))
-            hashes.append(h)
-            sentence.append(sent + n_sent)
-            doc_of.append(X.owner(bound) + n_doc)
-            label.append(np.array(b.column(1)))
-            n_sent += int(bound[-1])
-            n_doc += b.num_rows
-        if n_doc:
-            # rows come in any order: the fit sees the same sums up to rounding
-            model = fit(*(np.concatenate(x) for x in (hashes, sentence, doc_of, label)), prior)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        parts = [(b.column(0), np.array(b.column(1))) for b in X.pieces(batches)]
+        if parts:  # rows come in any order: the fit sees the same sums up to rounding
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_texts(parts, prior))], pa.binary())], ["model"])
 
     found = rows.mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0].model) if found else Model(np.zeros(0, X.U64), np.zeros(0), float("-inf"))
+    return pickle.loads(found[0].model) if found else nothing()
 
 
 _FIELDS = [
