@@ -439,7 +439,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
     least = cut(seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1"), "suffix-copied")
     copies = cut(seen.join(least, "h").where("doc_id > first").select("kid"), "suffix-copies")
     drop(seen, least)
-    buckets = max(8, total // (13 * _GROUP))
+    buckets = max(parts, total // (13 * _GROUP))
     live = able.join(copies, "kid", "left_anti").select("kid", "text")
     found = cut(live.mapInArrow(_find_anchors(length, gram, buckets), "bucket int, packed binary, kid long, x long"), "suffix-anchors")
     share = found.where("packed is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_share(buckets, hot), "bucket int, kid long, low long")
@@ -455,7 +455,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
     lists = cut(lists, "suffix-lists")
     drop(found, share)
     occurrences = lists.agg(F.sum("times")).first()[0] or 0
-    groups = max(8, int(occurrences) // _SNIPPETS)
+    groups = max(parts, int(occurrences) // _SNIPPETS)
     cutting = able.join(lists, "kid").select("kid", "doc_id", "text", "names")
     snippets = cut(cutting.mapInArrow(_cut_snippets(length, gram, buckets, groups, hot_names), f"{_SNIPPET}, e int"), "suffix-snippets")
     drop(lists)
