@@ -7,6 +7,7 @@ queries over ``orders`` write cell files into the shared scratch folder and read
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -390,21 +391,23 @@ def build_snapshot(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
             "value": F.when(number % 5 == 0, F.lit(b"new")).when(F.col("qualifier") == F.lit(b"total"), F.lit(b"")).otherwise(F.col("value")),
         }
     )
-    regions = []
-    for i, (lo, hi) in enumerate(zip(_SPLITS, _SPLITS[1:], strict=False)):
-        region = Region(1000 + i, b"shop", b"orders", lo, hi)
-        for family in (b"a", b"b"):
-            files = []
-            for order, part in enumerate((newer, cells)):
-                own = algebra.row_range(part.withColumn("family", F.lit(family)), lo, hi)
-                path = storage.join_path(data, region.folder, family.decode())
-                if family == b"b":
-                    own = own.where(F.col("qualifier") == F.lit(b"status"))
-                made = write_store(own, path, partitions=1, file_bytes=1 << 40, prefix=f"f{order}", encoding="FAST_DIFF", compression="ZSTD", row_bloom=True).collect()
-                files += [StoreFile(m.path.rsplit("/", 1)[1], 1) for m in made]
-            files.append(StoreFile("feedbeef.0123", 1, b"split", "TOP"))
-            region.families.append((family, files))
-        regions.append(region)
+    regions = [Region(1000 + i, b"shop", b"orders", lo, hi) for i, (lo, hi) in enumerate(zip(_SPLITS, _SPLITS[1:], strict=False))]
+
+    def store(what: tuple[Region, bytes, int]) -> list[StoreFile]:
+        region, family, order = what
+        own = algebra.row_range((newer, cells)[order].withColumn("family", F.lit(family)), region.start_key, region.end_key)
+        if family == b"b":
+            own = own.where(F.col("qualifier") == F.lit(b"status"))
+        path = storage.join_path(data, region.folder, family.decode())
+        made = write_store(own, path, partitions=1, file_bytes=1 << 40, prefix=f"f{order}", encoding="FAST_DIFF", compression="ZSTD", row_bloom=True).collect()
+        return [StoreFile(m.path.rsplit("/", 1)[1], 1) for m in made]
+
+    jobs = [(r, f, o) for r in regions for f in (b"a", b"b") for o in (0, 1)]
+    with ThreadPoolExecutor(len(jobs)) as pool:  # one Spark job a file, side by side
+        files = dict(zip([(r.region_id, f, o) for r, f, o in jobs], pool.map(store, jobs), strict=True))
+    for r in regions:
+        for f in (b"a", b"b"):
+            r.families.append((f, [*files[r.region_id, f, 0], *files[r.region_id, f, 1], StoreFile("feedbeef.0123", 1, b"split", "TOP")]))
     schema = Schema(b"shop", b"orders", {"IS_META": "false"}, [Family(b"a", {"VERSIONS": "1"}), Family(b"b", {"BLOOMFILTER": "ROW"})])
     write_manifest(folder, Manifest(Description("orders_snap", "shop:orders", 1700000000000, "FLUSH", 2, "ops"), schema, regions[::-1]))
     return folder, data
