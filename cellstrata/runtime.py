@@ -7,35 +7,43 @@ import gc
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_lock = threading.Lock()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in every Python worker of the application (once per application)."""
     sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        here = os.path.dirname(os.path.abspath(__file__))
-        name = os.path.basename(here)
-        folder = tempfile.mkdtemp()
-        atexit.register(shutil.rmtree, folder, True)
-        path = os.path.join(folder, f"{name}_pkg.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for top, dirs, files in os.walk(here):
-                dirs[:] = [d for d in dirs if d != "__pycache__"]
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(top, f)
-                        z.write(full, os.path.join(name, os.path.relpath(full, here)))
-        sc.addPyFile(path)
-        _shipped.add(sc.applicationId)
+    with _lock:
+        if sc.applicationId not in _shipped:
+            sc.addPyFile(_packed())
+            _shipped.add(sc.applicationId)
     return spark
 
 
+def _packed() -> str:
+    """This package as a zip file."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(here)
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, f"{name}_pkg.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, dirs, files in os.walk(here):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(top, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, here)))
+    return path
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
     sc = spark.sparkContext
