@@ -4,9 +4,14 @@ A line's tokens are its runs of other characters than blanks, and a token with a
 variable field, ``<*>``. The tree has a fixed depth: token count, then the first ``depth``
 tokens. In a leaf the masked line of most documents (ties: the smallest) is the seed; every
 line that agrees with it in ``similar`` of its tokens joins its template, whose other fields
-are variable too, and any other masked line is a template of its own. A template found in
-``min_docs`` documents or more recurs: its lines are dropped from all documents but the one of
-smallest id, so what is said once stays once.
+are variable too, and any other masked line is a template of its own; with ``reseed``, seeding is
+repeated on those instead, until a leaf's rest can't recur. A template found in ``min_docs``
+documents or more recurs: its lines are dropped from all documents but the one of smallest id,
+so what is said once stays once. ``sql`` says the same without ``reseed``.
+
+A round of reseeding takes the next ``batch`` lines of each leaf in the seeds' order: of these, each
+that agrees with no earlier seed is one, and a line joins the first seed that it agrees with. That is
+what seeding one by one comes to, in fewer rounds.
 
 Only hashes of lines are shuffled until the few leaves that can recur are known (two 64-bit
 hashes each), and counts are combined before each shuffle. A line that a third of the documents
@@ -22,13 +27,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellstrata.runtime import cut
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILAR = 3, 4, 3, 0.8
-BITS = 20
+BITS, BATCH = 20, 500
 
 
 def masked(text: Column) -> Column:
@@ -63,7 +68,35 @@ def _bits(df: DataFrame, column: str) -> Callable[[Column], Column]:
     return lambda h: F.getbit(F.element_at(table, (F.shiftright(F.pmod(h, F.lit(1 << BITS)), 6) + 1).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
 
 
-def templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _same(a: Column, b: Column) -> Column:
+    """Number of tokens in which two masked lines agree."""
+    return F.size(F.filter(F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x == y), lambda x: x))
+
+
+def _reseeded(rest: DataFrame, min_docs: int, similar: float, batch: int) -> DataFrame:
+    """(key, group) of the masked lines that no seed has taken yet (leaf, key, n, ms, docs); those that can't recur are left out."""
+    order = Window.partitionBy("leaf").orderBy(F.desc("docs"), "ms")
+    out = rest.select("key", F.col("key").alias("group")).limit(0)
+    while True:
+        # Summed over lines, so never fewer than the documents that the rest of a leaf spans.
+        spans = rest.groupBy("leaf").agg(F.sum("docs").alias("most")).where(F.col("most") >= min_docs)
+        rest = cut(rest.join(spans.select("leaf"), "leaf"), "rest")
+        if rest.isEmpty():
+            return out
+        top = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch)
+        top = top.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "ms", "key"))).alias("top"))
+        near = lambda x: lambda s: _same(s.ms, x.ms) >= F.lit(similar) * x.n
+        seeds = F.aggregate("top", F.slice("top", 1, 0), lambda held, x: F.when(F.exists(held, near(x)), held).otherwise(F.concat(held, F.array(x))))
+        own = F.struct("ms", "n")
+        taken = rest.join(cut(top.select("leaf", seeds.alias("seeds")), "seeds"), "leaf").select(*rest.columns, F.get(F.filter("seeds", near(own)), 0).key.alias("group"))
+        taken = cut(taken, "taken")
+        out = out.unionByName(taken.where(F.col("group").isNotNull()).select("key", "group"))
+        rest = taken.where(F.col("group").isNull()).drop("group")
+
+
+def templates(
+    docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR, reseed: bool = False, batch: int = BATCH, text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of each document's distinct lines; (key, n_docs, first_doc) of the lines whose template recurs."""
     # Masked inside the array, so that no later filter or hash has it computed again.
     lines = docs.select("doc_id", F.explode(masked(F.col(text))).alias("ms"))
@@ -83,8 +116,13 @@ def templates(docs: DataFrame, *, min_docs: int = MIN_DOCS, min_tokens: int = MI
     said = cut(said.join(near, "key"), "templates")
     seeds = cut(said.groupBy("leaf").agg(F.min(F.struct((-F.col("docs")).alias("d"), "ms", "key")).alias("seed")), "seeds")
     pairs = said.join(seeds, "leaf")
-    same = F.size(F.filter(F.zip_with(F.split("ms", " "), F.split("seed.ms", " "), lambda a, b: a == b), lambda x: x))
-    group = pairs.select("key", F.when(same >= F.lit(similar) * F.col("n"), F.col("seed.key")).otherwise(F.col("key")).alias("group"))
+    joins = _same(F.col("ms"), F.col("seed.ms")) >= F.lit(similar) * F.col("n")
+    if reseed:
+        pairs = cut(pairs.select("leaf", "key", "n", "ms", "docs", F.when(joins, F.col("seed.key")).alias("group")), "seeded")
+        group = pairs.where(F.col("group").isNotNull()).select("key", "group")
+        group = group.unionByName(_reseeded(pairs.where(F.col("group").isNull()).drop("group"), min_docs, similar, batch))
+    else:
+        group = pairs.select("key", F.when(joins, F.col("seed.key")).otherwise(F.col("key")).alias("group"))
     group = cut(group.unionByName(able.where("kinds = 1").select("key", F.col("key").alias("group"))), "groups")
     # Distinct documents of each template: first within (template, document), then of the template.
     spread = held.select("key", "doc_id").join(group, "key").select("group", "doc_id").distinct()

@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less recurring lines; a document that lost all it said goes, any other stays."""
-    kept = lines.drop_recurring(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+    kept = lines.drop_recurring(docs, reseed=True).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
     return kept.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

@@ -2,13 +2,15 @@
 
 import math
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cellstrata.llm import chat, lines, mixing, neighbours
 from tests.llm.conftest import VECTORS, cells_of, sha
 
@@ -159,6 +161,51 @@ def test_lines_equal_the_sql(spark, make_docs):
     assert got == sorted(expected) and sum(r[2] for r in got) > 20
 
 
+def brute_templates(rows, min_docs, similar=0.8, depth=3):
+    """[(doc_id, kept text)] with seeding repeated on the rest of each leaf; rows have ids and single blanks."""
+    mask = lambda x: " ".join("<*>" if re.search("[0-9]", w) else w for w in x.split())
+    held, leaves, gone = defaultdict(set), defaultdict(list), {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            if len(x.split()) >= 4:
+                held[mask(x)].add(i)
+    for m in held:
+        leaves[len(m.split()), *m.split()[:depth]].append(m)
+    for rest in leaves.values():
+        rest.sort(key=lambda m: (-len(held[m]), m))
+        while rest:
+            own = [m for m in rest if sum(a == b for a, b in zip(m.split(), rest[0].split(), strict=True)) >= similar * len(m.split())]
+            docs = set().union(*(held[m] for m in own))
+            gone |= {m: min(docs) for m in own if len(docs) >= min_docs}
+            rest = [m for m in rest if m not in own]
+    return [(i, "\n".join(x for x in t.split("\n") if gone.get(mask(x), i) == i)) for i, t in rows]
+
+
+@pytest.mark.parametrize("batch", [1, 500])
+def test_every_template_of_a_leaf_is_found(spark, make_docs, batch):
+    rng = random.Random(8)
+    ends = [[rng.choice("abcdefgh") * 3 for _ in range(5)] for _ in range(12)]
+
+    def line():
+        words = list(rng.choice(ends))
+        if rng.random() < 0.6:
+            words[rng.randrange(5)] = f"{rng.choice('pqrstuvwxyz')}{rng.choice('pqrstuvwxyz')}"
+        return " ".join(["the", "same", rng.choice(["lead", "start"]), *words])
+
+    texts = ["\n".join(line() for _ in range(rng.randint(0, 3))) for _ in range(60)]
+    got = cells_of(lines.drop_recurring(make_docs(texts), reseed=True, batch=batch).select("row.doc_id", "text"), "doc_id", "text")
+    assert got == brute_templates(list(enumerate(texts)), lines.MIN_DOCS)
+    once = cells_of(lines.drop_recurring(make_docs(texts)).select("row.doc_id", "text"), "doc_id", "text")
+    assert sum(len(t) for _, t in got) < sum(len(t) for _, t in once)
+
+
+def test_the_line_stage_drops_a_leafs_second_template(spark, make_docs):
+    first, second = "we all say one two three four five {0}", "we all say six seven eight nine ten {0}"
+    texts = [first.format(w) for w in "abcde"] + [second.format(w) for w in "abcd"] + ["we all say that this stands here alone"]
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, make_docs(texts, clash=False), "").collect()}
+    assert kept == {i: texts[i] for i in (0, 5, 9)}
+
+
 def test_lines_of_rows_without_or_with_equal_ids(spark, make_docs):
     row = "this line is in all of them"
     docs = make_docs([row] * 5, ids=[7, None, 3, 3, None])
