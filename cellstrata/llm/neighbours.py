@@ -10,8 +10,10 @@ precision.
 
 Fitted on a bounded sample (``sample`` rows of smallest hash of their id): each query's r, an
 upper estimate of the distance of its k-th neighbour, and the slot width, the median r. The
-slots per table grow with the logarithm of the row count. Every row is indexed. A query that
-would need over ``most_probes`` buckets in a table is compared with every row instead.
+slots per table grow with the logarithm of the row count. Every row is indexed. A query is
+compared with every row instead if it would need over ``most_probes`` buckets in a table, if its
+r is 0 or unknown, if no more than ``k`` rows of its length can be candidates, or if its buckets
+hold fewer than ``k`` candidates.
 
 Queries are taken in blocks of ``block``, each broadcast (block * dimensions * 8 bytes) and run
 against all rows where they lie; a task returns its k best per query, and those are merged.
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellstrata.llm._text import U64, mix
-from cellstrata.runtime import ship
+from cellstrata.runtime import cut, ship
 
 _ROWS = 1024
 
@@ -60,7 +62,7 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """A block of queries and the buckets that each visits."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, r: np.ndarray, width: float, hashes: int, tables: int, target: float, most_probes: int, k: int, seed: int):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, r: np.ndarray, width: float, hashes: int, tables: int, target: float, most_probes: int, k: int, seed: int, whole: bool = False):
         self.ids, self.queries, self.k, self.width, self.hashes, self.tables = ids, queries, k, width, hashes, tables
         rng = np.random.default_rng(seed)
         self.a = rng.standard_normal((queries.shape[1], tables * hashes))
@@ -68,7 +70,7 @@ class Index:
         need = 1 - (1 - target) ** (1 / tables)
         place = (queries @ self.a + self.b) / width
         slot = np.floor(place)
-        self.all = np.zeros(len(ids), dtype=bool)
+        self.all = (r <= 0) | whole
         self.probes = []
         for t in range(tables):
             keys, own = [], []
@@ -156,7 +158,8 @@ def nearest(
     """(query_id, rank, vec_id, score): the k nearest rows found of every query; ``is_query`` is over vec_id."""
     spark = ship(vectors.sparkSession)
     rows = usable(vectors, vec_id, embedding)
-    total = rows.count()
+    sizes = {x.n: x.rows for x in rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).collect()}
+    total = sum(sizes.values())
     hashes = min(24, max(4, round(math.log2(max(total, 2)) / 2 - 2)))
     held = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     by_dim: dict[int, list] = {}
@@ -166,7 +169,7 @@ def nearest(
     nth = k if total <= sample else math.ceil(k * len(held) / total) + 2
 
     def reach(ids, queries):
-        """Each query's distance to the nth row of the sample: its k-th neighbour is hardly farther."""
+        """Each query's distance to the nth row of the sample: its k-th neighbour is hardly farther. 0: unknown."""
         at, x = known.get(queries.shape[1], (np.zeros(0, np.int64), np.zeros((0, queries.shape[1]))))
         out = np.zeros(len(ids))
         for i in range(len(ids)):
@@ -178,6 +181,11 @@ def nearest(
     for d, (at, x) in known.items():
         r = reach(at[:256], x[:256])
         width[d] = float(np.median(r[r > 0])) if (r > 0).any() else 1.0
+    def best(rows, index, dim):
+        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(index), dim), "query_id long, vec_id long, score double")
+        nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     def blocks():
@@ -192,13 +200,21 @@ def nearest(
     out = None
     for dim, own in blocks():
         ids, queries = np.array([x.vec_id for x in own], dtype=np.int64), np.array([x.embedding for x in own], dtype=np.float64)
-        index = Index(ids, queries, reach(ids, queries), width.get(dim, 1.0), hashes, tables, target, most_probes, k, seed)
-        part = rows.mapInArrow(_search(spark.sparkContext.broadcast(index), dim), "query_id long, vec_id long, score double")
+        fitted = (width.get(dim, 1.0), hashes, tables, target, most_probes, k, seed)
+        index = Index(ids, queries, reach(ids, queries), *fitted, whole=sizes[dim] <= k + 1)
+        part = best(rows, index, dim)
+        if not index.all.all():
+            part = cut(part, "neighbours")
+            full = {x.query_id for x in part.where(F.col("rank") == k).select("query_id").collect()}  # at most ``block``
+            short = np.array([not index.all[i] and ids[i] not in full for i in range(len(ids))])
+            if short.any():
+                again = Index(ids[short], queries[short], np.zeros(short.sum()), *fitted, whole=True)
+                few = F.broadcast(spark.createDataFrame([(i,) for i in ids[short].tolist()], "query_id long"))
+                part = part.join(few, "query_id", "left_anti").unionByName(best(rows, again, dim))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def _search(held, dim: int):

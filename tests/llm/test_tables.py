@@ -70,6 +70,41 @@ def test_neighbours_with_too_many_probes_are_exact(spark):
         assert [i for _, i in sorted(got[q])] == [i for _, i in want]
 
 
+def found_by(spark, rows, **options):
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 100 == 0, **options).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    return {q: [i for _, i in sorted(v)] for q, v in got.items()}
+
+
+def near_by(rows, queries):
+    return {q: [i for _, i in w] for q, w in brute_nearest(rows, queries).items()}
+
+
+def test_neighbours_of_a_length_that_the_sample_lacks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8 if i > 30 else 3) * 10).tolist()) for i in range(300)]
+    assert found_by(spark, rows, sample=1)[0] == near_by(rows, [0])[0]
+
+
+def test_neighbours_beyond_a_few_copies(spark):
+    rng = np.random.default_rng(7)
+    rows = {i: (rng.normal(size=8) * 10).tolist() for i in range(1000)}
+    first = [r.id for r in spark.range(1000).where("id % 100 <> 0").orderBy(F.xxhash64("id"), "id").limit(3).collect()]
+    rows |= {i: rows[0] for i in first}  # all of the sample that is near
+    rows = list(rows.items())
+    assert found_by(spark, rows, sample=100)[0] == near_by(rows, [0])[0]
+
+
+def test_neighbours_are_as_many_as_there_are(spark):
+    rng = np.random.default_rng(8)
+    few = [(i, (rng.normal(size=8) * 10).tolist()) for i in range(8)]
+    assert found_by(spark, few, target=0.1) == near_by(few, [0])
+    many = [(i, (rng.normal(size=8) * 10).tolist()) for i in range(400)]
+    got = found_by(spark, many, target=0.001, tables=1)
+    assert {q: len(v) for q, v in got.items()} == {q: 10 for q in (0, 100, 200, 300)}
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], VECTORS)
     assert neighbours.nearest(none, F.col("vec_id") % 100 == 0).count() == 0
