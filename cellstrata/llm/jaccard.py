@@ -17,9 +17,9 @@ over the classes reaches n - a + 1, where p of the prefix's shingles lie in a cl
 indexed by k-combinations: if two sets shared no combination, more than n - a of the prefix of
 the one that ends first would be unshared. Rare shingles are indexed alone (k = 1). Frequent
 ones are dealt by their hash to classes of about four prefix members and indexed by pairs
-(k = 2); the number of classes follows from the size, rounded to a power of 1.25, and a set
-signs for its own size and the next, as linked sets are at most one apart. Small sets index
-frequent shingles alone too.
+(k = 2); the number of classes follows from the size, rounded to a power of 100 / percent (1.25
+at least), and a set signs for its own size and the next, as linked sets are at most one apart.
+Small sets index frequent shingles alone too.
 
 *Candidates.* Equal sets are one class. In a group of classes with a common signature, stars
 around one class are verified first and joined into components; then all pairs of different
@@ -229,9 +229,14 @@ def _order(told: DataFrame, buckets: int, most: int, least: int) -> Order:
     return Order(buckets, bitmap, names, names[found[:, 1] >= HIGH])
 
 
+def _step(percent: int) -> float:
+    """Ratio of the sizes of two ranks: linked sets are at most one rank apart."""
+    return max(1.25, 100 / percent)
+
+
 def _classes(size_rank: int, percent: int) -> int:
     """Number of frequent classes for a size rank; 0: frequent shingles are indexed alone."""
-    size = 1.25 ** (size_rank + 1)
+    size = _step(percent) ** (size_rank + 1)
     return 0 if size < _SMALL else max(1, math.ceil((100 - percent) / 100 * size / _PER_CLASS))
 
 
@@ -251,12 +256,12 @@ def signatures(g: np.ndarray, first: np.ndarray, known: Order, percent: int):
     take = (rank == 1) & (place < need[own])
     out = [(key[take], own[take], place[take])]
     pairs = []
-    step = math.log(1.25)
+    step = math.log(_step(percent))
     for d in np.flatnonzero((rare < need) & (n > 0)).tolist():
         lo = first[d] + rare[d]
         h = key[lo : first[d + 1]]
         lack = int(need[d] - rare[d])
-        size_rank = int(math.log(n[d]) / step)
+        size_rank = int(math.log(n[d]) / step + 1e-9)  # 8 of ratio 2 is rank 3, whatever the rounding
         for b in (size_rank, size_rank + 1):
             m = _classes(b, percent)
             salt = X.mix(np.array([b + 1], dtype=X.U64))[0]

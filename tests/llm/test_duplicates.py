@@ -78,6 +78,25 @@ def test_prefixes_keep_every_similar_pair():
             assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [50, 60, 70, 80, 95, 100])
+def test_prefixes_keep_pairs_of_far_sizes(percent):
+    """A set and its smallest part that links share a signature when all is frequent."""
+    rng = random.Random(percent)
+    for n in [1, 2, 4, 16, 50, 64, 70, 88, 128, 150, 256, 400]:
+        whole = rng.sample(range(10**6), n)
+        flat = [np.sort(X.mix(np.array(sorted(s), dtype=X.U64))) for s in (whole, whole[: jaccard.least_overlap(n, percent)])]
+        name = np.unique(X.bucket_of(flat[0], 4).astype(X.U64) << X.U64(32) | flat[0] & X.U64(0xFFFFFFFF))
+        known = jaccard.Order(4, np.full(16, 0xFFFFFFFFFFFFFFFF, dtype=X.U64), name, name[:0])
+        sig, owner, *_ = jaccard.signatures(np.concatenate(flat), np.array([0, n, n + len(flat[1])]), known, percent)
+        assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
+
+
+def test_jaccard_of_half(spark, make_docs):
+    texts = corpus(random.Random(50), 70)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(make_docs(texts), percent=50, least_frequent=2).collect()}
+    assert got == brute_components(list(enumerate(texts)), 50)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(100)] + [(5000, 5000 + i) for i in range(1, 80)] + [(7, 7)]
