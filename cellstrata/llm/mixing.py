@@ -3,8 +3,8 @@
 Documents fall into cells of (source, language, topic) with their word counts as weights. The
 cells' weights are raked in turn to the target marginals of source, language and topic, and cut
 back to what a cell holds, for a fixed number of rounds. A marginal's targets are its categories'
-words to the power ``temper`` (below 1: small ones gain), scaled to ``rate`` of all words. A
-document is sampled with its cell's probability, weight over words, by a hash of its id.
+words to the power ``temper`` (below 1: small ones gain), or the shares that ``targets`` gives for
+a marginal, as {"lang": {"en": 3, "fr": 1}}; either scaled to ``rate`` of all words. A document is sampled with its cell's probability, weight over words, by a hash of its id.
 
 A document's topic is its form: tabular, noisy (runs of symbols), long, short or prose.
 
@@ -13,11 +13,16 @@ in as many as their categories need.
 
 Defined results: a null source or language is the empty one; null and word-less texts have 0
 words, and a cell without words keeps its documents with probability ``rate``; rows that share
-an id are sampled alike; a null id is an id of its own; an empty table gives an empty one.
+an id are sampled alike; a null id is an id of its own; an empty table gives an empty one. Shares
+are relative, over the categories that the cells have; one that is not named gets 0, and None is
+the empty one. A category can't give more than the words it holds: shares that ask for more are
+met at a lower ``rate`` only, and scarce ones may need more ``rounds``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,18 +55,42 @@ def _sorted_docs(docs: DataFrame, text: str) -> DataFrame:
     return out.select("row", "n_words", F.coalesce(F.col("row.source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("row.lang").cast("string"), F.lit("")).alias("lang"), topic(t, F.col("n_words")).alias("topic"))
 
 
-def rake(cells: DataFrame, *, rate: float = RATE, temper: float = TEMPER, rounds: int = ROUNDS, one_task: int = 100_000) -> DataFrame:
-    """Cells (source, lang, topic, words) with ``weight``, raked to the tempered marginals."""
+def _shares(targets: dict | None) -> dict[str, dict[str, float]]:
+    """``targets`` with None as the empty category."""
+    out = {}
+    for d, shares in (targets or {}).items():
+        if d not in _DIMS:
+            raise ValueError(f"targets are for {', '.join(_DIMS)}, not {d}")
+        out[d] = own = {}
+        for k, v in shares.items():
+            if not (math.isfinite(v) and v >= 0):
+                raise ValueError(f"share of {d} {k!r}: {v}")
+            own["" if k is None else str(k)] = own.get("" if k is None else str(k), 0.0) + float(v)
+        if not sum(own.values()) > 0:
+            raise ValueError(f"no share of {d} is over 0")
+    return out
+
+
+def rake(cells: DataFrame, *, rate: float = RATE, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, one_task: int = 100_000) -> DataFrame:
+    """Cells (source, lang, topic, words) with ``weight``, raked to the tempered marginals or to ``targets``."""
+    shares = _shares(targets)
     few = cells.count() <= one_task
     df = cells.coalesce(1) if few else cells
     # Sums are rounded, as their order is not fixed.
     for d in _DIMS:
         own = F.sum("words").over(Window.partitionBy(d))
         once = F.row_number().over(Window.partitionBy(d).orderBy(*_DIMS)) == 1
-        df = df.withColumn(f"t_{d}", F.pow(own.cast("double"), F.lit(temper))).withColumn(f"f_{d}", once)
+        wanted = F.pow(own.cast("double"), F.lit(temper))
+        if d in shares:  # nothing can be taken of a category without words
+            named = F.create_map(*[F.lit(x) for kv in shares[d].items() for x in kv])
+            wanted = F.when(own > 0, F.coalesce(F.try_element_at(named, F.col(d)), F.lit(0.0))).otherwise(F.lit(0.0))
+        df = df.withColumn(f"t_{d}", wanted).withColumn(f"f_{d}", once)
     totals = df.agg(F.sum("words").alias("words"), *[F.sum(F.when(F.col(f"f_{d}"), F.col(f"t_{d}"))).alias(f"s_{d}") for d in _DIMS]).first()
     if not totals.words:
         return cells.withColumn("weight", F.lit(0.0))
+    for d in shares:
+        if not totals[f"s_{d}"]:
+            raise ValueError(f"no words in any {d} that has a share")
     for d in _DIMS:
         df = df.withColumn(f"t_{d}", F.col(f"t_{d}") * F.lit(rate * totals.words / totals[f"s_{d}"]))
     df = df.drop(*[f"f_{d}" for d in _DIMS]).withColumn("weight", F.col("words") * F.lit(float(rate)))

@@ -283,6 +283,31 @@ def test_raking_meets_the_marginals(spark):
     assert (raked.weight <= raked.words).all()
 
 
+def test_raking_meets_given_targets(spark):
+    rng = random.Random(3)
+    rows = [(f"s{i}", f"l{j}" if j else "", f"t{k}", rng.randint(200, 1000)) for i in range(5) for j in range(3) for k in range(3)]
+    cells = spark.createDataFrame([*rows, ("s9", "l1", "t1", 0)], "source string, lang string, topic string, words long")
+    targets = {"source": {"s0": 2, "s1": 1, "s2": 1, "s9": 5, "absent": 7}, "lang": {None: 0.5, "l1": 0.3, "l2": 0.2}}
+    total = 0.2 * sum(r[3] for r in rows)
+    for one_task in (1, 100_000):
+        raked = mixing.rake(cells, rate=0.2, rounds=12, targets=targets, one_task=one_task).toPandas()
+        share = lambda d: (raked.groupby(d).weight.sum() / total).round(3).to_dict()  # noqa: B023, E731
+        assert share("source") == {"s0": 0.5, "s1": 0.25, "s2": 0.25, "s3": 0, "s4": 0, "s9": 0}
+        assert share("lang") == {"": 0.5, "l1": 0.3, "l2": 0.2}
+        held = raked.groupby("topic").words.sum() ** mixing.TEMPER
+        assert np.allclose(raked.groupby("topic").weight.sum(), held / held.sum() * total, rtol=1e-3)
+        assert (raked.weight <= raked.words).all()
+    for wrong in ({"colour": {"red": 1}}, {"lang": {"l1": -1}}, {"lang": {"l1": 0}}, {"lang": {}}, {"lang": {"absent": 1}}):
+        with pytest.raises(ValueError):
+            mixing.rake(cells, targets=wrong)
+
+
+def test_samples_have_the_mix_asked_for(spark, make_docs):
+    docs = make_docs(["one two three four five"] * 6000).withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "fr").otherwise("en"))
+    got = mixing.sample(docs, rate=0.4, targets={"lang": {"en": 1, "fr": 1}}).where("sampled").groupBy("row.lang").count().collect()
+    assert all(abs(r["count"] - 1200) < 120 for r in got) and len(got) == 2
+
+
 def test_mixing_of_odd_tables(spark, make_docs):
     assert mixing.sample(make_docs(["a"]).limit(0)).count() == 0
     empty = mixing.sample(make_docs([None, "", " "])).collect()
