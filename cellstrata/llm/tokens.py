@@ -10,13 +10,15 @@ occurrences of a sequence's lowest pair in one round equals merging them one by
 overlapping occurrences (``aaa``) are taken from the left.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; a special token's string
-inside a text is one token, as the library has it by default; rows are independent, so
-repeated rows repeat and an empty table gives an empty table.
+inside a text is one token, as the library has it by default, and what only arises across two
+texts is none; a very long text is a piece of its own, held with its symbols by one task; rows
+are independent, so repeated rows repeat and an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -53,7 +55,12 @@ class Counter:
         pre, model = spec["pre_tokenizer"], spec["model"]
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or model.get("type") != "BPE" or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError(f"{path}: not a plain byte-level BPE file")
-        self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        added = spec["added_tokens"]
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            raise ValueError(f"{path}: added tokens that take blanks or whole words")
+        self.specials = sorted((t["content"] for t in added if t["content"]), key=len, reverse=True)
+        # at the leftmost place the longest one
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         vocab = model["vocab"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         stand_in = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
@@ -170,13 +177,16 @@ class Counter:
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and tokens of each text."""
         buf, offs = X.flat(texts)
-        n_bytes = np.diff(offs)
-        tokens = np.zeros(len(n_bytes), dtype=np.int64)
         raw = buf.tobytes()
-        if any(t.encode() in raw for t in self.specials):
-            return n_bytes, self._with_specials(texts)
+        if any(t.encode() in raw for t in self.specials):  # in a text, or across two
+            return np.diff(offs), self._with_specials(texts)
+        return np.diff(offs), self._plain(buf, offs)
+
+    def _plain(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Tokens of each text, special strings taken as any other text."""
         if not len(buf):
-            return n_bytes, tokens
+            return np.zeros(len(offs) - 1, dtype=np.int64)
+        raw = buf.tobytes()
         lead = (buf & 0xC0) != 0x80
         at_byte = np.flatnonzero(lead)
         code = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -202,27 +212,30 @@ class Counter:
                 self.known_hash, self.known_count = joined[order], np.concatenate([self.known_count, n[new].astype(np.int32)])[order]
         total = np.concatenate([[0], np.cumsum(n[back])])
         bound = np.searchsorted(cut, first)
-        return n_bytes, total[bound[1:]] - total[bound[:-1]]
+        return total[bound[1:]] - total[bound[:-1]]
 
     def _with_specials(self, texts: pa.Array) -> np.ndarray:
         """Texts are cut at special strings, the leftmost and then longest first, each one token."""
         out = np.zeros(len(texts), dtype=np.int64)
         parts, own = [], []
+
+        def count():
+            np.add.at(out, np.array(own, dtype=np.int64), self._plain(*X.flat(pa.array(parts, pa.large_string()))))
+            parts.clear()
+            own.clear()
+
         for i, t in enumerate(texts.to_pylist()):
-            rest = t or ""
-            while True:
-                hits = [(p, -len(x), x) for x in self.specials if (p := rest.find(x)) >= 0]
-                if not hits:
-                    break
-                p, _, x = min(hits)
-                parts.append(rest[:p])
+            at = 0
+            for hit in self.special.finditer(t or ""):
+                parts.append(t[at : hit.start()])
                 own.append(i)
                 out[i] += 1
-                rest = rest[p + len(x) :]
-            parts.append(rest)
+                at = hit.end()
+                if len(parts) >= 50_000:
+                    count()
+            parts.append((t or "")[at:])
             own.append(i)
-        for at in range(0, len(parts), 50_000):
-            np.add.at(out, np.array(own[at : at + 50_000], dtype=np.int64), self.counts(pa.array(parts[at : at + 50_000], pa.large_string()))[1])
+        count()
         return out
 
 

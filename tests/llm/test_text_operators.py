@@ -48,6 +48,7 @@ def test_token_counts_equal_the_library(spark, make_docs):
     rng = random.Random(5)
     parts = list("aabcdest'  \n\t.,!?123éßñ中文字 🙂\x85\x1c²Ⅷ") + ["'s", "'re", "'ll", " 's", "''", "<|endoftext|>", "\r\n", "aaaa"]
     texts = [*ODD, "it's 'something' ''s", "x   ", "   x", "a" * 5000, "<|endoftext|><|endoftext|>"]
+    texts += ["a<|endof", "text|>b", "<|endof<|endoftext|>text|>", "<|endof", "<|endoftext|>", "text|>", "<|endoftext|>" * 60_000]
     texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
     counted = tokens.count_tokens(make_docs(texts), "byte_bpe_50k.json").select("row.doc_id", "n_bytes", "n_tokens").collect()
     expected = [len(e.ids) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
