@@ -11,7 +11,8 @@ one vector per language, so what is gathered is languages times dimensions.
 
 Defined results: null texts, texts without a letter and all texts when nothing was learned are
 ``und`` with score 0; a null language is not learned; equal cosines go to the language that
-sorts first; rows are independent, so repeated rows repeat.
+sorts first; rows are independent, so repeated rows repeat. A very long text is a piece of its own;
+what a piece takes beyond its n-grams is a slice of vectors and one vector a text.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ NGRAM = 3
 SEED = 7
 _PIECE = 1 << 20
 _DENSE = 4_000_000
+_GRAMS, _ROWS = 8192, 1024  # n-grams and texts of a slice of a bundle
 
 
 class _Letters:
@@ -56,24 +58,31 @@ class Space:
     def __init__(self, dimensions: int, seed: int):
         self.dimensions, self.seed = dimensions, seed
         self.letters = _Letters()
-        self.own: dict[int, np.ndarray] = {}
-
-    def letter(self, s: int) -> np.ndarray:
-        if s not in self.own:
+        self.own = np.zeros((64, dimensions), dtype=np.int8)  # letters' vectors in the order they turn up
+        self.at = np.full(0x110000, -1, dtype=np.int32)
+        self.known = 0
+
+    def vectors(self, symbols: np.ndarray) -> np.ndarray:
+        """One row per symbol: the vector drawn from its code point."""
+        for s in np.unique(symbols[self.at[symbols] < 0]).tolist():
+            if self.known == len(self.own):
+                self.own = np.concatenate([self.own, np.zeros_like(self.own)])
             bits = np.random.default_rng([self.seed, s]).integers(0, 2, self.dimensions, dtype=np.int8)
-            self.own[s] = (2 * bits - 1).astype(np.float32)
-        return self.own[s]
+            self.own[self.known] = 2 * bits - 1
+            self.at[s] = self.known
+            self.known += 1
+        return self.own[self.at[symbols]]
 
     def grams(self, codes: np.ndarray) -> np.ndarray:
         """One row per n-gram, given as NGRAM symbols of 21 bits."""
-        out = np.ones((len(codes), self.dimensions), dtype=np.float32)
+        out = np.ones((len(codes), self.dimensions), dtype=np.int8)
         for place in range(NGRAM):
             symbol, back = np.unique((codes >> (21 * (NGRAM - 1 - place))) & 0x1FFFFF, return_inverse=True)
-            out *= np.stack([np.roll(self.letter(int(s)), NGRAM - 1 - place) for s in symbol])[back]
-        return out
+            out *= np.roll(self.vectors(symbol), NGRAM - 1 - place, axis=1)[back]
+        return out.astype(np.float32)
 
-    def counted(self, texts: pa.Array, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-grams of some texts, counts by (group of texts, n-gram), and whether each text has a letter."""
+    def counted(self, texts: pa.Array, group: np.ndarray, groups: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Distinct n-grams of some texts; (group of texts, n-gram, count) of what occurs; whether each text has a letter."""
         texts = texts.cast(pa.large_string())
         blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
         buf, offs = X.flat(pc.binary_join_element_wise(blank, texts.fill_null(""), blank, none) if len(texts) else texts)
@@ -86,7 +95,7 @@ class Space:
         stay[1:] = (symbol[1:] != 0) | (symbol[:-1] != 0) | (text[1:] != text[:-1])
         symbol, text = symbol[stay], text[stay]
         if len(symbol) < NGRAM:
-            return np.zeros(0, np.int64), np.zeros((groups, 0), np.float32), has
+            return np.zeros(0, np.int64), (np.zeros(0, np.int64),) * 3, has
         n = len(symbol) - NGRAM + 1
         ok = np.ones(n, dtype=bool)
         for j in range(NGRAM - 1):  # two blanks in a row are where texts meet
@@ -110,13 +119,37 @@ class Space:
             for j in range(1, NGRAM):
                 code = code << 21 | symbol[at + j]
             codes, back = np.unique(code, return_inverse=True)
-        counts = np.bincount(group[text[at]] * len(codes) + back, minlength=groups * len(codes)).reshape(groups, len(codes))
-        return codes, counts, has
-
-    def bundled(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(counts), self.dimensions), dtype=np.float64)
-        for at in range(0, len(codes), 8192):
-            out += counts[:, at : at + 8192].astype(np.float32) @ self.grams(codes[at : at + 8192])
+        pair = group[text[at]] * len(codes) + back
+        if groups * len(codes) <= _DENSE:
+            many = np.bincount(pair)
+            pair = np.flatnonzero(many)
+            many = many[pair]
+        else:
+            pair, many = np.unique(pair, return_counts=True)
+        return codes, (pair // len(codes), pair % len(codes), many), has
+
+    def bundled(self, codes: np.ndarray, triples: tuple[np.ndarray, np.ndarray, np.ndarray], groups: int) -> np.ndarray:
+        """The sums of n-gram vectors, a slice of n-grams and texts at a time; groups rise in ``triples``."""
+        out = np.zeros((groups, self.dimensions), dtype=np.float64)
+        order = np.argsort(triples[1] // _GRAMS, kind="stable")
+        row, gram, many = (x[order] for x in triples)
+        edge = np.searchsorted(gram // _GRAMS, np.arange(-(-len(codes) // _GRAMS) + 1))
+        for i, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)):
+            vectors = self.grams(codes[i * _GRAMS : (i + 1) * _GRAMS])
+            at, size = gram[lo:hi] - i * _GRAMS, len(vectors)
+            first = int(row[lo]) if hi > lo else groups
+            for begin in range(first - first % _ROWS, groups, _ROWS):
+                x, y = lo + np.searchsorted(row[lo:hi], [begin, begin + _ROWS])
+                own, rows = row[x:y] - begin, min(_ROWS, groups - begin)
+                if (y - x) * 16 >= rows * size:
+                    counts = np.bincount(own * size + at[x - lo : y - lo], many[x:y], rows * size).reshape(rows, size)
+                    out[begin : begin + rows] += counts.astype(np.float32) @ vectors
+                    continue
+                for s in range(0, y - x, _GRAMS):  # few of these texts have few of these n-grams
+                    e = min(s + _GRAMS, y - x)
+                    part = vectors[at[x - lo + s : x - lo + e]] * many[x + s : x + e, None].astype(np.float32)
+                    lead = np.flatnonzero(np.diff(own[s:e], prepend=-1))
+                    out[begin + own[s:e][lead]] += np.add.reduceat(part, lead, axis=0)
         return out
 
 
@@ -140,19 +173,21 @@ def learn(docs: DataFrame, training: Column, *, dimensions: int = DIMENSIONS, se
         def bundle():
             for name, own in total.items():
                 codes = np.fromiter(own.keys(), np.int64, len(own))
-                counts = np.fromiter(own.values(), np.int64, len(own))[None, :]
-                # in halves of 12 bits: products of float32 stay exact
-                vec = space.bundled(codes, counts & 0xFFF) + 4096.0 * space.bundled(codes, (counts >> 12) & 0xFFF) + 4096.0**2 * space.bundled(codes, counts >> 24)
-                sums[name] = sums.get(name, 0.0) + vec[0]
+                counts = np.fromiter(own.values(), np.int64, len(own))
+                zero, each = np.zeros(len(own), np.int64), np.arange(len(own))
+                # in parts of 11 bits: sums of 8192 products stay exact in float32
+                for shift in range(0, int(counts.max()).bit_length(), 11):
+                    vec = space.bundled(codes, (zero, each, (counts >> shift) & 0x7FF), 1)
+                    sums[name] = sums.get(name, 0.0) + float(1 << shift) * vec[0]
             total.clear()
 
         for b in X.pieces(batches, "text", _PIECE):
             names, group = np.unique(np.array(b.column(1).to_pylist(), dtype=object), return_inverse=True)
-            codes, counts, _ = space.counted(b.column(0), group, len(names))
+            codes, (of, gram, many), _ = space.counted(b.column(0), group, len(names))
+            edge = np.searchsorted(of, np.arange(len(names) + 1))
             for i, name in enumerate(names):
-                own = total.setdefault(name, {})
-                at = np.flatnonzero(counts[i])
-                for c, n in zip(codes[at].tolist(), counts[i][at].tolist(), strict=True):
+                own, p = total.setdefault(name, {}), slice(edge[i], edge[i + 1])
+                for c, n in zip(codes[gram[p]].tolist(), many[p].tolist(), strict=True):
                     own[c] = own.get(c, 0) + n
             if sum(map(len, total.values())) > 1_000_000:
                 bundle()
@@ -179,10 +214,10 @@ def identify(docs: DataFrame, langs: list[str], protos: np.ndarray, *, dimension
         labels = np.array([*names, "und"], dtype=object)
         for b in X.pieces(batches, "text", _PIECE):
             n = b.num_rows
-            codes, counts, has = space.counted(b.column(1), np.arange(n), n)
+            codes, triples, has = space.counted(b.column(1), np.arange(n), n)
             pick, score = np.full(n, len(names)), np.zeros(n)
             if len(names) and len(codes):
-                vec = space.bundled(codes, counts)
+                vec = space.bundled(codes, triples, n)
                 norm = np.linalg.norm(vec, axis=1)
                 cos = vec @ mat.T.astype(np.float64) / np.where(norm > 0, norm, 1)[:, None]
                 pick[has] = np.argmax(cos, axis=1)[has]

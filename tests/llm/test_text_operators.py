@@ -1,7 +1,9 @@
 """Decontamination, token counts, language ID and toxicity on small tables."""
 
 import random
+import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -85,12 +87,10 @@ def test_language_id(spark):
 
 
 def test_a_bundle_is_the_sum_of_its_grams():
-    import numpy as np
-
     space = langid.Space(64, 1)
-    codes, counts, has = space.counted(pa.array(["Abc abc", "!!", None]), np.arange(3), 3)
-    vec = space.bundled(codes, counts)
-    letters = {c: space.letter(ord(c)) for c in "abc"} | {" ": space.letter(0)}
+    codes, triples, has = space.counted(pa.array(["Abc abc", "!!", None]), np.arange(3), 3)
+    vec = space.bundled(codes, triples, 3)
+    letters = {c: space.vectors(np.array([ord(c)]))[0].astype(int) for c in "abc"} | {" ": space.vectors(np.array([0]))[0].astype(int)}
     total = 0
     text = " abc abc "
     for i in range(len(text) - 2):
@@ -98,6 +98,61 @@ def test_a_bundle_is_the_sum_of_its_grams():
     assert (vec[0] == total).all() and list(has) == [True, False, False] and not vec[2].any()
 
 
+@pytest.mark.parametrize("grams,rows", [(8192, 1024), (7, 2), (40, 5)])
+def test_bundles_in_slices(monkeypatch, grams, rows):
+    """Sparse and dense slices give the same sums."""
+    rng = random.Random(grams)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) for _ in range(23)] + ["a" * 900, ""]
+    space = langid.Space(32, 1)
+    codes, (row, gram, many), _ = space.counted(pa.array(texts), np.arange(25), 25)
+    counts = np.zeros((25, len(codes)))
+    counts[row, gram] = many
+    monkeypatch.setattr(langid, "_GRAMS", grams)
+    monkeypatch.setattr(langid, "_ROWS", rows)
+    assert (space.bundled(codes, (row, gram, many), 25) == counts @ space.grams(codes)).all()
+
+
+def test_many_short_texts_of_many_letters_fit_in_memory():
+    """10,000 texts of 30 ideographs have about as many n-grams as places."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    texts = pa.array(["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(30)) for _ in range(10_000)])
+    space = langid.Space(64, 1)
+    tracemalloc.start()
+    codes, triples, has = space.counted(texts, np.arange(10_000), 10_000)
+    vec = space.bundled(codes, triples, 10_000)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert has.all() and (vec != 0).any(axis=1).all() and len(codes) > 250_000
+
+
+def test_language_is_chosen_by_cosine(spark):
+    """The registered choice, spelled out text by text."""
+    rng = random.Random(4)
+    rows = [(i, _spoken(rng, lang, rng.randint(1, 9)), lang) for i, lang in enumerate(["en", "fr", "de"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    space = langid.Space(langid.DIMENSIONS, langid.SEED)
+    letter = lambda c: space.vectors(np.array([c]))[0].astype(int)
+
+    def vector(text):
+        out, run = np.zeros(langid.DIMENSIONS), re.sub("[^a-zà-ÿ]+", " ", f" {text.lower()} ")
+        code = [0 if c == " " else ord(c) for c in run]
+        for x, y, z in zip(code, code[1:], code[2:], strict=False):
+            out += np.roll(letter(x), 2) * np.roll(letter(y), 1) * letter(z)
+        return out
+
+    langs, protos = langid.learn(docs, F.col("doc_id") % 2 == 0)
+    for name, got in zip(langs, protos, strict=True):
+        own = sum(vector(t) for i, t, lang in rows if lang == name and i % 2 == 0)
+        assert np.allclose(got, own / np.linalg.norm(own), atol=1e-9)
+    said = {r.doc_id: r for r in langid.identify(docs, langs, protos, keep=["doc_id"]).select("row.doc_id", "lang_pred", "score").collect()}
+    for i, t, _ in rows:
+        v = vector(t)
+        cos = protos @ v / np.linalg.norm(v)
+        assert said[i].lang_pred == langs[int(np.argmax(cos))] and abs(said[i].score - cos.max()) < 1e-5
+
+
 def _toxic_tables(spark, n=600):
     rng = random.Random(8)
     docs, labels = [], []
