@@ -2,6 +2,12 @@
 
 Every stage is a function of (spark, docs, sf_dir) that calls one operator on all its
 predecessor kept. ``run`` writes each stage's result as Parquet and reads it again.
+
+Defined results of every stage: a document of null or empty text stays (it scores 0, says no line,
+links with nothing, has no words and is sampled at the rate); rows without an id stay or go by their
+own text; ties go to the smallest id; rows that repeat are judged alike, and the near-duplicate stage
+leaves one of those that share an id; a very long text is taken whole; an empty table gives an empty
+one. Other columns pass through unchanged, whatever their names: see ``mix_sources`` for what it adds.
 """
 
 from __future__ import annotations
@@ -44,8 +50,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with calibrated probabilities; beside the documents' columns n_words, topic and probability."""
-    return mixing.sample(docs).where("sampled").select("row.*", "n_words", "topic", F.round("probability", 6).alias("probability"))
+    """A sample with calibrated probabilities; beside the documents' columns n_words, topic and probability.
+
+    Where the documents have a column of that name already, the added one gets underscores until it is free.
+    """
+    taken = {c.lower() for c in docs.columns}
+    added = {"n_words": F.col("n_words"), "topic": F.col("topic"), "probability": F.round("probability", 6)}
+    own = [x.alias(name + "_" * next(i for i in range(len(taken) + 1) if name + "_" * i not in taken)) for name, x in added.items()]
+    return mixing.sample(docs).where("sampled").select("row.*", *own)
 
 
 STAGES = [
