@@ -5,13 +5,17 @@ words and word stems, the first 3 to 6 bytes), and the document is toxic unless
 noisy-or. Weights are fitted to document labels alone; sentence scores then locate the
 offending sentences.
 
-The fit takes at most ``per_class`` labelled documents of each class (those of smallest
-hash of their id, so a fixed sample), weighted back to the classes' shares, in one task.
-Scoring covers every text, a piece at a time.
+The fit takes a bounded sample of the labelled documents: of each class those of smallest
+hash of their id, at most ``per_class`` of them and, but for the first, ``class_bytes`` of
+text, weighted back to the classes' shares of all labelled documents, in one task. Labels
+without a document count for nothing. Every feature of ``least_docs`` sampled documents is
+kept whose likelihood ratio with the label is ``least_z`` deviations or more; how many those
+are is bounded by the sample alone. Scoring covers every text, a piece at a time.
 
 Defined results: a text without words (null and empty too) has no sentence that could
 offend and scores 0; without labels of both classes everything scores 0; documents with
-several labels count as often; null labels are not learned; repeated rows repeat.
+several labels count as often; null labels are not learned; repeated rows repeat; a very long
+text is a piece of its own.
 """
 
 from __future__ import annotations
@@ -21,15 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellstrata.llm import _text as X
 from cellstrata.llm.decontaminate import WORD
-from cellstrata.runtime import ship
+from cellstrata.runtime import cut, ship
 
-PER_CLASS = 4000
+PER_CLASS, CLASS_BYTES = 4000, 64 << 20
+LEAST_DOCS, LEAST_Z = 3, 4.5
 STEMS = (3, 4, 5, 6)
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 33, 46, 63]] = True  # line end ! . ?
@@ -98,10 +103,10 @@ def noisy_or(z: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return -np.expm1(np.minimum(0.0, keep[bound[1:]] - keep[bound[:-1]]))
 
 
-def choose(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def choose(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z) -> tuple[np.ndarray, np.ndarray]:
     """Features that go with the label, sorted, and their log odds; pos, neg: each document's distinct features."""
     vocab, inside = np.unique(np.concatenate([pos, neg]), return_counts=True)
-    vocab = vocab[inside >= 3]
+    vocab = vocab[inside >= least_docs]
     told = lambda v: np.searchsorted(v, vocab, "right") - np.searchsorted(v, vocab, "left")
     pos, neg = told(np.sort(pos)), told(np.sort(neg))
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
@@ -109,8 +114,7 @@ def choose(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, most: int =
     part = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0.0)
     has, n = pos + neg, n_pos + n_neg
     z = np.sqrt(np.maximum(0, 2 * (part(pos, has * n_pos / n) + part(neg, has * n_neg / n) + part(n_pos - pos, (n - has) * n_pos / n) + part(n_neg - neg, (n - has) * n_neg / n))))
-    chosen = np.flatnonzero(z > 4.5)
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:most]])
+    chosen = np.flatnonzero(z > least_z)
     return vocab[chosen], odds[chosen]
 
 
@@ -135,7 +139,7 @@ def fit(words: np.ndarray, odds: np.ndarray, sent: np.ndarray, feat: np.ndarray,
     return Model(words, theta[:-1], float(theta[-1]))
 
 
-def fit_texts(parts: list[tuple[pa.Array, np.ndarray]], prior: float) -> Model:
+def fit_texts(parts: list[tuple[pa.Array, np.ndarray]], prior: float, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z) -> Model:
     """The model of some texts and their labels. Features are made twice, so that only the chosen ones are kept."""
     label = np.concatenate([y for _, y in parts])
     if not label.any() or label.all():
@@ -150,7 +154,7 @@ def fit_texts(parts: list[tuple[pa.Array, np.ndarray]], prior: float) -> Model:
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         for k in (0, 1):
             seen[k].append(h[new & (y[doc] == k)])
-    words, odds = choose(np.concatenate(seen[1]), np.concatenate(seen[0]), int(label.sum()), int((1 - label).sum()))
+    words, odds = choose(np.concatenate(seen[1]), np.concatenate(seen[0]), int(label.sum()), int((1 - label).sum()), least_docs, least_z)
     del seen
     if not len(words):
         return nothing()
@@ -172,25 +176,33 @@ def nothing() -> Model:
     return Model(np.zeros(0, X.U64), np.zeros(0), float("-inf"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, text: str = "text") -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z, text: str = "text"
+) -> Model:
     """Fits to ``labels`` (doc_id, toxic 0 or 1) of ``docs``."""
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    share = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    total = sum(share.values())
+    held = docs.groupBy("doc_id").agg(F.sum(F.octet_length(text)).cast("long").alias("bytes"), F.count("*").alias("rows"))
+    known = cut(known.join(held, "doc_id"), "labelled")
+    share = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.sum("rows").alias("n")).collect()}
     if len(share) < 2:
         return nothing()
-    one = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    sample = one(0).unionByName(one(1))  # at most 2 * per_class rows of 12 bytes
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").repartition(1)
-    prior = share[1] / total
-
-    def run(batches):
+    by = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = Window.partitionBy("toxic").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    one = lambda y: known.where(F.col("toxic") == y).orderBy(*by).limit(per_class)
+    sample = one(0).unionByName(one(1)).withColumn("before", F.coalesce(F.sum("bytes").over(first), F.lit(0)))
+    sample = sample.withColumn("nth", F.row_number().over(Window.partitionBy("toxic").orderBy(*by)))
+    sample = sample.where((F.col("nth") == 1) | (F.col("before") + F.coalesce("bytes", F.lit(0)) <= class_bytes)).select("doc_id", "toxic")
+    # at most 2 * per_class rows of 12 bytes
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").repartition(1).sortWithinPartitions("doc_id", "toxic", "text")
+    prior = share[1] / sum(share.values())
+
+    def run(batches):  # in a fixed order, so that a fit repeats to the last bit
         parts = [(b.column(0), np.array(b.column(1))) for b in X.pieces(batches)]
-        if parts:  # rows come in any order: the fit sees the same sums up to rounding
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_texts(parts, prior))], pa.binary())], ["model"])
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_texts(parts, prior, least_docs, least_z))], pa.binary())], ["model"])
 
-    found = rows.mapInArrow(run, "model binary").collect()
+    found = rows.select("text", "toxic").mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else nothing()
 
 

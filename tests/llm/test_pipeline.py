@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -93,6 +94,19 @@ def test_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_clashing_columns(spark, folder, make_docs, tmp_path):
+    """Columns of the names that the stages use themselves pass through, and what is added makes room."""
+    docs = make_docs(["a b c d e f g", None, "", "a b c d e f g", "vile grotsky vile", "x " * 3000]).withColumn("probability", F.lit("m")).withColumn("topic_", F.lit("n"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "n_words_", "topic__", "probability_"]
+    assert {(r.topic, r.n_words, r.row, r.probability, r.topic_) for r in out.collect()} <= {("l", "a", "b", "m", "n")}
+
+
 def test_registered():
     known = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in known} and "pipeline" in known

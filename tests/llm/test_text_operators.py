@@ -184,6 +184,55 @@ def test_toxicity(spark):
             assert any(w in scored[i].text.encode()[s:e] for w in (b"vil", b"grot"))
 
 
+def test_labels_without_documents_are_no_sample(spark):
+    docs, labels = _toxic_tables(spark, 60)
+    stray = spark.range(1000, 20_000).selectExpr("id doc_id", "1 quality", "cast(id % 2 as int) toxic")
+    plain, more = (toxicity.learn(docs, x, per_class=40) for x in (labels, labels.unionByName(stray)))
+    assert len(plain.words) and (plain.words == more.words).all() and (plain.weights == more.weights).all() and plain.bias == more.bias
+    few = toxicity.learn(docs, labels, per_class=40, class_bytes=1500)
+    assert len(few.words) < len(plain.words)
+    assert toxicity.learn(docs, labels, class_bytes=1) is not None  # one document of each class
+
+
+def test_scores_equal_a_plain_noisy_or(spark):
+    """The model's scores, spelled out sentence by sentence, and the fit against plain gradient steps."""
+    docs, labels = _toxic_tables(spark, 90)
+    model = toxicity.learn(docs, labels)
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+
+    def features(sentence):
+        out = set()
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", sentence.lower().encode()):
+            for part in {w, *(w[:k] for k in toxicity.STEMS if len(w) > k)}:
+                buf = np.frombuffer(part, np.uint8)
+                out.add(int(toxicity.X.hash_spans(buf, np.array([0]), np.array([len(buf)]))[0]))
+        return out
+
+    bags = {r.doc_id: [f for x in re.split(r"[\n.!?]", r.text) if (f := features(x))] for r in docs.collect()}
+    for r in toxicity.score(docs, model, keep=["doc_id"]).select("row.doc_id", "score").collect():
+        clean = 1.0
+        for f in bags[r.doc_id]:
+            clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(weight.get(x, 0.0) for x in f))))
+        assert abs(r.score - (1 - clean)) < 1e-9
+    # the loss of the fitted weights is no more than what plain descent from them reaches
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    prior = sum(truth.values()) / len(truth)
+
+    def loss(bias, w):
+        out = 0.0
+        for i, y in truth.items():
+            keep = -sum(np.logaddexp(0, bias + sum(w.get(x, 0.0) for x in f)) for f in bags[i])
+            p = min(max(-np.expm1(keep), 1e-9), 1)
+            out += -np.log(p) * prior / sum(truth.values()) if y else -keep * (1 - prior) / (len(truth) - sum(truth.values()))
+        return out
+
+    best = loss(model.bias, weight)
+    for step in (0.3, -0.3):
+        assert best <= loss(model.bias + step, weight) + 1e-3
+        for x in list(weight)[:6]:
+            assert best <= loss(model.bias, {**weight, x: weight[x] + step}) + 1e-3
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = _toxic_tables(spark, 9)
     for few in (labels.limit(0), labels.where("toxic = 0")):
