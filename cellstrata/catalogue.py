@@ -212,6 +212,35 @@ def region_assign(spark, d):
     return algebra.count_by(plans.assign_regions(cells_of_events(spark, d), regions_of_nations(spark, d)), "region_id")
 
 
+_OVERLAPS_SQL = f"""{_REGIONS_SQL}, lapping as (select region_id, start_key, end_key from regions
+  union all select 1000 + region_id, start_key, '' from regions where region_id % 5 = 0
+  union all select 2000 + region_id, case when region_id % 2 = 0 then '' else '00000123' end, end_key from regions where region_id % 3 = 0
+  union all select 3000 + region_id, start_key, end_key from regions where region_id < 4)"""
+
+
+def overlapping_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions beside parents that were split, and copies of some."""
+    r = regions_of_nations(spark, sf_dir)
+    i = F.col("region_id")
+    made = lambda df, by, lo, hi: df.select((i + by).alias("region_id"), lo.alias("start_key"), hi.alias("end_key"))
+    lo, hi = F.col("start_key"), F.col("end_key")
+    parents = made(r.where(i % 5 == 0), 1000, lo, F.lit("")).unionByName(made(r.where(i % 3 == 0), 2000, F.when(i % 2 == 0, "").otherwise("00000123"), hi))
+    return r.unionByName(parents).unionByName(made(r.where(i < 4), 3000, lo, hi))
+
+
+@_query("region_assign_overlap", f"with {CELLS_SQL}, {_OVERLAPS_SQL} select region_id, count(*) n_cells, min(row_key) first_row, max(row_key) last_row from cells join lapping on row_key >= start_key and (end_key = '' or row_key < end_key) group by 1")
+def region_assign_overlap(spark, d):
+    held = plans.assign_regions(cells_of_events(spark, d), overlapping_regions(spark, d))
+    return held.groupBy("region_id").agg(F.count("*").alias("n_cells"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+
+
+@_query("region_assign_few_cuts", f"with {CELLS_SQL}, {_OVERLAPS_SQL} select seq, count(*) n_regions, cast(sum(region_id) as bigint) ids from cells join lapping on row_key >= start_key and (end_key = '' or row_key < end_key) group by 1")
+def region_assign_few_cuts(spark, d):
+    """The same with more bounds than cuts: a part holds several ranges, and the bounds decide."""
+    held = plans.assign_regions(cells_of_events(spark, d), overlapping_regions(spark, d), cuts=7)
+    return held.groupBy("seq").agg(F.count("*").alias("n_regions"), F.sum("region_id").alias("ids"))
+
+
 @_query("region_name_md5", f"with {_REGIONS_SQL} select region_id, md5('shop:events,' || start_key || ',' || region_id) as folder, md5('events,' || start_key || ',' || region_id) default_folder from regions")
 def region_name_md5(spark, d):
     name = lambda ns: render.region_name(render.table_name(F.lit(ns), F.lit("events")), F.col("start_key"), F.col("region_id"))

@@ -1,11 +1,13 @@
-"""Regions: half-open row ranges [start_key, end_key); an empty key is no bound."""
+"""Regions: half-open row ranges [start_key, end_key); an empty key is no bound. Regions may overlap."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_REGIONS = 100_000
+CUTS, SALTS = 4095, 8
 
 
 def sort_regions(regions: DataFrame) -> DataFrame:
@@ -25,31 +27,41 @@ def _holds(row: Column) -> Column:
     return (row >= F.col("start_key")) & ((F.length("end_key") == 0) | (row < F.col("end_key")))
 
 
-def assign_regions(rows: DataFrame, regions: DataFrame, row: str = "row") -> DataFrame:
-    """Each row beside the region that holds it.
+def _numbered(cuts: list) -> Callable[[Column, bool], Column]:
+    """Number of cuts at or before a key, or only before it: a binary search in a constant array."""
+    if not cuts:
+        return lambda key, before=False: F.when(key.isNotNull(), F.lit(0))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    known = F.array(*[F.lit(c) for c in cuts])
+
+    def number(key: Column, before: bool = False) -> Column:
+        def go(n, step):
+            at = F.get(known, n + step - 1)
+            return F.when((at < key) if before else (at <= key), n + step).otherwise(n)
+
+        return F.when(key.isNotNull(), F.aggregate(steps, F.lit(0), go))
+
+    return number
+
+
+def assign_regions(rows: DataFrame, regions: DataFrame, row: str = "row", cuts: int = CUTS, salts: int = SALTS) -> DataFrame:
+    """Each row beside every region that holds it.
 
-    Up to ``BROADCAST_REGIONS`` regions, counted first, are broadcast. More are met by a sort: rows and region
-    starts are dealt by range on the key, and each row takes the last region that starts at or before it.
+    The key space is cut at the regions' bounds, or at ``cuts`` of them (those of smallest hash) if there are more.
+    A region is listed under every part that it touches, a row under its own, and they meet in a join on the part's
+    number, where the bounds decide. Spark sends the regions to all tasks if they are small by their statistics, and
+    shuffles both sides if not; rows of one part are then dealt to ``salts`` groups, each beside a copy of its regions.
     """
-    if regions.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS:
-        return rows.join(F.broadcast(regions), _holds(F.col(row)))
-    return _assign_sorted(rows, regions, row)
-
-
-def _assign_sorted(rows: DataFrame, regions: DataFrame, row: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    bounds = sorted(r[0] for r in regions.sample(min(1.0, 1000 / regions.count()), seed=1).select("start_key").collect())
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array(F.lit(""))
-    part = lambda c: F.size(F.filter(cuts, lambda b: b <= c))
-    span = F.explode(F.sequence(part(F.col("start_key")), F.when(F.length("end_key") == 0, F.lit(len(bounds))).otherwise(part(F.col("end_key")))))
-    spread = regions.withColumn("_part", span)
-    left = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), part(F.col(row)).alias("_part"), F.col(row).alias("_key"))
-    right = spread.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), "_part", F.col("start_key").alias("_key"), F.struct(*regions.columns).alias("_region"))
-    both = left.withColumn("_region", F.lit(None).cast(right.schema["_region"].dataType)).unionByName(right)
-    before = Window.partitionBy("_part").orderBy("_key", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_region", F.last("_region", ignorenulls=True).over(before)).where("_row is not null and _region is not null")
-    return found.select("_row.*", "_region.*").where(_holds(F.col(row)))
+    some = regions.where((F.length("end_key") == 0) | (F.col("start_key") < F.col("end_key")))
+    bounds = some.select(F.explode(F.array("start_key", "end_key")).alias("b")).where(F.length("b") > 0).distinct()
+    plain = lambda b: bytes(b) if isinstance(b, bytearray) else b
+    known = sorted(plain(r.b) for r in bounds.orderBy(F.xxhash64("b"), "b").limit(cuts).collect())
+    number = _numbered(known)
+    last = F.when(F.length("end_key") == 0, F.lit(len(known))).otherwise(number(F.col("end_key"), True))
+    spread = some.withColumn("_part", F.explode(F.sequence(number(F.col("start_key")), last)))
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumns({"_part": number(F.col(row)), "_salt": (F.monotonically_increasing_id() % salts).cast("int")})
+    return dealt.join(spread, ["_part", "_salt"]).where(_holds(F.col(row))).drop("_part", "_salt")
 
 
 def skip_references(store_files: DataFrame) -> DataFrame:

@@ -50,14 +50,14 @@ def scan(rows, max_versions=0, start=b"", end=b""):
 
 
 CASES = {
-    "passthrough": ([(b"row1", b"q", 100, PUT), (b"row2", b"q", 100, PUT), (b"row3", b"q", 100, PUT)], 0, [(b"row1", b"q", 100), (b"row2", b"q", 100), (b"row3", b"q", 100)]),
-    "overlap": ([(b"row1", b"q1", 200, PUT, 0), (b"row1", b"q2", 200, PUT, 0), (b"row1", b"q1", 100, PUT, 1), (b"row1", b"q2", 100, PUT, 1)], 0, [(b"row1", b"q1", 200), (b"row1", b"q1", 100), (b"row1", b"q2", 200), (b"row1", b"q2", 100)]),
-    "point delete": ([(b"row1", b"q", 100, DELETE), (b"row1", b"q", 100, PUT)], 0, []),
-    "column delete": ([(b"row1", b"q1", 200, DELETE_COLUMN), (b"row1", b"q1", 200, PUT), (b"row1", b"q1", 100, PUT), (b"row1", b"q2", 100, PUT)], 0, [(b"row1", b"q2", 100)]),
-    "family delete": ([(b"row1", b"q1", 200, DELETE_FAMILY), (b"row1", b"q1", 200, PUT), (b"row1", b"q1", 100, PUT), (b"row1", b"q2", 100, PUT), (b"row2", b"q1", 100, PUT)], 0, [(b"row2", b"q1", 100)]),
-    "older delete": ([(b"row1", b"q", 200, PUT, 0), (b"row1", b"q", 100, DELETE, 1)], 0, [(b"row1", b"q", 200)]),
-    "versions 1": ([(b"row1", b"q1", 200, PUT), (b"row1", b"q1", 100, PUT), (b"row1", b"q2", 200, PUT), (b"row1", b"q2", 100, PUT)], 1, [(b"row1", b"q1", 200), (b"row1", b"q2", 200)]),
-    "versions 0": ([(b"row1", b"q", 300, PUT), (b"row1", b"q", 200, PUT), (b"row1", b"q", 100, PUT)], 0, [(b"row1", b"q", 300), (b"row1", b"q", 200), (b"row1", b"q", 100)]),
+    "nothing hides": ([(b"ant", b"w", 7, PUT), (b"bee", b"w", 7, PUT), (b"cow", b"x", 3, PUT)], 0, [(b"ant", b"w", 7), (b"bee", b"w", 7), (b"cow", b"x", 3)]),
+    "two files interleave": ([(b"elk", b"a", 31, PUT, 1), (b"elk", b"b", 29, PUT, 0), (b"elk", b"a", 30, PUT, 0), (b"elk", b"b", 28, PUT, 1)], 0, [(b"elk", b"a", 31), (b"elk", b"a", 30), (b"elk", b"b", 29), (b"elk", b"b", 28)]),
+    "a version marker hides its own stamp only": ([(b"fox", b"k", 12, PUT), (b"fox", b"k", 11, DELETE), (b"fox", b"k", 11, PUT), (b"fox", b"k", 10, PUT)], 0, [(b"fox", b"k", 12), (b"fox", b"k", 10)]),
+    "a column marker hides what is older in its column": ([(b"gnu", b"k", 9, PUT), (b"gnu", b"k", 8, DELETE_COLUMN), (b"gnu", b"k", 8, PUT), (b"gnu", b"k", 2, PUT), (b"gnu", b"l", 1, PUT)], 0, [(b"gnu", b"k", 9), (b"gnu", b"l", 1)]),
+    "a family marker ends with its row": ([(b"hen", b"", 50, DELETE_FAMILY), (b"hen", b"k", 50, PUT), (b"hen", b"l", 51, PUT), (b"ibis", b"k", 4, PUT)], 0, [(b"hen", b"l", 51), (b"ibis", b"k", 4)]),
+    "a marker in an older file": ([(b"jay", b"k", 6, PUT, 0), (b"jay", b"k", 5, DELETE, 2), (b"jay", b"k", 5, PUT, 1)], 0, [(b"jay", b"k", 6)]),
+    "two versions a column": ([(b"kid", b"a", t, PUT) for t in (5, 4, 3)] + [(b"kid", b"b", 1, PUT)], 2, [(b"kid", b"a", 5), (b"kid", b"a", 4), (b"kid", b"b", 1)]),
+    "hidden versions do not count": ([(b"lark", b"a", 5, DELETE), (b"lark", b"a", 5, PUT), (b"lark", b"a", 4, PUT), (b"lark", b"a", 3, PUT)], 1, [(b"lark", b"a", 4)]),
     "family marker that sorts late": ([(b"r", b"a", 100, PUT), (b"r", b"b", 200, DELETE_FAMILY), (b"r", b"c", 100, PUT)], 0, [(b"r", b"a", 100)]),
     "markers of timestamp 0": ([(b"r", b"", 0, DELETE_FAMILY), (b"r", b"q", 0, DELETE_COLUMN), (b"r", b"q", 0, PUT)], 0, [(b"r", b"q", 0)]),
     "version marker of timestamp 0": ([(b"r", b"q", 0, DELETE), (b"r", b"q", 0, PUT)], 0, []),
@@ -121,15 +121,36 @@ def test_rendering(spark):
     assert [f.name for f in CELL][:2] == ["row", "family"]
 
 
-def test_regions(spark, monkeypatch):
+def test_regions(spark):
     regions = spark.createDataFrame([("", "d", 1), ("d", "m", 2), ("m", "", 3)], "start_key string, end_key string, id int")
     ids = lambda df: sorted(r.id for r in df.collect())
     assert ids(plans.prune_regions(regions, "d", "e")) == [2]
     assert ids(plans.prune_regions(regions, "", "d")) == [1]
     assert ids(plans.prune_regions(regions)) == [1, 2, 3]
-    rows = spark.createDataFrame([("a",), ("d",), ("lz",), ("m",), ("z",)], "row string")
-    expected = [("a", 1), ("d", 2), ("lz", 2), ("m", 3), ("z", 3)]
-    for limit in (100, 0):  # broadcast, and by sorted ranges
-        monkeypatch.setattr(plans, "BROADCAST_REGIONS", limit)
-        got = plans.assign_regions(rows, regions).collect()
-        assert sorted((r.row, r.id) for r in got) == expected
+
+
+@pytest.mark.parametrize("cuts", [0, 1, 3, 4095])
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_every_region_that_holds_a_row(spark, cuts, threshold):
+    """Regions may overlap, and neither their number nor the join's kind changes the result."""
+    rng = random.Random(cuts)
+    key = lambda: rng.choice(["", *[f"{chr(97 + rng.randrange(26))}{rng.choice(['', 'a', 'm', 'zz'])}" for _ in range(6)]])
+    regions = [("", "z", 100), ("b", "c", 101), ("", "", 102), ("m", "c", 103), ("q", "q", 104), *[(key(), key(), i) for i in range(40)]]
+    rows = ["a", "bb", "d", "", "zzz", "q", *[key() for _ in range(60)], *["hot"] * 300]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        keyed = spark.createDataFrame([(r,) for r in [*rows, None]], "row string")
+        got = plans.assign_regions(keyed, spark.createDataFrame(regions, "start_key string, end_key string, id int"), cuts=cuts).collect()
+        none = plans.assign_regions(keyed, spark.createDataFrame([], "start_key string, end_key string, id int"), cuts=cuts)
+        assert none.count() == 0 and none.columns == ["row", "start_key", "end_key", "id"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.row, r.id) for r in got) == sorted((r, i) for r in rows for lo, hi, i in regions if r >= lo and (not hi or r < hi))
+
+
+def test_binary_keys_meet_regions(spark):
+    regions = spark.createDataFrame([(bytearray(b""), bytearray(b"\x80"), 1), (bytearray(b"\x7f"), bytearray(b""), 2)], "start_key binary, end_key binary, id int")
+    rows = spark.createDataFrame([(bytearray(b),) for b in (b"\x00", b"\x7f\xff", b"\xff")], "row binary")
+    got = sorted((bytes(r.row), r.id) for r in plans.assign_regions(rows, regions).collect())
+    assert got == [(b"\x00", 1), (b"\x7f\xff", 1), (b"\x7f\xff", 2), (b"\xff", 2)]
