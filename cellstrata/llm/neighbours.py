@@ -8,137 +8,298 @@ those chances until they add up to what ``tables`` tables need for ``target`` to
 candidates of all tables are merged and reranked by exact Euclidean distance in double
 precision.
 
-Fitted on a bounded sample (``sample`` rows of smallest hash of their id): each query's r, an
-upper estimate of the distance of its k-th neighbour, and the slot width, the median r. The
-slots per table grow with the logarithm of the row count. Every row is indexed. A query is
-compared with every row instead if it would need over ``most_probes`` buckets in a table, if its
-r is 0 or unknown, if no more than ``k`` rows of its length can be candidates, or if its buckets
-hold fewer than ``k`` candidates.
-
-Queries are taken in blocks of ``block``, each broadcast (block * dimensions * 8 bytes) and run
-against all rows where they lie; a task returns its k best per query, and those are merged.
-No row moves, so equal vectors and full buckets, whatever share of the rows they hold, fall to
-no single task.
+*Fitted* on a bounded sample (``sample`` rows of smallest hash of their id): each query's r, an
+upper estimate of the distance of its k-th neighbour, and the slot width, 1.5 times the median r. The
+slots per table grow with the logarithm of the row count. Every row is indexed.
+
+*Tables meet in a shuffle.* Rows are entries of (table, group of buckets), visits are probes of it,
+made where the queries lie; probes of buckets without a row go before any vector moves. A task
+holds one group's rows, about ``group`` of them, and streams the probes past them: only rows of a
+visited bucket are compared. A group of more rows is split, and its probes go to every part.
+
+*Copies.* Of rows with one vector only the k + 1 smallest ids can be among a query's k best, and k
+times each, so others leave the index first. Queries with one vector are searched once.
+
+*The exact way.* Queries without k found - as their r is 0 or unknown, as they would visit over
+``most_probes`` buckets of a table, or as their buckets hold too few - are compared with every row,
+in blocks of rows. ``compared`` tells how many distances a query took, which shows such queries.
 
 Defined results: vectors null, zero, or with null or non-finite components take no part, nor do
 rows without an id; vectors of another length than the query's are no candidates; rows with the
 query's id are its own; of several query rows with one id the smallest vector is searched;
-repeated candidates are listed as often as they occur; ties go to the smaller id.
+repeated candidates are listed as often as they occur; ties go to the smaller id; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellstrata.llm._text import U64, mix
-from cellstrata.runtime import cut, ship
+from cellstrata.runtime import cut, drop, ship
 
-_ROWS = 1024
+_SLICE, _PAIRS = 1024, 50_000
+_BLOCK = 16_384  # rows of a block of the exact way
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, embedding as doubles) of the rows that take part."""
+    """(vec_id, embedding) of the rows that take part; floats stay floats, other numbers are doubles."""
     e = F.col(embedding)
+    kind = vectors.schema[embedding].dataType.elementType
+    number = e if isinstance(kind, T.FloatType) else e.cast("array<double>")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), number.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``dim`` numbers, and which rows they are."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+
+def _by_length(column: pa.Array):
+    """Each length of vectors and the rows that have it."""
     size = column.value_lengths().to_numpy(zero_copy_only=False)
-    at = np.flatnonzero(size == dim)
-    if len(at) < len(size):
-        column = column.take(pa.array(at))
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), at
-
-
-class Index:
-    """A block of queries and the buckets that each visits."""
-
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, r: np.ndarray, width: float, hashes: int, tables: int, target: float, most_probes: int, k: int, seed: int, whole: bool = False):
-        self.ids, self.queries, self.k, self.width, self.hashes, self.tables = ids, queries, k, width, hashes, tables
-        rng = np.random.default_rng(seed)
-        self.a = rng.standard_normal((queries.shape[1], tables * hashes))
-        self.b = rng.uniform(0, width, tables * hashes)
-        need = 1 - (1 - target) ** (1 / tables)
-        place = (queries @ self.a + self.b) / width
-        slot = np.floor(place)
-        self.all = (r <= 0) | whole
-        self.probes = []
-        for t in range(tables):
-            keys, own = [], []
-            cols = slice(t * hashes, (t + 1) * hashes)
-            for q in range(len(ids)):
-                got = None if self.all[q] else _visits(place[q, cols] - slot[q, cols], max(r[q], 1e-9 * width) / width, need, most_probes)
-                if got is None:
-                    self.all[q] = True
-                    continue
-                keys.append(_bucket(slot[q, cols].astype(np.int64) + got, t))
-                own.append(np.full(len(got), q))
-            keys, own = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((keys, U64), (own, np.int64)))
-            order = np.argsort(keys, kind="stable")
-            self.probes.append((keys[order], own[order]))
-
-    def candidates(self, x: np.ndarray) -> np.ndarray:
-        """Whether each query meets each row in a table."""
-        slot = np.floor((x @ self.a + self.b) / self.width).astype(np.int64)
-        mask = np.zeros((len(self.ids), len(x)), dtype=bool)
-        mask[self.all] = True
-        for t, (keys, own) in enumerate(self.probes):
-            bucket = _bucket(slot[:, t * self.hashes : (t + 1) * self.hashes], t)
-            lo, hi = np.searchsorted(keys, bucket, "left"), np.searchsorted(keys, bucket, "right")
-            many = hi - lo
-            rows = np.repeat(np.arange(len(x)), many)
-            at = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            mask[own[at], rows] = True
-        return mask
-
-
-def _bucket(slots: np.ndarray, table: int) -> np.ndarray:
-    h = np.full(len(slots), table + 1, dtype=U64)
-    for j in range(slots.shape[1]):
-        h = mix(h * U64(0x9E3779B97F4A7C15) + slots[:, j].astype(np.int64).view(U64))
-    return h
+    for dim in np.unique(size).tolist():
+        at = np.flatnonzero(size == dim)
+        yield dim, at, column if len(at) == len(size) else column.take(pa.array(at))
+
+
+@dataclass
+class Tables:
+    """The hash tables for vectors of one length, and the sample that a query's r is told by."""
+
+    dim: int
+    width: float
+    hashes: int
+    tables: int
+    groups: int
+    seed: int
+    near: np.ndarray
+    nth: int
+
+    def __post_init__(self):
+        rng = np.random.default_rng([self.seed, self.dim])
+        self.a = rng.standard_normal((self.dim, self.tables * self.hashes))
+        self.b = rng.uniform(0, self.width, self.tables * self.hashes)
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """In slot widths, by row, table and hash."""
+        return ((x @ self.a + self.b) / self.width).reshape(len(x), self.tables, self.hashes)
+
+    def keys(self, slots: np.ndarray, table: int) -> np.ndarray:
+        h = np.full(len(slots), table + 1, dtype=U64)
+        for j in range(self.hashes):
+            h = mix(h * U64(0x9E3779B97F4A7C15) + np.ascontiguousarray(slots[:, j]).view(U64))
+        return h
+
+    def group_of(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys ^ U64(0x2545F4914F6CDD1D)) % U64(self.groups)).astype(np.int32)
+
+    def reach(self, queries: np.ndarray) -> np.ndarray:
+        """Each query's distance to the nth of the sample but itself: its k-th neighbour is hardly farther."""
+        out = np.zeros(len(queries))
+        for at in range(0, len(queries), 64):
+            q = queries[at : at + 64]
+            d = np.maximum((q**2).sum(axis=1)[:, None] + (self.near**2).sum(axis=1)[None, :] - 2 * (q @ self.near.T), 0)
+            n = min(self.nth, d.shape[1]) - 1
+            out[at : at + 64] = np.sqrt(np.partition(d, n, axis=1)[:, n]) if d.shape[1] else 0
+        scale = np.sqrt((queries**2).sum(axis=1))
+        return np.where(out > 1e-6 * scale, out, 0.0)  # rounding of the faster form: no distance
 
 
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
-def _visits(offset: np.ndarray, r: float, need: float, most: int) -> np.ndarray | None:
-    """Perturbations of a query's slots by falling chance, until the chances add up to ``need``; in slot widths."""
+def visits(offset: np.ndarray, r: float, need: float, most: int) -> np.ndarray | None:
+    """Perturbations of a query's slots by falling chance, until the chances add up to ``need``; r in slot widths.
+
+    The n likeliest tuples extend the n likeliest shorter ones, so no other ones are made.
+    """
     moves, chances = [], []
+    reach = max(1, math.ceil(3.5 * r))
+    step = np.arange(-reach, reach + 1)
     for o in offset:
-        reach = max(1, math.ceil(3.5 * r))
-        step = np.arange(-reach, reach + 1)
-        edge = (np.arange(-reach, reach + 2) - o) / (r * math.sqrt(2))
-        p = np.diff(_erf(edge)) / 2
+        p = np.diff(_erf((np.arange(-reach, reach + 2) - o) / (r * math.sqrt(2)))) / 2
         order = np.argsort(-p, kind="stable")
         moves.append(step[order])
         chances.append(p[order])
-    best = [c[0] for c in chances]
-    least = float(np.prod(best))
+    n = min(64, most)
     while True:
-        least /= 4
         chance, picks = np.ones(1), np.zeros((1, 0), np.int64)
-        for j, (m, c) in enumerate(zip(moves, chances, strict=True)):
-            grown = chance[:, None] * c[None, :]
-            i, k = np.nonzero(grown * float(np.prod(best[j + 1 :])) >= least)
-            chance, picks = grown[i, k], np.concatenate([picks[i], m[k][:, None]], axis=1)
-            if len(chance) > 8 * most:
-                return None
+        for m, p in zip(moves, chances, strict=True):
+            grown = (chance[:, None] * p[None, :]).ravel()
+            top = np.argpartition(-grown, n - 1)[:n] if len(grown) > n else np.arange(len(grown))
+            chance, picks = grown[top], np.concatenate([picks[top // len(p)], m[top % len(p)][:, None]], axis=1)
         if chance.sum() >= need:
             order = np.argsort(-chance, kind="stable")
-            n = int(np.searchsorted(np.cumsum(chance[order]), need)) + 1
-            return picks[order[:n]] if n <= most else None
-        if len(chance) > most or least < 1e-300:
+            return picks[order[: int(np.searchsorted(np.cumsum(chance[order]), need)) + 1]]
+        if n >= most or len(chance) < n:
             return None
+        n = min(4 * n, most)
+
+
+def _fit(rows: DataFrame, k: int, tables: int, sample: int, group: int, seed: int) -> dict[int, Tables]:
+    sizes = {x.n: x.rows for x in rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).collect()}
+    held = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    by: dict[int, list] = {}
+    for x in held:
+        by.setdefault(len(x.embedding), []).append(x.embedding)
+    out = {}
+    for dim, own in by.items():
+        near, total = np.array(own, dtype=np.float64), sizes[dim]
+        # one more, as a query may be in the sample itself; one that is not looks a row farther, which is safe
+        nth = 1 + (k if total <= sample else math.ceil(k * len(held) / sum(sizes.values())) + 2)
+        hashes = min(24, max(4, round(0.65 * math.log2(max(total, 2)))))
+        rough = Tables(dim, 1.0, 1, 1, 1, seed, near, nth).reach(near[:256])
+        width = 1.5 * float(np.median(rough[rough > 0])) if (rough > 0).any() else 1.0
+        out[dim] = Tables(dim, width, hashes, tables, max(1, math.ceil(total / group)), seed, near, nth)
+    return out
+
+
+_PLACE = ["d", "t", "g"]
+
+
+def _entries(held, vectors: bool):
+    """(d, t, g, key) of rows (no, vec_id, embedding) in every table, with the rows if asked for."""
+
+    def run(batches):
+        for b in batches:
+            for dim, at, column in _by_length(b.column(2)):
+                own = held.value.get(dim)
+                for lo in range(0, len(at) if own else 0, _SLICE):
+                    part = column.slice(lo, _SLICE)
+                    slots = np.floor(own.places(_matrix(part, dim))).astype(np.int64)
+                    for t in range(own.tables):
+                        key, n = own.keys(slots[:, t], t), len(part)
+                        out = [pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, t), pa.int32()), pa.array(own.group_of(key), pa.int32()), pa.array(key.view(np.int64))]
+                        if vectors:
+                            rows = pa.array(at[lo : lo + _SLICE])
+                            out += [b.column(0).take(rows), b.column(1).take(rows), part]
+                        yield pa.RecordBatch.from_arrays(out, [*_PLACE, "key", *(["no", "vec_id", "embedding"] if vectors else [])])
+
+    return run
+
+
+def _probes(held, need: float, most: int):
+    """(d, t, g, key, cls) of the buckets that queries (cls, embedding) visit; none of those that go the exact way."""
+
+    def run(batches):
+        names = [*_PLACE, "key", "cls"]
+        for b in batches:
+            for dim, at, column in _by_length(b.column(1)):
+                own = held.value.get(dim)
+                if own is None:
+                    continue
+                x, cls = _matrix(column, dim), np.asarray(b.column(0))[at]
+                place, r = own.places(x), own.reach(x) / own.width
+                slot = np.floor(place).astype(np.int64)
+                for q in np.flatnonzero(r > 0).tolist():
+                    found = []
+                    for t in range(own.tables):
+                        got = visits(place[q, t] - slot[q, t], r[q], need, most)
+                        if got is None:
+                            break
+                        found.append(own.keys(slot[q, t] + got, t))
+                    if len(found) < own.tables:
+                        continue
+                    key, n = np.concatenate(found), sum(map(len, found))
+                    t = np.repeat(np.arange(own.tables), [len(f) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim), pa.int32()), pa.array(t, pa.int32()), pa.array(own.group_of(key), pa.int32()), pa.array(key.view(np.int64)), pa.array(np.full(n, cls[q]), pa.int64())], names)
+
+    return run
+
+
+_MEETING = [*_PLACE, "s", "side", "no", "id", "key", "keys", "embedding"]
+_FOUND = "query long, no long, vec_id long, score double, compared long"
+
+
+def _meet(entries: DataFrame, probes: DataFrame, most: int) -> DataFrame:
+    """Rows and queries of one (d, t, g, s), rows first, in one task: each query's ``most`` best rows there."""
+    null = F.lit(None)
+    e = entries.select(*_PLACE, "s", F.lit(0).alias("side"), "no", F.col("vec_id").alias("id"), "key", null.cast("array<long>").alias("keys"), "embedding")
+    q = probes.select(*_PLACE, "s", F.lit(1).alias("side"), F.col("query").alias("no"), F.col("own").alias("id"), null.cast("long").alias("key"), "keys", "embedding")
+    both = e.unionByName(q).repartition(*_PLACE, "s").sortWithinPartitions(*_PLACE, "s", "side")
+    return both.select(*_MEETING).mapInArrow(_search(most), _FOUND)
+
+
+def _search(k: int):
+    def run(batches):
+        group, parts, rows = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = np.stack([np.asarray(b.column(i)) for i in range(5)], axis=1)
+            edge = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1), [True]]))
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                own, part = tuple(place[lo, :4].tolist()), b.slice(lo, hi - lo)
+                if own != group:
+                    group, parts, rows = own, [], None
+                if place[lo, 4] == 0:
+                    parts.append(part)
+                elif parts:
+                    rows = rows or _Group(parts, own[0])
+                    yield from rows.nearest(part, k)
+
+    return run
+
+
+class _Group:
+    """The rows of a group by bucket."""
+
+    def __init__(self, parts: list, dim: int):
+        get = lambda i: pa.concat_arrays([p.column(i) for p in parts])
+        key = np.asarray(get(7).fill_null(0)).view(U64)
+        order = np.argsort(key, kind="stable")
+        self.key, self.dim = key[order], dim
+        self.no, self.id = np.asarray(get(5))[order], np.asarray(get(6))[order]
+        self.x = np.concatenate([_matrix(p.column(9), dim) for p in parts])[order]
+
+    def nearest(self, part: pa.RecordBatch, k: int):
+        """k best of the rows whose bucket a query visits; queries without a list of buckets visit all."""
+        x, name = _matrix(part.column(9), self.dim), np.asarray(part.column(5))
+        own = part.column(6)
+        skip, has_own = np.asarray(own.fill_null(0)), np.asarray(own.is_valid())
+        whole = np.asarray(part.column(8).is_null())
+        n = part.column(8).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = part.column(8).flatten().to_numpy(zero_copy_only=False).view(U64)
+        lo, hi = np.searchsorted(self.key, keys, "left"), np.searchsorted(self.key, keys, "right")
+        who = np.repeat(np.arange(len(x)), n)
+        who, lo, hi = (np.concatenate(v) for v in ((who, np.flatnonzero(whole)), (lo, np.zeros(whole.sum(), np.int64)), (hi, np.full(whole.sum(), len(self.x)))))
+        order = np.argsort(who, kind="stable")
+        who, lo, size = who[order], lo[order], (hi - lo)[order]
+        total = np.cumsum(np.bincount(who, size, len(x)).astype(np.int64))
+        at = 0
+        while at < len(x):  # as many queries as make some pairs, one at least
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
+            p = slice(*np.searchsorted(who, [at, to]))
+            many = size[p]
+            row = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[p], many)
+            q = np.repeat(who[p], many)
+            at = to
+            if not len(q):
+                continue
+            d = np.sqrt(((x[q] - self.x[row]) ** 2).sum(axis=1))
+            asked, compared = np.unique(q, return_counts=True)
+            other = ~(has_own[q] & (skip[q] == self.id[row]))
+            q, row, d = q[other], row[other], d[other]
+            by = np.lexsort((self.id[row], d, q))
+            q, row, d = q[by], row[by], d[by]
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            q, row, d = q[nth < k], row[nth < k], d[nth < k]
+            none, m = pa.nulls, len(asked)
+            yield pa.RecordBatch.from_arrays([pa.array(name[q]), pa.array(self.no[row]), pa.array(self.id[row]), pa.array(d), none(len(q), pa.int64())], ["query", "no", "vec_id", "score", "compared"])
+            yield pa.RecordBatch.from_arrays([pa.array(name[asked]), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), pa.array(compared, pa.int64())], ["query", "no", "vec_id", "score", "compared"])
+
+
+def _ranked(found: DataFrame, of: str, k: int) -> DataFrame:
+    best = Window.partitionBy(of).orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def nearest(
@@ -146,112 +307,56 @@ def nearest(
     is_query: Column,
     *,
     k: int = 10,
-    target: float = 0.97,
-    tables: int = 3,
+    target: float = 0.92,
+    tables: int = 8,
     sample: int = 4096,
     most_probes: int = 20_000,
-    block: int = 4096,
+    group: int = 1024,
     seed: int = 11,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found of every query; ``is_query`` is over vec_id."""
+    """(query_id, rank, vec_id, score, compared): the k nearest rows found of every query; ``is_query`` is over vec_id."""
     spark = ship(vectors.sparkSession)
-    rows = usable(vectors, vec_id, embedding)
-    sizes = {x.n: x.rows for x in rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).collect()}
-    total = sum(sizes.values())
-    hashes = min(24, max(4, round(math.log2(max(total, 2)) / 2 - 2)))
-    held = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    by_dim: dict[int, list] = {}
-    for x in held:
-        by_dim.setdefault(len(x.embedding), []).append(x)
-    known = {d: (np.array([x.vec_id for x in v]), np.array([x.embedding for x in v])) for d, v in by_dim.items()}
-    nth = k if total <= sample else math.ceil(k * len(held) / total) + 2
-
-    def reach(ids, queries):
-        """Each query's distance to the nth row of the sample: its k-th neighbour is hardly farther. 0: unknown."""
-        at, x = known.get(queries.shape[1], (np.zeros(0, np.int64), np.zeros((0, queries.shape[1]))))
-        out = np.zeros(len(ids))
-        for i in range(len(ids)):
-            d = np.sort(np.sqrt(((x[at != ids[i]] - queries[i]) ** 2).sum(axis=1)))
-            out[i] = d[min(nth, len(d)) - 1] if len(d) else 0.0
+    every = usable(vectors, vec_id, embedding)
+    times = F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))
+    copies = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    rows = every.withColumn("_n", times).where(F.col("_n") <= k).withColumn("_n", copies).where(F.col("_n") <= k + 1)
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("no"), "vec_id", "embedding"), "neighbours-rows")
+    asked = every.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = cut(asked.withColumn("cls", F.min("vec_id").over(Window.partitionBy("embedding"))), "neighbours-queries")
+    searched = asked.where("vec_id = cls").select("cls", "embedding")
+
+    fitted = _fit(rows, k, tables, sample, group, seed)
+    held = spark.sparkContext.broadcast(fitted)
+    buckets = cut(rows.mapInArrow(_entries(held, False), "d int, t int, g int, key long").groupBy(*_PLACE, "key").agg(F.count("*").alias("n")), "neighbours-buckets")
+    split = buckets.groupBy(*_PLACE).agg(F.sum("n").alias("n")).where(F.col("n") > 4 * group)
+    split = cut(split.select(*_PLACE, F.ceil(F.col("n") / group).cast("int").alias("parts")), "neighbours-split")
+    parts = F.coalesce("parts", F.lit(1))
+    entries = rows.mapInArrow(_entries(held, True), T.StructType([T.StructField(c, T.IntegerType()) for c in _PLACE] + [T.StructField("key", T.LongType()), *rows.schema]))
+    entries = entries.join(split, _PLACE, "left").withColumn("s", F.pmod(F.xxhash64("no"), parts).cast("int"))
+    need = 1 - (1 - target) ** (1 / tables)
+    probes = searched.mapInArrow(_probes(held, need, most_probes), "d int, t int, g int, key long, cls long")
+    probes = probes.join(buckets, [*_PLACE, "key"], "left_semi").groupBy(*_PLACE, "cls").agg(F.collect_list("key").alias("keys"))
+    probes = probes.join(searched, "cls").join(split, _PLACE, "left").withColumn("s", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # A class of queries leaves out no row: own ids go when the class is dealt to its queries, and 2k hold k of others.
+    found = cut(_meet(entries, probes.select(*_PLACE, "s", F.col("cls").alias("query"), F.lit(None).cast("long").alias("own"), "keys", "embedding"), 2 * k), "neighbours-found")
+    once = found.where("no is not null").groupBy("query", "no").agg(F.min("vec_id").alias("vec_id"), F.min("score").alias("score"))
+    effort = found.where("no is null").groupBy("query").agg(F.sum("compared").alias("compared"))
+    classes = _ranked(once, "query", 2 * k).select(F.col("query").alias("cls"), "vec_id", "score")
+    own = classes.join(asked.select("cls", F.col("vec_id").alias("query_id")), "cls").where("vec_id <> query_id")
+    own = _ranked(own, "query_id", k).join(effort.withColumnRenamed("query", "cls"), "cls", "left")
+    out = cut(own.select("query_id", "rank", "vec_id", "score", "compared"), "neighbours-best")
+    drop(found, buckets)
+
+    full = out.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    left = cut(asked.join(full, "vec_id", "left_anti"), "neighbours-left")
+    if left.isEmpty():
         return out
-
-    width = {}
-    for d, (at, x) in known.items():
-        r = reach(at[:256], x[:256])
-        width[d] = float(np.median(r[r > 0])) if (r > 0).any() else 1.0
-    def best(rows, index, dim):
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(index), dim), "query_id long, vec_id long, score double")
-        nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
-
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-
-    def blocks():
-        waiting: dict[int, list] = {}
-        for x in asked.toLocalIterator():
-            own = waiting.setdefault(len(x.embedding), [])
-            own.append(x)
-            if len(own) == block:
-                yield len(x.embedding), waiting.pop(len(x.embedding))
-        yield from waiting.items()
-
-    out = None
-    for dim, own in blocks():
-        ids, queries = np.array([x.vec_id for x in own], dtype=np.int64), np.array([x.embedding for x in own], dtype=np.float64)
-        fitted = (width.get(dim, 1.0), hashes, tables, target, most_probes, k, seed)
-        index = Index(ids, queries, reach(ids, queries), *fitted, whole=sizes[dim] <= k + 1)
-        part = best(rows, index, dim)
-        if not index.all.all():
-            part = cut(part, "neighbours")
-            full = {x.query_id for x in part.where(F.col("rank") == k).select("query_id").collect()}  # at most ``block``
-            short = np.array([not index.all[i] and ids[i] not in full for i in range(len(ids))])
-            if short.any():
-                again = Index(ids[short], queries[short], np.zeros(short.sum()), *fitted, whole=True)
-                few = F.broadcast(spark.createDataFrame([(i,) for i in ids[short].tolist()], "query_id long"))
-                part = part.join(few, "query_id", "left_anti").unionByName(best(rows, again, dim))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return out.select("query_id", "rank", "vec_id", "score")
-
-
-def _search(held, dim: int):
-    def run(batches):
-        index = held.value
-        n, k = len(index.ids), index.k
-        query = (index.queries**2).sum(axis=1)
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, row's id, distance
-        kth = np.full(n, np.inf)
-        for b in batches:
-            for at in range(0, b.num_rows, _ROWS):
-                part = b.slice(at, _ROWS)
-                x, rows = _matrix(part.column(1), dim)
-                if not len(x):
-                    continue
-                ids = np.asarray(part.column(0))[rows]
-                mask = index.candidates(x)
-                mask &= index.ids[:, None] != ids[None, :]
-                own = (x**2).sum(axis=1)
-                near = query[:, None] + own[None, :] - 2 * (index.queries @ x.T)
-                near[~mask] = np.inf
-                slack = 1e-9 * (query + own.max())  # rounding of this faster form; exact distances decide
-                limit = kth**2
-                if len(x) > k:
-                    limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1])
-                q, i = np.nonzero((near <= (limit + slack)[:, None]) & mask)
-                exact = np.empty(len(q))
-                for s in range(0, len(q), 20_000):
-                    exact[s : s + 20_000] = np.sqrt(((index.queries[q[s : s + 20_000]] - x[i[s : s + 20_000]]) ** 2).sum(axis=1))
-                q, v, d = np.concatenate([best[0], q]), np.concatenate([best[1], ids[i]]), np.concatenate([best[2], exact])
-                order = np.lexsort((v, d, q))
-                q, v, d = q[order], v[order], d[order]
-                first = np.searchsorted(q, np.arange(n))
-                nth = np.arange(len(q)) - first[q]
-                stay = nth < k
-                best = q[stay], v[stay], d[stay]
-                kth[best[0][nth[stay] == k - 1]] = best[2][nth[stay] == k - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(index.ids[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2])], ["query_id", "vec_id", "score"])
-
-    return run
+    blocks = max(1, math.ceil(rows.count() / _BLOCK))
+    every_row = rows.select(F.size("embedding").alias("d"), F.lit(-1).alias("t"), F.pmod(F.xxhash64("no"), F.lit(blocks)).cast("int").alias("g"), F.lit(0).alias("s"), "no", "vec_id", F.lit(None).cast("long").alias("key"), "embedding")
+    whole = left.select(F.size("embedding").alias("d"), F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.lit(0).alias("s"), F.col("vec_id").alias("query"), F.col("vec_id").alias("own"), F.lit(None).cast("array<long>").alias("keys"), "embedding")
+    found = cut(_meet(every_row, whole, k), "neighbours-whole")
+    exact = _ranked(found.where("no is not null"), "query", k).join(found.where("no is null").groupBy("query").agg(F.sum("compared").alias("all")), "query")
+    exact = exact.select(F.col("query").alias("query_id"), "rank", "vec_id", "score", F.col("all").alias("compared"))
+    return out.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(exact)

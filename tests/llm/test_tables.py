@@ -35,7 +35,7 @@ def test_neighbours_of_odd_vectors(spark):
     rows += [(100, rows[0][1]), (200, rows[0][1]), (201, rows[0][1]), (202, rows[0][1])]  # ties
     rows += [(300, None), (301, []), (302, [0.0] * 8), (400, [float("nan")] * 8), (401, [None] * 8), (402, [float("inf")] + [1.0] * 7), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (None, [1.0] * 8), (203, [1.0] * 8), (203, [1.0] * 8)]
     df = spark.createDataFrame(rows, VECTORS).withColumn("rank", F.lit("clash")).withColumn("score", F.lit(1))
-    found = neighbours.nearest(df, F.col("vec_id") % 100 == 0, target=0.999999, block=2).collect()
+    found = neighbours.nearest(df, F.col("vec_id") % 100 == 0, target=0.999999, group=2).collect()
     expected = brute_nearest([(i, v) for i, v in rows], [100, 200, 300, 400, 500])
     got = {}
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
@@ -93,7 +93,7 @@ def test_neighbours_beyond_a_few_copies(spark):
     first = [r.id for r in spark.range(1000).where("id % 100 <> 0").orderBy(F.xxhash64("id"), "id").limit(3).collect()]
     rows |= {i: rows[0] for i in first}  # all of the sample that is near
     rows = list(rows.items())
-    assert found_by(spark, rows, sample=100)[0] == near_by(rows, [0])[0]
+    assert found_by(spark, rows, sample=100, target=0.999999)[0] == near_by(rows, [0])[0]
 
 
 def test_neighbours_are_as_many_as_there_are(spark):
@@ -105,6 +105,47 @@ def test_neighbours_are_as_many_as_there_are(spark):
     assert {q: len(v) for q, v in got.items()} == {q: 10 for q in (0, 100, 200, 300)}
 
 
+def test_neighbours_among_copies(spark):
+    """A third of the rows are one vector, a third of the queries too, and one row repeats."""
+    rng = np.random.default_rng(9)
+    same = rng.normal(size=8).tolist()
+    rows = [(i, same if i % 300 < 100 else rng.normal(size=8).tolist()) for i in range(1500)]
+    rows += [(7, same)] * 15 + [(300, same)] * 30
+    got = found_by(spark, rows, group=50)
+    want = near_by(rows, sorted(got))
+    assert set(got) == set(range(0, 1500, 100))
+    for q in (0, 300, 600, 900, 1200):
+        assert got[q] == want[q]  # ids rise, and repeats are listed as often as they occur
+
+
+def test_neighbours_come_from_buckets(spark):
+    """Of clustered vectors a small part is compared, nearly all neighbours are found, and a large group is split."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(40, 32)) * 3
+    rows = [(i, (centres[i % 40 if i % 3 else 0] + rng.normal(size=32) * 0.3).tolist()) for i in range(6000)]
+    found = neighbours.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 100 == 0, group=200).collect()
+    got, compared = defaultdict(set), {}
+    for r in found:
+        got[r.query_id].add(r.vec_id)
+        compared[r.query_id] = r.compared
+    want = near_by(rows, sorted(got))
+    assert len(got) == 60 and sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+    alone = [n for q, n in compared.items() if q % 3]
+    assert sum(alone) / len(alone) < 0.35 * len(rows)  # of eight tables together
+
+
+def test_visits_are_the_likeliest_buckets():
+    rng = np.random.default_rng(3)
+    for r in (0.2, 0.6, 1.5):
+        offset = rng.uniform(size=3)
+        got = neighbours.visits(offset, r, 0.8, 10_000)
+        reach = max(1, math.ceil(3.5 * r))
+        chance = lambda move: math.prod((math.erf((m + 1 - o) / r / math.sqrt(2)) - math.erf((m - o) / r / math.sqrt(2))) / 2 for m, o in zip(move, offset, strict=True))  # noqa: B023, E731
+        every = sorted((chance(m) for m in np.ndindex(*[2 * reach + 1] * 3) for m in [np.array(m) - reach]), reverse=True)
+        assert np.allclose([chance(m) for m in got], every[: len(got)])
+        assert sum(every[: len(got)]) >= 0.8 > sum(every[: len(got) - 1])
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], VECTORS)
     assert neighbours.nearest(none, F.col("vec_id") % 100 == 0).count() == 0
