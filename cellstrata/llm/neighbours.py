@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from cellstrata.llm._text import U64, mix
 from cellstrata.runtime import cut, drop, ship
 
-_SLICE, _PAIRS = 1024, 50_000
+_SLICE, _PAIRS, _NEAR = 1024, 50_000, 4096
 _BLOCK = 16_384  # rows of a block of the exact way
 
 
@@ -116,10 +116,10 @@ class Tables:
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
-def visits(offset: np.ndarray, r: float, need: float, most: int) -> np.ndarray | None:
+def visits(offset: np.ndarray, r: float, need: float, most: int, first: int = 64) -> np.ndarray | None:
     """Perturbations of a query's slots by falling chance, until the chances add up to ``need``; r in slot widths.
 
-    The n likeliest tuples extend the n likeliest shorter ones, so no other ones are made.
+    The n likeliest tuples extend the n likeliest shorter ones, so no other ones are made; ``first`` is tried for n.
     """
     moves, chances = [], []
     reach = max(1, math.ceil(3.5 * r))
@@ -129,7 +129,7 @@ def visits(offset: np.ndarray, r: float, need: float, most: int) -> np.ndarray |
         order = np.argsort(-p, kind="stable")
         moves.append(step[order])
         chances.append(p[order])
-    n = min(64, most)
+    n = min(first, most)
     while True:
         chance, picks = np.ones(1), np.zeros((1, 0), np.int64)
         for m, p in zip(moves, chances, strict=True):
@@ -141,7 +141,7 @@ def visits(offset: np.ndarray, r: float, need: float, most: int) -> np.ndarray |
             return picks[order[: int(np.searchsorted(np.cumsum(chance[order]), need)) + 1]]
         if n >= most or len(chance) < n:
             return None
-        n = min(4 * n, most)
+        n = min(2 * n, most)
 
 
 def _fit(rows: DataFrame, k: int, tables: int, sample: int, group: int, seed: int) -> dict[int, Tables]:
@@ -154,7 +154,7 @@ def _fit(rows: DataFrame, k: int, tables: int, sample: int, group: int, seed: in
     for dim, own in by.items():
         near, total = np.array(own, dtype=np.float64), sizes[dim]
         # one more, as a query may be in the sample itself; one that is not looks a row farther, which is safe
-        nth = 1 + (k if total <= sample else math.ceil(k * len(held) / sum(sizes.values())) + 2)
+        nth = 1 + (k if total <= sample else math.ceil(k * len(held) / sum(sizes.values())) + 1)
         hashes = min(24, max(4, round(0.65 * math.log2(max(total, 2)))))
         rough = Tables(dim, 1.0, 1, 1, 1, seed, near, nth).reach(near[:256])
         width = 1.5 * float(np.median(rough[rough > 0])) if (rough > 0).any() else 1.0
@@ -200,11 +200,12 @@ def _probes(held, need: float, most: int):
                 place, r = own.places(x), own.reach(x) / own.width
                 slot = np.floor(place).astype(np.int64)
                 for q in np.flatnonzero(r > 0).tolist():
-                    found = []
+                    found, first = [], 64
                     for t in range(own.tables):
-                        got = visits(place[q, t] - slot[q, t], r[q], need, most)
+                        got = visits(place[q, t] - slot[q, t], r[q], need, most, first)
                         if got is None:
                             break
+                        first = max(64, len(got) * 5 // 4)
                         found.append(own.keys(slot[q, t] + got, t))
                     if len(found) < own.tables:
                         continue
@@ -284,7 +285,7 @@ class _Group:
             at = to
             if not len(q):
                 continue
-            d = np.sqrt(((x[q] - self.x[row]) ** 2).sum(axis=1))
+            d = np.concatenate([np.sqrt(((x[q[i : i + _NEAR]] - self.x[row[i : i + _NEAR]]) ** 2).sum(axis=1)) for i in range(0, len(q), _NEAR)])
             asked, compared = np.unique(q, return_counts=True)
             other = ~(has_own[q] & (skip[q] == self.id[row]))
             q, row, d = q[other], row[other], d[other]
@@ -336,7 +337,8 @@ def nearest(
     entries = rows.mapInArrow(_entries(held, True), T.StructType([T.StructField(c, T.IntegerType()) for c in _PLACE] + [T.StructField("key", T.LongType()), *rows.schema]))
     entries = entries.join(split, _PLACE, "left").withColumn("s", F.pmod(F.xxhash64("no"), parts).cast("int"))
     need = 1 - (1 - target) ** (1 / tables)
-    probes = searched.mapInArrow(_probes(held, need, most_probes), "d int, t int, g int, key long, cls long")
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a query's visits take far longer than its bytes
+    probes = searched.repartition(tasks, "cls").mapInArrow(_probes(held, need, most_probes), "d int, t int, g int, key long, cls long")
     probes = probes.join(buckets, [*_PLACE, "key"], "left_semi").groupBy(*_PLACE, "cls").agg(F.collect_list("key").alias("keys"))
     probes = probes.join(searched, "cls").join(split, _PLACE, "left").withColumn("s", F.explode(F.sequence(F.lit(0), parts - 1)))
     # A class of queries leaves out no row: own ids go when the class is dealt to its queries, and 2k hold k of others.
