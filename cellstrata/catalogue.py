@@ -337,18 +337,29 @@ def cellfile_avg_lengths(spark, d):
     return info.agg(number("hfile.AVG_KEY_LEN").alias("avg_key"), number("hfile.AVG_VALUE_LEN").alias("avg_value"))
 
 
-@_query("cellfile_index_summary", "select true as all_in_order, true as first_is_first")
+@_query("cellfile_index_summary", f"with {_ORDER_SQL} select row_key, qualifier, true as places_fit from oc")
 def cellfile_index_summary(spark, d):
-    """Data index entries by file: rising offsets, and the first at the file's first data block."""
-    folder = _written(spark, d, block_size=4096)
-    index = register(spark).read.format("cellfile_meta").option("view", "index").load(folder)
-    trailer = spark.read.format("cellfile_meta").option("view", "trailer").load(folder)
-    by = index.groupBy("file").agg(F.count("*").alias("n"), F.min_by("block_offset", "position").alias("first"), F.max_by("block_offset", "position").alias("last"))
-    both = by.join(trailer, "file")
-    return both.agg(
-        F.every((F.col("n") == F.col("data_index_count")) & (F.col("last") == F.col("last_data_block_offset"))).alias("all_in_order"),
-        F.every(F.col("first") == F.col("first_data_block_offset")).alias("first_is_first"),
-    )
+    """Blocks of one cell each: the data index names every cell, at the places where the blocks lie."""
+    folder = _written(spark, d, block_size=1)
+    read = register(spark).read.format("cellfile_meta")
+    index = read.option("view", "index").load(folder)
+    blocks = read.option("view", "blocks").load(folder).where("type = 'DATA'").select("file", F.col("offset").alias("block_offset"), F.lit(True).alias("there"), (F.col("on_disk_size") + 33).alias("size"))
+    size = render.big_endian(F.col("key"), 1, 2).cast("int")  # row length, row, family length, family, qualifier, 9 bytes
+    row = F.expr("substring(key, 3, cast(conv(hex(substring(key, 1, 2)), 16, 10) as int))")
+    family = F.expr("cast(conv(hex(substring(key, 3 + length(row_key), 1)), 16, 10) as int)")
+    named = index.withColumn("row_key", row).withColumn("at", 4 + F.length("row_key") + family)
+    qualifier = F.expr("substring(key, at, length(key) - at - 8)")
+    joined = named.withColumn("qualifier", qualifier).join(blocks, ["file", "block_offset"], "left")
+    fit = F.coalesce("there", F.lit(False)) & (F.col("size") == F.col("data_size")) & (size == F.length("row_key"))
+    return joined.select(F.decode("row_key", "UTF-8").alias("row_key"), F.decode("qualifier", "UTF-8").alias("qualifier"), fit.alias("places_fit"))
+
+
+@_query("cellfile_meta_index", "select 'note' as name, 4 + 33 + 4 as size union all select 'origin', 6 + 33 + 4")
+def cellfile_meta_index(spark, d):
+    """Entries of the meta index: names and sizes on disk of the file's meta blocks (33 bytes of header, one checksum)."""
+    folder = _written(spark, d, partitions=1, file_bytes=1 << 40, meta_blocks={"origin": b"orders", "note": b"meta"})
+    meta = register(spark).read.format("cellfile_meta").option("view", "meta_index").load(folder)
+    return meta.select(F.decode("key", "UTF-8").alias("name"), F.col("data_size").alias("size"))
 
 
 @_query("cellfile_block_types", "select 'DATA' as type union all select 'BLOOM_CHUNK' union all select 'LEAF_INDEX' union all select 'INTERMEDIATE_INDEX' union all select 'ROOT_INDEX' union all select 'FILE_INFO' union all select 'GENERAL_BLOOM_META'")
@@ -362,30 +373,60 @@ def checksum_verify(spark, d):
     return _load(spark, _written(spark, d, block_size=40000), verify="true", columns="row").agg(F.count("*").alias("n_cells"))
 
 
+@_query("checksum_damage", f"with {_ORDER_SQL} select count(*) as n_cells, true as refused, true as read_unverified from oc")
+def checksum_damage(spark, d):
+    """One byte of a value is changed in every file: verified reading refuses each file, reading without takes it."""
+    import pyarrow as pa
+
+    from cellstrata.format.errors import FormatError
+    from cellstrata.format.reader import CellFile
+
+    folder = _written(spark, d)
+    paths = spark.createDataFrame([(f,) for f in storage.list_files(folder)], "path string")
+
+    def ask(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                data = bytearray(storage.read_file(path))
+                size = int.from_bytes(data[33:37], "big")
+                data[33 + 8 + size] ^= 1  # the first byte of the first value
+                try:
+                    refused = list(CellFile(storage.InMemory(bytes(data))).scan()) is None
+                except FormatError:
+                    refused = True
+                n = sum(1 for _ in CellFile(storage.InMemory(bytes(data)), verify=False).scan())
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([refused])], ["n", "refused"])
+
+    asked = paths.mapInArrow(ask, "n long, refused boolean")
+    return asked.agg(F.sum("n").alias("n_cells"), F.every("refused").alias("refused"), (F.min("n") > 0).alias("read_unverified"))
+
+
 @_query("cellfile_range_pushdown", f"with {_ORDER_SQL} select {_ORDER_ROWS} from oc where row_key >= '0000000100' and row_key < '0000000900'")
 def cellfile_range_pushdown(spark, d):
     cells = _load(enable_pushdown(spark), _written(spark, d, block_size=4096), pushdown="true")
     return _texts(cells.where((F.col("row") >= F.lit(b"0000000100")) & (F.col("row") < F.lit(b"0000000900"))))
 
 
-@_query("bloom_no_false_negative", "select count(*) n_rows, cast(0 as bigint) misses from orders")
+@_query("bloom_no_false_negative", "select count(*) n_rows, cast(0 as bigint) misses, true as few_false_hits from orders")
 def bloom_no_false_negative(spark, d):
-    """Every row of the table is asked of every file's filter; a row that no file may hold is a miss."""
+    """Each file's filter is asked of its rows, where none may be missed, and of as many rows that are nowhere."""
     import pyarrow as pa
 
     from cellstrata.format.reader import CellFile
 
-    folder = _written(spark, d, row_bloom=True)
-    files = storage.list_files(folder)
-    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").cast("binary").alias("row"))
+    cells = _load(spark, _written(spark, d, row_bloom=True), columns="row")
+    rows = cells.select("file", "row").distinct()
 
-    def ask(batches):
-        opened = [CellFile(storage.InMemory(storage.read_file(f))) for f in files]
-        for b in batches:
-            asked = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([not any(f.may_contain(r) for f in opened) for r in asked])], ["miss"])
+    def ask(key, table):
+        with storage.RandomAccess(key[0].as_py()) as f:
+            file = CellFile(f)
+            own = table.column("row").to_pylist()
+            misses = sum(not file.may_contain(r) for r in own)
+            false = sum(file.may_contain(b"x" + r) or file.may_contain(r[:-1] + b"y" + r[-1:]) for r in own)
+        return pa.table({"rows": [len(own)], "misses": [misses], "false_hits": [false]})
 
-    return rows.mapInArrow(ask, "miss boolean").agg(F.count("*").alias("n_rows"), F.sum(F.col("miss").cast("int")).alias("misses"))
+    asked = rows.groupBy("file").applyInArrow(ask, "rows long, misses long, false_hits long")
+    return asked.agg(F.sum("rows").alias("n_rows"), F.sum("misses").alias("misses"), (F.sum("false_hits") * 20 <= F.sum("rows")).alias("few_false_hits"))
 
 
 @_query("bloom_point_get", f"with {_ORDER_SQL} select {_ORDER_ROWS} from oc where row_key = '0000000333'")
@@ -393,7 +434,16 @@ def bloom_point_get(spark, d):
     return _texts(_load(spark, _written(spark, d, row_bloom=True, block_size=4096), row="0000000333"))
 
 
-@_query("murmur2", None)
+_MURMUR_SQL = """with n as (select n_name, len(n_name) n, list_transform(string_split(n_name, ''), lambda x: cast(ascii(x) as ubigint)) b from nation),
+w as (select *, list_transform(range(0, n // 4), lambda i: (b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) * 1540483477 % 4294967296) k from n),
+h as (select *, list_reduce(list_prepend(cast(n as ubigint), list_transform(k, lambda x: xor(x, x >> 24) * 1540483477 % 4294967296)), lambda h, x: xor(h * 1540483477 % 4294967296, x)) h1 from w),
+r as (select *, list_reduce(list_prepend(cast(0 as ubigint), list_transform(range(0, n % 4), lambda i: b[n - n % 4 + i + 1] << cast(8 * i as int))), lambda x, y: xor(x, y)) rest from h),
+f as (select *, case when n % 4 > 0 then xor(h1, rest) * 1540483477 % 4294967296 else h1 end h2 from r),
+g as (select n_name, xor(h2, h2 >> 13) * 1540483477 % 4294967296 h3 from f)
+select n_name, cast(case when xor(h3, h3 >> 15) >= 2147483648 then cast(xor(h3, h3 >> 15) as bigint) - 4294967296 else xor(h3, h3 >> 15) end as int) hash from g"""
+
+
+@_query("murmur2", _MURMUR_SQL)
 def murmur2_query(spark, d):
     from pyspark.sql.functions import pandas_udf
 
@@ -402,12 +452,35 @@ def murmur2_query(spark, d):
     return spark.read.parquet(f"{d}/nation.parquet").select("n_name", hashed(F.col("n_name").cast("binary")).alias("hash"))
 
 
+@_query(
+    "vint",
+    """with v as (select o_orderkey, case o_orderkey % 3 when 0 then o_orderkey when 1 then -o_orderkey else o_orderkey * 1000003 end as number from orders),
+s as (select *, case when number < 0 then -1 - number else number end as body from v)
+select o_orderkey, number as decoded, cast(case when number between -112 and 127 then 1 when body < 256 then 2 when body < 65536 then 3 when body < 16777216 then 4 when body < 4294967296 then 5 else 6 end as int) size from s""",
+)
+def vint_query(spark, d):
+    """Numbers written with their sign and size in the first byte, and read back."""
+    import pyarrow as pa
+
+    from cellstrata.format.wire import read_vint, write_vint
+
+    key = F.col("o_orderkey")
+    number = F.when(key % 3 == 0, key).when(key % 3 == 1, -key).otherwise(key * 1000003)
+
+    def through(batches):
+        for b in batches:
+            written = [write_vint(n) for n in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([read_vint(w, 0)[0] for w in written], pa.int64()), pa.array([len(w) for w in written], pa.int32())], ["o_orderkey", "decoded", "size"])
+
+    return ship(spark).read.parquet(f"{d}/orders.parquet").select(key, number).mapInArrow(through, "o_orderkey long, decoded long, size int")
+
+
 # --- Snapshots made from orders ------------------------------------------------------------------------------------
 
 _SPLITS = (b"", b"0000000500", b"0000002000", b"")
 
 
-def build_snapshot(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+def build_snapshot(spark: SparkSession, sf_dir: str, by_region: bool = False) -> tuple[str, str]:
     """A snapshot of three regions, two families and two files a family; the newer file has deletes and new versions."""
     folder, data = _folder(spark, "snapshot"), _folder(spark, "store")
     cells = cells_of_orders(spark, sf_dir)
@@ -438,7 +511,7 @@ def build_snapshot(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         for f in (b"a", b"b"):
             r.families.append((f, [*files[r.region_id, f, 0], *files[r.region_id, f, 1], StoreFile("feedbeef.0123", 1, b"split", "TOP")]))
     schema = Schema(b"shop", b"orders", {"IS_META": "false"}, [Family(b"a", {"VERSIONS": "1"}), Family(b"b", {"BLOOMFILTER": "ROW"})])
-    write_manifest(folder, Manifest(Description("orders_snap", "shop:orders", 1700000000000, "FLUSH", 2, "ops"), schema, regions[::-1]))
+    write_manifest(folder, Manifest(Description("orders_snap", "shop:orders", 1700000000000, "FLUSH", 2, "ops"), schema, regions[::-1]), by_region)
     return folder, data
 
 
@@ -468,6 +541,15 @@ def snapshot_scan_range(spark, d):
     return _snap_rows(scan_snapshot(spark, *build_snapshot(spark, d), start=b"0000000400", end=b"0000000700", max_versions=0))
 
 
+@_query("snapshot_region_manifests", f"with {_SNAP_SQL} select case when row_key < '0000000500' then 1000 when row_key < '0000002000' then 1001 else 1002 end region_id, count(*) n_cells from v group by 1")
+def snapshot_region_manifests(spark, d):
+    """The same snapshot with a manifest for each region instead of one for all."""
+    folder, data = build_snapshot(spark, d, by_region=True)
+    regions = snapshot(spark, folder, "regions").select(F.col("region_id").cast("int").alias("region_id"), "region")
+    cells = scan_snapshot(spark, folder, data, max_versions=0)
+    return cells.groupBy("region").agg(F.count("*").alias("n_cells")).join(regions, "region").select("region_id", "n_cells")
+
+
 @_query("snapshot_visible_counts", f"with {_SNAP_SQL} select family, case when row_key < '0000000500' then '' when row_key < '0000002000' then '0000000500' else '0000002000' end start_key, count(*) n_cells from v group by all")
 def snapshot_visible_counts(spark, d):
     cells = scan_snapshot(spark, *build_snapshot(spark, d), max_versions=0)
@@ -501,9 +583,6 @@ def snapshot_schema(spark, d):
 
 @_query("snapshot_description", "select 'orders_snap' as name, 'shop:orders' as table_name, 'FLUSH' as type, 2 as version, '2023-11-14T22:13:20Z' created, 'ops' as owner")
 def snapshot_description(spark, d):
-    before = spark.conf.get("spark.sql.session.timeZone")
-    if before != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return render.describe_snapshot(snapshot(spark, build_snapshot(spark, d)[0], "description")).drop("ttl").withColumnRenamed("table", "table_name")
 
 

@@ -11,6 +11,9 @@ import struct
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+
 from cellstrata.format.errors import FormatError
 from cellstrata.format.wire import read_compact, read_vint, write_compact, write_vint
 
@@ -81,85 +84,199 @@ def parse_plain(b: bytes, tagged: bool) -> Iterator[Cell]:
         yield Cell(*parts, value, tags)
 
 
-def format_plain(cells: Iterable[Cell], tagged: bool) -> bytes:
-    out = bytearray()
-    for c in cells:
-        key = key_of(c)
-        out += struct.pack(">II", len(key), len(c.value)) + key + c.value
-        if tagged:
-            out += struct.pack(">H", len(c.tags)) + c.tags
-        out += write_vint(0)
-    return bytes(out)
+class Columns(NamedTuple):
+    """The cells of a block as Arrow arrays."""
 
+    row: pa.Array
+    family: pa.Array
+    qualifier: pa.Array
+    ts: pa.Array  # signed, as Spark has it
+    type: pa.Array
+    value: pa.Array
+    tags: pa.Array
 
-_SAME_KEY_SIZE, _SAME_VALUE_SIZE, _SAME_TYPE, _SAME_VALUE = 8, 16, 32, 64
+
+def _cut(buf: np.ndarray, s: np.ndarray, size: np.ndarray) -> pa.Array:
+    """buf[s : s + size] of every cell, gathered end to end."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    data = buf[np.arange(ends[-1]) + np.repeat(s - ends[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def plain_columns(b: bytes, tagged: bool, values: bool = True) -> Columns:
+    """A plain block's cells: one look at each record's lengths, then all fields at once."""
+    at, end, sizes = 0, len(b), struct.Struct(">II").unpack_from
+    keys, key_sizes, value_sizes, tag_sizes = [], [], [], []
+    while at < end:
+        if at + 8 > end:
+            raise FormatError("cell cut short")
+        k, v = sizes(b, at)
+        keys.append(at + 8)
+        key_sizes.append(k)
+        value_sizes.append(v)
+        at += 8 + k + v
+        if at > end:
+            raise FormatError("cell past its block")
+        if tagged:
+            if at + 2 > end:
+                raise FormatError("tags cut short")
+            n = b[at] << 8 | b[at + 1]
+            at += 2 + n
+            if at > end:
+                raise FormatError("tags past their block")
+            tag_sizes.append(n)
+        if at < end:
+            lead = b[at]
+            if lead < 128 or lead >= 144:  # a number of one byte
+                at += 1
+            else:
+                _, at = read_vint(b, at)
+    buf = np.frombuffer(b, np.uint8)
+    key, size, value = (np.array(x, dtype=np.int64) for x in (keys, key_sizes, value_sizes))
+    if (size < 12).any():
+        raise FormatError(f"key of {size.min()} bytes")
+    row_size = buf[key].astype(np.int64) << 8 | buf[key + 1]
+    tail, row_end = key + size - 9, key + 2 + row_size
+    if (row_end >= tail).any():
+        raise FormatError("row past its key")
+    family_size = buf[row_end].astype(np.int64)
+    family_end = row_end + 1 + family_size
+    if (family_end > tail).any():
+        raise FormatError("family past its key")
+    stamps = buf[tail[:, None] + np.arange(8)].copy().view(">i8").ravel().astype(np.int64)
+    none = np.zeros(len(key), np.int64)
+    return Columns(
+        _cut(buf, key + 2, row_size), _cut(buf, row_end + 1, family_size), _cut(buf, family_end, tail - family_end), pa.array(stamps), pa.array(buf[tail + 8].astype(np.int32)),
+        _cut(buf, key + size, value if values else none), _cut(buf, key + size + value + 2, np.array(tag_sizes, dtype=np.int64)) if tagged else _cut(buf, none, none),
+    )
 
 
-class _Take:
-    """Reads on from a position, or refuses."""
+def format_plain(cells: Iterable[Cell], tagged: bool) -> bytes:
+    out = []
+    sizes, ends, zero = struct.Struct(">IIH"), struct.Struct(">QB"), write_vint(0)
+    for c in cells:
+        row, family, qualifier, ts, kind, value, tags = c
+        out += (sizes.pack(12 + len(row) + len(family) + len(qualifier), len(value), len(row)), row, bytes((len(family),)), family, qualifier, ends.pack(ts, kind), value)
+        if tagged:
+            out += (struct.pack(">H", len(tags)), tags)
+        out.append(zero)
+    return b"".join(out)
 
-    def __init__(self, b: bytes, at: int):
-        self.b, self.at = b, at
 
-    def bytes(self, n: int) -> bytes:
-        if n < 0 or self.at + n > len(self.b):
-            raise FormatError("encoded cell past its block")
-        self.at += n
-        return self.b[self.at - n : self.at]
+_SAME_KEY_SIZE, _SAME_VALUE_SIZE, _SAME_TYPE, _SAME_VALUE = 8, 16, 32, 64
 
-    def number(self) -> int:
-        value, self.at = read_compact(self.b, self.at)
-        return value
 
+def _fast_diff(b: bytes, tagged: bool) -> tuple[list, list, list, list, list, list, list]:
+    """Rows, families, qualifiers, stamps, types, values and tags of an encoded block.
 
-def parse_fast_diff(b: bytes, tagged: bool) -> Iterator[Cell]:
-    """Each cell is told against the one before: what of its key, stamp, type and value is the same."""
-    if len(b) < 4:
+    Each cell is told against the one before: what of its key, stamp, type and value is the same. A slice past the
+    end comes out short; whether one did is looked at where a length is taken from it, and at each cell's end.
+    """
+    rows, families, qualifiers, stamps, kinds, values, tags = out = [], [], [], [], [], [], []
+    n = len(b)
+    if n < 4:
         raise FormatError("encoded block cut short")
-    src = _Take(b, 4)  # the decoded size comes first
-    before: tuple[bytes, bytes, bytes] | None = None  # row, family, qualifier
-    head, stamp, kind, value, key_size, value_size = b"", bytes(8), 0, b"", 0, 0
-    while src.at < len(b):
-        flag = src.bytes(1)[0]
+    at, first = 4, True  # the decoded size comes first
+    head, row, family, qualifier, stamp, kind, value, own_tags = b"", b"", b"", b"", bytes(8), 0, b"", b""
+    key_size = value_size = family_end = 0
+    while at < n:
+        flag = b[at]
+        at += 1
         if not flag & _SAME_KEY_SIZE:
-            key_size = src.number()
+            key_size, at = read_compact(b, at)
         if not flag & _SAME_VALUE_SIZE:
-            value_size = src.number()
-        common = src.number()
+            value_size, at = read_compact(b, at)
+        common, at = read_compact(b, at)
         size = key_size - 9  # of row length to qualifier
-        if size < 3 or common > size or (before is None and common):
+        if size < 3 or common > size or (first and common):
             raise FormatError("encoded key sizes do not fit")
-        first = before is None
-        if first:
-            head = src.bytes(size)
+        if not first and common >= family_end:  # only the qualifier differs
+            rest = size - common
+            head = head[:common] + b[at : at + rest]
+            at += rest
+            qualifier = head[family_end:]
         else:
-            row, family, _ = before
-            own_family = bytes([len(family)]) + family
-            if common < 2 + len(row):
-                # The row differs: it comes to its end, then the qualifier, as the family stays.
-                front = head[:common] if common >= 2 else head[:common] + src.bytes(2 - common)
-                end = 2 + int.from_bytes(front[:2], "big")
-                front += src.bytes(end - len(front))
-                head = front + own_family + src.bytes(size - end - len(own_family))
-            else:
-                head = head[:common] + src.bytes(size - common)
-        parts = split_key(head + bytes(9))
-        before = parts[:3]
-        stamp = stamp[: flag & 7] + src.bytes(8 - (flag & 7))
+            if first or common >= 2 + len(row):
+                rest = size - common
+                head = head[:common] + b[at : at + rest]
+                at += rest
+            else:  # the row differs: it comes to its end, then the qualifier, as the family stays
+                front = head[:common]
+                if common < 2:
+                    front += b[at : at + 2 - common]
+                    at += 2 - common
+                if at > n:
+                    break
+                end = 2 + (front[0] << 8 | front[1])
+                if end < len(front):
+                    raise FormatError("encoded key sizes do not fit")
+                rest = end - len(front)
+                front += b[at : at + rest]
+                at += rest
+                rest = size - end - 1 - len(family)
+                if rest < 0:
+                    raise FormatError("encoded key sizes do not fit")
+                head = front + head[family_end - len(family) - 1 : family_end] + b[at : at + rest]
+                at += rest
+            if at > n:
+                break
+            row, family, qualifier, _, _ = split_key(head + bytes(9))
+            family_end = 3 + len(row) + len(family)
+        same = flag & 7
+        stamp = stamp[:same] + b[at : at + 8 - same]
+        at += 8 - same
         if first or not flag & _SAME_TYPE:
-            kind = src.bytes(1)[0]
+            if at >= n:
+                raise FormatError("encoded cell past its block")
+            kind = b[at]
+            at += 1
         if first or not flag & _SAME_VALUE:
-            value = src.bytes(value_size)
+            value = b[at : at + value_size]
+            at += value_size
         elif len(value) != value_size:
             raise FormatError("encoded value sizes do not fit")
-        tags = src.bytes(src.number()) if tagged else b""
-        if src.at < len(b):
-            _, src.at = read_vint(b, src.at)
-        yield Cell(*before, int.from_bytes(stamp, "big"), kind, value, tags)
+        if tagged:
+            size, at = read_compact(b, at)
+            own_tags = b[at : at + size]
+            at += size
+        if at > n:
+            break
+        if at < n:
+            lead = b[at]
+            if lead < 128 or lead >= 144:  # a number of one byte
+                at += 1
+            else:
+                _, at = read_vint(b, at)
+        first = False
+        rows.append(row)
+        families.append(family)
+        qualifiers.append(qualifier)
+        stamps.append(stamp)
+        kinds.append(kind)
+        values.append(value)
+        tags.append(own_tags)
+    if at > n:
+        raise FormatError("encoded cell past its block")
+    return out
+
+
+def fast_diff_columns(b: bytes, tagged: bool, values: bool = True) -> Columns:
+    rows, families, qualifiers, stamps, kinds, told, tags = _fast_diff(b, tagged)
+    binary = lambda x: pa.array(x, pa.binary())
+    stamp = np.frombuffer(b"".join(stamps), ">i8").astype(np.int64)
+    empty = [b""] * len(rows)
+    return Columns(binary(rows), binary(families), binary(qualifiers), pa.array(stamp), pa.array(kinds, pa.int32()), binary(told if values else empty), binary(tags))
+
+
+def parse_fast_diff(b: bytes, tagged: bool) -> Iterator[Cell]:
+    rows, families, qualifiers, stamps, *rest = _fast_diff(b, tagged)
+    for cell in zip(rows, families, qualifiers, (int.from_bytes(s, "big") for s in stamps), *rest, strict=True):
+        yield Cell(*cell)
 
 
 def format_fast_diff(cells: list[Cell], tagged: bool) -> bytes:
-    out = bytearray(struct.pack(">I", len(format_plain(cells, tagged))))
+    decoded = sum(21 + len(c.row) + len(c.family) + len(c.qualifier) + len(c.value) + (2 + len(c.tags) if tagged else 0) for c in cells)
+    out = bytearray(struct.pack(">I", decoded))
     last: Cell | None = None
     head = b""
     for c in cells:

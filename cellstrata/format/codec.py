@@ -79,12 +79,27 @@ def _frames(data: bytes, size: int, chunk_of) -> bytes:
     return bytes(out)
 
 
+_more: dict[int, tuple] = {}
+
+
+def register(number: int, name: str, unpack, pack) -> None:
+    """Adds a codec of the trailer's numbering: ``unpack(data, size)`` and ``pack(data)``, both of whole block bodies.
+
+    Workers need it too: call it where tasks import it, as in a module that is shipped to them.
+    """
+    if number in NAMES or name in CODECS:
+        raise ValueError(f"codec {number} ({name}) is known already")
+    CODECS[name], NAMES[number], _more[number] = number, name, (unpack, pack)
+
+
 def decompress(codec: int, data: bytes, size: int) -> bytes:
     if codec not in NAMES:
         raise FormatError(f"compression codec {codec} is not supported")
     if not 0 <= size <= _LARGEST:
         raise FormatError(f"block of {size} bytes")
-    if codec == NONE:
+    if codec in _more:
+        out = _more[codec][0](data, size)
+    elif codec == NONE:
         out = data
     elif codec == GZ:
         out = _gunzip(data, size)
@@ -100,6 +115,8 @@ def decompress(codec: int, data: bytes, size: int) -> bytes:
 
 
 def compress(codec: int, data: bytes, framed: bool = True) -> bytes:
+    if codec in _more:
+        return _more[codec][1](data)
     if codec == NONE:
         return data
     if codec == GZ:

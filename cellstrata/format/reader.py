@@ -118,6 +118,24 @@ def parse_file_info(b: bytes) -> dict[str, bytes]:
 TAGS_KEY, ENCODING_KEY, BLOOM_KEY = "hfile.MAX_TAGS_LEN", "DATA_BLOCK_ENCODING", "BLOOM_FILTER_TYPE"
 
 
+def cell_data(head: Header, data: bytes, encoding: str) -> bytes:
+    """The cells' bytes of a data block."""
+    if encoding == "FAST_DIFF":
+        if head.type != "ENCODED_DATA" or len(data) < 2 or data[:2] != b"\x00\x04":
+            raise FormatError("block is not encoded as its file")
+        return data[2:]
+    if head.type != "DATA":
+        raise FormatError(f"{head.type} block where DATA is due")
+    return data
+
+
+def block_columns(f, offset: int, layout: tuple[int, str, bool], verify: bool = True, values: bool = True) -> cells.Columns:
+    """A data block's cells as arrays; ``layout`` as the open file told it."""
+    compression, encoding, tagged = layout
+    head, data, _ = read_block(f, offset, compression, verify)
+    return (cells.fast_diff_columns if encoding == "FAST_DIFF" else cells.plain_columns)(cell_data(head, data, encoding), tagged, values)
+
+
 class CellFile:
     """An open cell file; everything but cells is read at once."""
 
@@ -167,15 +185,16 @@ class CellFile:
                 raise FormatError("index too large")
         return level
 
-    def block_cells(self, offset: int) -> Iterator[cells.Cell]:
+    def _block(self, offset: int) -> bytes:
         head, data, _ = read_block(self.f, offset, self.trailer.compression, self.verify)
-        if self.encoding == "FAST_DIFF":
-            if head.type != "ENCODED_DATA" or len(data) < 2 or data[:2] != b"\x00\x04":
-                raise FormatError("block is not encoded as its file")
-            return cells.parse_fast_diff(data[2:], self.tagged)
-        if head.type != "DATA":
-            raise FormatError(f"{head.type} block where DATA is due")
-        return cells.parse_plain(data, self.tagged)
+        return cell_data(head, data, self.encoding)
+
+    def block_cells(self, offset: int) -> Iterator[cells.Cell]:
+        return (cells.parse_fast_diff if self.encoding == "FAST_DIFF" else cells.parse_plain)(self._block(offset), self.tagged)
+
+    def layout(self) -> tuple[int, str, bool]:
+        """What reading a data block needs to know."""
+        return self.trailer.compression, self.encoding, self.tagged
 
     def scan(self) -> Iterator[cells.Cell]:
         for offset, _, _ in self.data_blocks():

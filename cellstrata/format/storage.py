@@ -9,6 +9,7 @@ import logging
 import os
 import posixpath
 import time
+from collections.abc import Callable
 
 import pyarrow.fs as pafs
 
@@ -33,7 +34,18 @@ def join_path(base: str, *parts: str) -> str:
     return os.path.normpath(os.path.join(base, *parts))
 
 
+_schemes: dict[str, Callable[[str], tuple[pafs.FileSystem, str]]] = {}
+
+
+def register_scheme(scheme: str, opener: Callable[[str], tuple[pafs.FileSystem, str]]) -> None:
+    """Has paths of a scheme opened by ``opener``, which gives a filesystem and the path on it."""
+    _schemes[scheme] = opener
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    scheme = path.split("://")[0] if "://" in path else ""
+    if scheme in _schemes:
+        return _schemes[scheme](path)
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     if "://" not in path:
@@ -118,12 +130,17 @@ def list_dir(path: str) -> list[str]:
     return sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if i.type == pafs.FileType.File)
 
 
-def list_files(path: str) -> list[str]:
-    """A file itself, or the files of a folder and below that do not start with a dot or underscore."""
+def list_sizes(path: str) -> list[tuple[str, int]]:
+    """A file itself, or the files of a folder and below that do not start with a dot or underscore, with their sizes."""
     fs, at = filesystem(path)
-    if fs.get_file_info(at).type == pafs.FileType.File:
-        return [path]
-    found = [i.path for i in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if i.type == pafs.FileType.File]
-    keep = sorted(f for f in found if not any(p[0] in "._" for p in posixpath.relpath(f, at).split("/")) and not f.endswith(".tmp"))
+    own = fs.get_file_info(at)
+    if own.type == pafs.FileType.File:
+        return [(path, own.size)]
+    found = [i for i in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if i.type == pafs.FileType.File]
+    keep = sorted((i.path, i.size) for i in found if not any(p[0] in "._" for p in posixpath.relpath(i.path, at).split("/")) and not i.path.endswith(".tmp"))
     prefix = path.split("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
-    return [prefix + f for f in keep]
+    return [(prefix + f, size) for f, size in keep]
+
+
+def list_files(path: str) -> list[str]:
+    return [f for f, _ in list_sizes(path)]

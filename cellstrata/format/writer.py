@@ -32,8 +32,9 @@ def write_cells(
     fan_out: int | None = None,
     framed_zstd: bool = True,
     keys_per_chunk: int = 20_000,
+    meta_blocks: dict[str, bytes] | None = None,
 ) -> bytes:
-    """The bytes of a file; ``fan_out``: entries of an index block, which forces more levels."""
+    """The bytes of a file; ``fan_out``: entries of an index block, which forces more levels; ``meta_blocks``: by name."""
     kind = codec.CODECS[compression]
     out = bytearray()
     previous: dict[str, int] = {}
@@ -45,7 +46,7 @@ def write_cells(
         return at, len(block)
 
     index, rows, total, key_bytes, value_bytes, raw, held, size, most_tags = [], [], 0, 0, 0, 0, [], 0, 0
-    last = None
+    last = order = None
 
     def flush():
         nonlocal held, size, raw
@@ -58,7 +59,8 @@ def write_cells(
         held, size = [], 0
 
     for c in sorted_cells:
-        if last is not None and cells.sort_key(c) < cells.sort_key(last):
+        before, order = order, cells.sort_key(c)
+        if last is not None and order < before:
             raise ValueError("cells are not in order")
         key = len(c.row) + len(c.family) + len(c.qualifier) + 12
         total += 1
@@ -84,6 +86,10 @@ def write_cells(
             chunks.append((at, n, part[0]))
             chunk_bytes += len(data)
         meta = bloom.BloomMeta(chunk_bytes, 5, 1, len(rows), len(rows), len(chunks), "", chunks)
+    meta_index = []
+    for name, data in sorted((meta_blocks or {}).items()):
+        at, n = put("META", data)
+        meta_index.append((at, n, name.encode()))
     levels, entries, level_kind = 1, index, "LEAF_INDEX"
     while fan_out and len(entries) > fan_out:
         above = []
@@ -97,7 +103,7 @@ def write_cells(
     if levels > 1:
         root += struct.pack(">qii", index[len(index) // 2][0], index[len(index) // 2][1], 0)
     put("ROOT_INDEX", root)
-    put("ROOT_INDEX", b"")
+    put("ROOT_INDEX", format_entries(meta_index))
     info = {
         "hfile.AVG_KEY_LEN": struct.pack(">i", key_bytes // total if total else 0),
         "hfile.AVG_VALUE_LEN": struct.pack(">i", value_bytes // total if total else 0),
@@ -115,7 +121,7 @@ def write_cells(
     put("FILE_INFO", b"PBUF" + write_varint(len(message)) + message)
     if meta is not None:
         put("GENERAL_BLOOM_META", bloom.format_meta(meta, format_entries))
-    fields = [info_at, load, len(root), raw, len(entries), 0, total, levels, first_data, last_data]
+    fields = [info_at, load, len(root), raw, len(entries), len(meta_index), total, levels, first_data, last_data]
     message = encode_message([*enumerate(fields, 1), (11, _COMPARATOR), (12, kind)])
     tail = MAGICS["TRAILER"] + write_varint(len(message)) + message
     out += tail + bytes(TRAILER_SIZE - 4 - len(tail)) + (3 | 3 << 24).to_bytes(4, "big")

@@ -56,8 +56,10 @@ def file_info_line(key: Column, value: Column) -> Column:
 
 
 def creation_time(millis: Column) -> Column:
-    """Milliseconds since 1970 as an RFC 3339 time in UTC (the session's time zone must be UTC); nothing for 0."""
-    return F.when(millis != 0, F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    """Milliseconds since 1970 as an RFC 3339 time in UTC, whatever the session's time zone; nothing for 0."""
+    second = F.floor(millis / 1000)  # a time without a zone, so that none is applied
+    at = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.floor(second / 86400).cast("int"), secs=F.pmod(second, F.lit(86400)).cast("decimal(18,6)"))
+    return F.when(millis != 0, F.concat(F.replace(F.substring(at.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z")))
 
 
 def describe_snapshot(description: DataFrame) -> DataFrame:

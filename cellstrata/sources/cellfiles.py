@@ -1,12 +1,13 @@
 """Cell files as DataFrames.
 
-``spark.read.format("cellfile").load(path)`` plans splits of data blocks on the driver.
-:func:`read_files` plans them where the files are listed as rows, so that a store of very many
-files is opened by the executors. Both read Arrow batches in Python workers.
+``spark.read.format("cellfile").load(path)`` deals files out by byte ranges, as their listing tells
+their sizes, and executors read the blocks that begin in a range. :func:`read_files` takes files
+listed as rows: executors plan splits of data blocks and tell the file's layout along, so that a split
+opens nothing but its blocks. Both decode whole blocks to Arrow arrays in Python workers.
 
 Options: startKey, endKey (UTF-8) or startKeyHex, endKeyHex; row or rowHex for one row, which
 skips files by their row bloom filter; columns (comma-separated; others come back empty);
-verify (checksums, true); onError (fail or skip the file); blocksPerSplit; pushdown (true takes
+verify (checksums, true); onError (fail or skip the file); splitBytes; pushdown (true takes
 the bounds from filters on ``row``, for which :func:`enable_pushdown` sets the session up).
 """
 
@@ -18,7 +19,9 @@ import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 from cellstrata.format import storage
 from cellstrata.format.errors import FormatError
-from cellstrata.format.reader import BLOOM_KEY, CellFile
+from cellstrata.format.reader import BLOOM_KEY, CellFile, block_columns
 from cellstrata.runtime import ship
 from cellstrata.schema import CELL
 
@@ -47,7 +50,7 @@ class Bounds:
     columns: frozenset | None = None
     verify: bool = True
     skip_errors: bool = False
-    blocks: int = 64
+    split_bytes: int = 32 << 20
 
     @classmethod
     def of(cls, options: dict) -> Bounds:
@@ -55,20 +58,40 @@ class Bounds:
         key = lambda name: bytes.fromhex(o[name + "hex"]) if o.get(name + "hex") else o.get(name, "").encode()
         row = key("row") if "row" in o or "rowhex" in o else None
         columns = frozenset(c.strip() for c in o["columns"].split(",")) if o.get("columns") else None
-        return cls(key("startkey"), key("endkey"), row, columns, o.get("verify", "true") == "true", o.get("onerror", "fail") == "skip", int(o.get("blockspersplit", 64)))
+        return cls(key("startkey"), key("endkey"), row, columns, o.get("verify", "true") == "true", o.get("onerror", "fail") == "skip", int(o.get("splitbytes", 32 << 20)))
 
 
 def _row(key: bytes) -> bytes:
     return key[2 : 2 + int.from_bytes(key[:2], "big")]
 
 
-def plan(path: str, b: Bounds) -> list[tuple[int, list[int]]]:
-    """Splits of a file's data blocks that can hold rows in bounds: number of the first block, offsets."""
+@dataclass
+class Plan:
+    """A file's data blocks that can hold rows in bounds: its layout, their offsets and sizes, and the first one's number."""
+
+    layout: tuple[int, str, bool]
+    first: int
+    blocks: list[tuple[int, int]]
+
+    def splits(self, size: int) -> list[tuple[int, list[int]]]:
+        """(number of the first block, offsets) of runs of blocks of about ``size`` bytes, one block at least."""
+        out, held, total = [], [], 0
+        for i, (offset, n) in enumerate(self.blocks, self.first):
+            if not held:
+                out.append((i, held))
+            held.append(offset)
+            total += n
+            if total >= size:
+                held, total = [], 0
+        return out
+
+
+def plan(path: str, b: Bounds) -> Plan:
     f = storage.RandomAccess(path)
     try:
         file = CellFile(f, b.verify)
         if b.row is not None and file.file_info.get(BLOOM_KEY) == b"ROW" and not file.may_contain(b.row):
-            return []
+            return Plan(file.layout(), 0, [])
         blocks = file.data_blocks()
     finally:
         f.close()
@@ -78,40 +101,53 @@ def plan(path: str, b: Bounds) -> list[tuple[int, list[int]]]:
         start, end = max(start, b.row), min(end or b.row + b"\0", b.row + b"\0")
     lo = max(0, bisect.bisect_left(rows, start) - 1) if start else 0
     hi = bisect.bisect_left(rows, end) if end else len(rows)
-    return [(i, [o for o, _, _ in blocks[i : min(i + b.blocks, hi)]]) for i in range(lo, hi, b.blocks)]
+    return Plan(file.layout(), lo, [(o, n) for o, n, _ in blocks[lo:hi]])
 
 
-def read_split(path: str, order: int, first: int, offsets: list[int], b: Bounds) -> Iterator[pa.RecordBatch]:
+def read_blocks(path: str, order: int, first: int, offsets: list[int], layout: tuple[int, str, bool], b: Bounds) -> Iterator[pa.RecordBatch]:
     want = lambda c: b.columns is None or c in b.columns
     f = storage.RandomAccess(path)
+    held, size = [], 0
     try:
-        file = CellFile(f, b.verify)
-        held: list[tuple] = []
         for n, offset in enumerate(offsets, first):
-            for i, c in enumerate(file.block_cells(offset)):
-                if c.row < b.start or (b.end and c.row >= b.end) or (b.row is not None and c.row != b.row):
-                    continue
-                ts = c.ts - (1 << 64) if c.ts >> 63 else c.ts
-                held.append((c.row, c.family, c.qualifier, ts, c.type, c.value if want("value") else b"", c.tags if want("tags") else b"", path, order, n << 32 | i))
-            if len(held) >= BATCH:
-                yield _batch(held)
-                held = []
-        if held:
-            yield _batch(held)
+            columns = block_columns(f, offset, layout, b.verify, want("value"))
+            count = len(columns.row)
+            if not want("tags"):
+                columns = columns._replace(tags=pa.array([b""] * count, pa.binary()))
+            place = [pa.array([path] * count, pa.string()), pa.array(np.full(count, order), pa.int32()), pa.array((n << 32) + np.arange(count))]
+            batch = _in_bounds(pa.RecordBatch.from_arrays([*columns, *place], schema=_ARROW), b)
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= BATCH:
+                yield from _joined(held)
+                held, size = [], 0
+        yield from _joined(held)
     finally:
         f.close()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+def _in_bounds(batch: pa.RecordBatch, b: Bounds) -> pa.RecordBatch:
+    row, fit = batch.column(0), None
+    for bound, test in ((b.start, pc.greater_equal), (b.end, pc.less), (b.row, pc.equal)):
+        if bound or (bound is not None and test is pc.equal):
+            own = test(row, pa.scalar(bound, pa.binary()))
+            fit = own if fit is None else pc.and_(fit, own)
+    return batch if fit is None else batch.filter(fit)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(batches, _ARROW).combine_chunks().to_batches() if batches else []
 
 
 @dataclass
 class Split(InputPartition):
+    """The blocks of a file that begin in a range of bytes."""
+
     path: str
     order: int
-    first: int
-    offsets: list
+    begin: int
+    end: int
 
 
 class _Reader(DataSourceReader):
@@ -120,21 +156,26 @@ class _Reader(DataSourceReader):
         self.bounds = Bounds.of(options)
 
     def partitions(self):
-        out, order = [], 0
-        for path in self.paths:
-            for name in storage.list_files(path):
-                try:
-                    out += [Split(name, order, first, offsets) for first, offsets in plan(name, self.bounds)]
-                except (FormatError, OSError) as e:
-                    if not self.bounds.skip_errors:
-                        raise
-                    log.warning("skipped %s: %s", name, e)
-                order += 1
-        return out or [Split("", 0, 0, [])]
+        """Byte ranges, from the listing alone: no file is opened here."""
+        out, step = [], self.bounds.split_bytes
+        files = [f for path in self.paths for f in storage.list_sizes(path)]
+        for order, (name, size) in enumerate(files):
+            out += [Split(name, order, at, at + step) for at in range(0, max(size, 1), step)]
+        return out or [Split("", 0, 0, 0)]
 
     def read(self, partition):
-        if partition.offsets:
-            yield from read_split(partition.path, partition.order, partition.first, partition.offsets, self.bounds)
+        if not partition.path:
+            return
+        try:
+            found = plan(partition.path, self.bounds)
+        except (FormatError, OSError) as e:
+            if not self.bounds.skip_errors:
+                raise
+            log.warning("skipped %s: %s", partition.path, e)
+            return
+        own = [(i, o) for i, (o, _) in enumerate(found.blocks, found.first) if partition.begin <= o < partition.end]
+        if own:
+            yield from read_blocks(partition.path, partition.order, own[0][0], [o for _, o in own], found.layout, self.bounds)
 
 
 class _PushdownReader(_Reader):
@@ -189,7 +230,7 @@ class _MetaReader(DataSourceReader):
             raise FormatError(f"view {self.view}: one of {', '.join(_VIEWS)}")
 
     def partitions(self):
-        return [Split(name, 0, 0, []) for name in storage.list_files(self.path)]
+        return [Split(name, 0, 0, 0) for name in storage.list_files(self.path)]
 
     def read(self, partition):
         f = storage.RandomAccess(partition.path)
@@ -259,32 +300,35 @@ def read_files(files: DataFrame, **options) -> DataFrame:
     def splits(batches):
         for b in batches:
             paths, orders = b.column(0).to_pylist(), b.column(1).to_pylist()
-            at, firsts, offsets = [], [], []
+            at, layouts, firsts, offsets = [], [], [], []
             for i, path in enumerate(paths):
                 try:
-                    for first, own in plan(path, bounds):
-                        at.append(i)
-                        firsts.append(first)
-                        offsets.append(own)
+                    found = plan(path, bounds)
                 except (FormatError, OSError) as e:
                     if not bounds.skip_errors:
                         raise
                     log.warning("skipped %s: %s", path, e)
+                    continue
+                for first, own in found.splits(bounds.split_bytes):
+                    at.append(i)
+                    layouts.append(json.dumps(found.layout))
+                    firsts.append(first)
+                    offsets.append(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([paths[i] for i in at], pa.string()), pa.array([orders[i] for i in at], pa.int32()), b.column(2).take(pa.array(at, pa.int64())), pa.array(firsts, pa.int64()), pa.array(offsets, pa.list_(pa.int64()))],
-                ["path", "file_order", "tag", "first", "offsets"],
+                [pa.array([paths[i] for i in at], pa.string()), pa.array([orders[i] for i in at], pa.int32()), b.column(2).take(pa.array(at, pa.int64())), pa.array(layouts, pa.string()), pa.array(firsts, pa.int64()), pa.array(offsets, pa.list_(pa.int64()))],
+                ["path", "file_order", "tag", "layout", "first", "offsets"],
             )
 
-    planned = T.StructType([listed.schema["path"], listed.schema["file_order"], listed.schema["tag"], T.StructField("first", T.LongType()), T.StructField("offsets", T.ArrayType(T.LongType()))])
+    planned = T.StructType([listed.schema["path"], listed.schema["file_order"], listed.schema["tag"], T.StructField("layout", T.StringType()), T.StructField("first", T.LongType()), T.StructField("offsets", T.ArrayType(T.LongType()))])
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = listed.repartition(n, "path").mapInArrow(splits, planned).repartition(n, "path", "first")
 
     def cells(batches):
         for b in batches:
             for i in range(b.num_rows):
-                path, order, first, offsets = (b.column(j)[i].as_py() for j in (0, 1, 3, 4))
-                for out in read_split(path, order, first, offsets, bounds):
-                    tags = b.column(2).take(pa.array([i] * out.num_rows, pa.int64()))
+                path, order, layout, first, offsets = (b.column(j)[i].as_py() for j in (0, 1, 3, 4, 5))
+                for out in read_blocks(path, order, first, offsets, tuple(json.loads(layout)), bounds):
+                    tags = b.column(2).take(pa.array(np.full(out.num_rows, i)))
                     yield pa.RecordBatch.from_arrays([*out.columns, tags], [*_ARROW.names, "tag"])
 
     full = dealt.mapInArrow(cells, T.StructType([*FULL, listed.schema["tag"]]))

@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from cellstrata.format import bloom, checksum, codec, wire
-from cellstrata.format.cells import Cell, format_fast_diff, format_plain, key_of, parse_fast_diff, parse_plain, sort_key
+from cellstrata.format.cells import Cell, fast_diff_columns, format_fast_diff, format_plain, key_of, parse_fast_diff, parse_plain, plain_columns, sort_key
 from cellstrata.format.errors import FormatError
 from cellstrata.format.reader import CellFile, row_prefix
 from cellstrata.format.storage import InMemory, join_path, split_bucket
@@ -79,6 +79,36 @@ def test_block_layouts(cells):
     assert list(parse_fast_diff(format_fast_diff(cells, True), True)) == cells
 
 
+def told(columns):
+    """Cells of a block's arrays."""
+    return [Cell(*c[:3], c[3] % (1 << 64), *c[4:]) for c in zip(*(x.to_pylist() for x in columns), strict=True)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.booleans(), st.data())
+def test_columns_equal_cells(tagged, data):
+    cells = data.draw(cell_lists(tagged))
+    assert told(plain_columns(format_plain(cells, tagged), tagged)) == cells
+    assert told(fast_diff_columns(format_fast_diff(cells, tagged), tagged)) == cells
+    assert [c.value for c in told(plain_columns(format_plain(cells, tagged), tagged, False))] == [b""] * len(cells)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.booleans(), st.integers(0, 10**9), st.integers(0, 255), st.integers(0, 40))
+def test_columns_refuse_what_cells_refuse(tagged, at, byte, less):
+    cells = [Cell(b"r%02d" % (i // 3), b"f", b"q%d" % (i % 3), 9 - i % 2, 4, b"v" * i, b"t" * (i % 4) if tagged else b"") for i in range(30)]
+    data = bytearray(format_plain(cells, tagged))
+    data[at % len(data)] = byte
+    data = bytes(data[: len(data) - less])
+    try:
+        expected = list(parse_plain(data, tagged))
+    except FormatError:
+        with pytest.raises(FormatError):
+            plain_columns(data, tagged)
+    else:
+        assert told(plain_columns(data, tagged)) == expected
+
+
 @given(st.integers(-(2**63), 2**63 - 1))
 def test_vint(n):
     b = wire.write_vint(n)

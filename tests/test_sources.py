@@ -30,7 +30,7 @@ def store(spark, tmp_path_factory):
 
 
 def test_load(spark, store):
-    df = register(spark).read.format("cellfile").option("blocksPerSplit", 2).load(store)
+    df = register(spark).read.format("cellfile").option("splitBytes", 500).load(store)
     assert keys(df) == [f"{i:05d}" for i in range(200)]
     assert df.rdd.getNumPartitions() > 3
     one = df.where(F.col("row") == F.lit(b"00007")).first()
@@ -43,7 +43,10 @@ def test_bounds_prune_blocks(spark, store):
     assert keys(df) == [f"{i:05d}" for i in range(50, 60)]
     file = storage.list_files(store)[0]
     whole, part = plan(file, Bounds()), plan(file, Bounds(b"00010", b"00011"))
-    assert sum(len(o) for _, o in part) < sum(len(o) for _, o in whole)
+    assert 0 < len(part.blocks) < len(whole.blocks)
+    runs = whole.splits(700)
+    assert len(runs) > 1 and [o for _, own in runs for o in own] == [o for o, _ in whole.blocks]
+    assert [i for i, _ in runs] == [sum(len(own) for _, own in runs[:k]) for k in range(len(runs))]
 
 
 def test_pushdown(spark, store):
@@ -54,7 +57,7 @@ def test_pushdown(spark, store):
 
 
 def test_bloom_skips_files(spark, store):
-    hits = [f for f in storage.list_files(store) if plan(f, Bounds(row=b"00042"))]
+    hits = [f for f in storage.list_files(store) if plan(f, Bounds(row=b"00042")).blocks]
     assert len(hits) == 1
     assert keys(register(spark).read.format("cellfile").option("row", "00042").load(store)) == ["00042"]
     assert keys(spark.read.format("cellfile").option("row", "nowhere").load(store)) == []
