@@ -20,19 +20,28 @@ def _text(rng, n):
     return rng.choice([" ", "  ", ", "]).join(rng.choice(WORDS) for _ in range(n))
 
 
-@pytest.mark.parametrize("block", [1 << 20, 120])
-def test_contamination(spark, make_docs, block):
+@pytest.mark.parametrize("bits,threshold", [(1 << 28, "10485760"), (64, "-1")])
+def test_contamination(spark, make_docs, bits, threshold):
+    """Neither the size of the screens nor the kind of the joins changes the result."""
     rng = random.Random(3)
-    items = [(1, _text(rng, 30)), (2, _text(rng, 13)), (3, "Rare Pair"), (4, None), (5, "..."), (6, "é"), (7, _text(rng, 5)), (2, _text(rng, 14)), (None, _text(rng, 16))]
+    items = [(1, _text(rng, 30)), (2, _text(rng, 13)), (3, "Rare Pair"), (4, None), (5, "..."), (6, "é"), (7, _text(rng, 5)), (2, _text(rng, 14)), (None, _text(rng, 16)), (8, "tau tau tau " * 9), (9, "tau")]
     texts = [*ODD, *[_text(rng, n) for n in (1, 2, 12, 13, 14, 400)]]
-    texts += [f"{_text(rng, 8)} {(items[0][1]).upper()} {_text(rng, 5)}", f"rare pair {items[1][1]} rare, pair", f"{items[8][1]}", " ".join(items[0][1].replace(",", "").split()[3:17])]
+    texts += [f"{_text(rng, 8)} {(items[0][1]).upper()} {_text(rng, 5)}", f"rare pair {items[1][1]} rare, pair", f"{items[8][1]}", " ".join(items[0][1].replace(",", "").split()[3:17]), "tau " * 40, f"x {items[0][1]} {items[0][1]}"]
     docs = make_docs(texts + texts[-2:])  # rows that repeat but for the id
-    found = decontaminate.contamination(docs, spark.createDataFrame(items, ITEMS), block_bytes=block)
-    got = sorted((r.doc_id, r.n_words, r.n_hit, sorted(r.items)) for r in found.select("row.doc_id", "n_words", "n_hit", "items").collect())
+    bench = spark.createDataFrame(items, ITEMS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = decontaminate.contamination(docs, bench, most_bits=bits)
+        rows = found.select("row.doc_id", "n_words", "n_hit", "items", "n_items", "spans").collect()
+        kept = {r.doc_id for r in decontaminate.clean(docs, bench, most_bits=bits).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in rows)
     assert got == brute_windows([(r.doc_id, r.text) for r in docs.collect()], items)
-    kept = {r.doc_id for r in decontaminate.clean(docs, spark.createDataFrame(items, ITEMS), block_bytes=block).collect()}
+    assert all(r.n_hit == sum(e - s for s, e in zip(r.spans[::2], r.spans[1::2], strict=True)) and r.n_items == len(r["items"]) and r.spans == sorted(set(r.spans)) for r in rows)
     assert kept == {i for i, n, h, _ in got if not (h and 20 * h >= n)}
-    assert decontaminate.clean(docs, spark.createDataFrame(items, ITEMS)).columns == docs.columns
+    assert decontaminate.clean(docs, bench).columns == docs.columns
 
 
 def test_contamination_of_empty_tables(spark, make_docs):
