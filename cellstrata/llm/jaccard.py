@@ -6,7 +6,7 @@ Jaccard similarity of their sets is at least ``percent`` / 100, decided in whole
 *Order and classes.* All shingles are counted: packed sorted arrays of each chunk's shingles meet
 in groups of the hash space. Those of one document come first in the order, then *rare* ones, then
 *frequent* ones, each class in the order of its hashes. What is found more than once is told to all
-tasks by a bitmap of fixed size, whose false hits only move a shingle to the rare ones; frequent is
+tasks by a bitmap (of bounded size, see ``_bitmap``), whose false hits only move a shingle to the rare ones; frequent is
 what ``LEAST_FREQUENT`` documents have, or the least power of two times that leaves at most
 ``MOST_FREQUENT`` hashes, which are broadcast. A shingle of one document can match nothing, so it
 counts for a prefix but is not indexed.
@@ -19,18 +19,23 @@ the one that ends first would be unshared. Rare shingles are indexed alone (k =
 ones are dealt by their hash to classes of about four prefix members and indexed by pairs
 (k = 2); the number of classes follows from the size, rounded to a power of 100 / percent (1.25
 at least), and a set signs for its own size and the next, as linked sets are at most one apart.
-Small sets index frequent shingles alone too.
+(Sets so small that linked ones may share no more shingles than there are classes index them alone:
+at 80 percent sets of one shingle.)
 
 *Candidates.* Equal sets are one class. In a group of classes with a common signature, stars
-around one class are verified first and joined into components; then all pairs of different
+around one class are verified first and joined into components; then pairs of different
 components that share a signature, and pass the bounds on length, position and count, are verified.
-So no pair that could join components is left out, and groups of copies are not expanded.
+So no pair that could join components is left out, and groups of copies are not expanded. These
+pairs meet by signature and rank of size: a set of n shingles, s of which other documents have,
+links with none of more than s (100 + percent) / percent - n, so of documents that share a
+boilerplate but say more of their own than may differ, no two meet.
 
 *Verification* fetches the texts of both classes and intersects their sets.
 
 Defined results: null and word-less texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle; rows without an id have a null component and link
-nothing; rows that share an id link what any of them links.
+nothing; rows that share an id link what any of them links; a very long text is a piece of its own;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -43,19 +48,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellstrata.llm import _bitmap
 from cellstrata.llm import _text as X
 from cellstrata.llm.components import components
-from cellstrata.runtime import cut, ship
+from cellstrata.runtime import cut, drop, ship
 
 SHINGLE, PERCENT = 5, 80
 MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 8
-BITMAP = 1 << 27  # bits
 HIGH = 64  # documents; what has fewer is compared by bitmaps before texts are
 SKETCH = 8  # words of such a bitmap
 _GROUP = 2_000_000  # shingles of a group of the hash space
 _CHUNK = 4_000_000
-_SMALL = 64
+_RANK = 1.07  # ratio of the sizes of two ranks in the last round
 _PER_CLASS = 4
 STARS = 2  # rounds after the first; the last one is over all pairs
 
@@ -124,8 +129,7 @@ class Order:
     def rank(self, g: np.ndarray) -> np.ndarray:
         """0: of one document, 1: rare, 2: frequent, 3: frequent and high."""
         name = X.bucket_of(g, self.buckets).astype(X.U64) << X.U64(32) | (g & X.U64(0xFFFFFFFF))
-        word, bit = _place(name, 64 * len(self.bitmap))
-        out = (self.bitmap[word] >> bit & X.U64(1)).astype(np.int64)
+        out = _bitmap.holds(self.bitmap, name).astype(np.int64)
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, name), len(self.frequent) - 1)
             out[self.frequent[at] == name] = 2
@@ -135,11 +139,6 @@ class Order:
         return out
 
 
-def _place(name: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    at = X.mix(name) % X.U64(bits)
-    return (at >> X.U64(6)).astype(np.int64), at & X.U64(63)
-
-
 def _sets(docs: DataFrame, shingle: int, seed: int, text: str, buckets: int) -> DataFrame:
     """(doc_id, n, c, hi) of every row, and (bucket, packed) of each chunk's distinct shingles and their counts."""
 
@@ -198,23 +197,7 @@ def _counted(key, table):
 def _order(told: DataFrame, buckets: int, most: int, least: int) -> Order:
     several = cut(told.groupBy("bucket").applyInArrow(_counted, "name long, times long"), "jaccard-several")
 
-    def bits(batches):
-        for b in batches:
-            word, bit = _place(np.asarray(b.column(0)).view(X.U64), BITMAP)
-            word, back = np.unique(word, return_inverse=True)
-            held = np.zeros(len(word), dtype=X.U64)
-            np.bitwise_or.at(held, back, X.U64(1) << bit)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(held.view(np.int64))], ["w", "b"])
-
-    def packed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([X.pack(np.asarray(b.column(0)), np.asarray(b.column(1)))], pa.binary())], ["packed"])
-
-    words = several.select("name").mapInArrow(bits, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
-    bitmap = np.zeros(BITMAP // 64, dtype=X.U64)  # its words, whatever the documents
-    for r in words.mapInArrow(packed, "packed binary").toLocalIterator():
-        w, b = X.unpack(r.packed, np.int64, np.int64)
-        bitmap[w] = b.view(X.U64)
+    bitmap = _bitmap.collect(several.select("name"), _bitmap.bits_for(several.count()))
     sizes = several.where(F.col("times") >= least).groupBy(F.floor(F.log2(F.col("times") / least)).alias("k")).agg(F.count("*").alias("n")).collect()
     floor, left = least, sum(r.n for r in sizes)
     for r in sorted(sizes):
@@ -226,6 +209,7 @@ def _order(told: DataFrame, buckets: int, most: int, least: int) -> Order:
     found = np.array([(r.name, r.times) for r in rows.toLocalIterator()], dtype=np.int64).reshape(-1, 2)
     found = found[np.argsort(found[:, 0].view(X.U64) if len(found) else found[:, 0])]
     names = found[:, 0].copy().view(X.U64)
+    drop(several)
     return Order(buckets, bitmap, names, names[found[:, 1] >= HIGH])
 
 
@@ -235,9 +219,15 @@ def _step(percent: int) -> float:
 
 
 def _classes(size_rank: int, percent: int) -> int:
-    """Number of frequent classes for a size rank; 0: frequent shingles are indexed alone."""
+    """Number of frequent classes for a size rank; 0: frequent shingles are indexed alone.
+
+    Linked sets of this rank share ``least`` shingles, or one that is indexed alone; in fewer classes than that,
+    two shared ones fall to one class even where a whole set is too small for its prefix.
+    """
     size = _step(percent) ** (size_rank + 1)
-    return 0 if size < _SMALL else max(1, math.ceil((100 - percent) / 100 * size / _PER_CLASS))
+    least = math.ceil(percent / 100 * _step(percent) ** (size_rank - 1) - 1e-9)
+    classes = max(1, math.ceil((100 - percent) / 100 * size / _PER_CLASS))
+    return classes if least > classes else 0
 
 
 def signatures(g: np.ndarray, first: np.ndarray, known: Order, percent: int):
@@ -397,7 +387,24 @@ def _verified(edges: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int,
             ok = 100 * both >= percent * union
             yield pa.RecordBatch.from_arrays([pa.array(a_id[ok]), pa.array(b_id[ok])], ["a", "b"])
 
-    return both.select("a", "b", "text", "text_b").mapInArrow(run, "a long, b long")
+    out = cut(both.select("a", "b", "text", "text_b").mapInArrow(run, "a long, b long"), "jaccard-links")
+    drop(texts)
+    return out
+
+
+def _last_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Rows for each common signature of classes of different components that may be similar enough by size and by
+    what they can share; x is the smaller one, and looks for y in the ranks of size that it may link with."""
+    rank = lambda n: F.floor(F.log(n) / F.lit(math.log(_RANK))).cast("int")
+    able = lambda p: F.floor((F.col(f"{p}low") + F.col(f"{p}high")) * (100 + percent) / percent)
+    side = lambda p: [F.col(c).alias(p + c) for c in [*_OF, "k"]]
+    most = F.least(able("x") - F.col("xn"), F.floor(F.col("xn") * 100 / percent))
+    x = live.select("sig", "often", *side("x")).where(most >= F.col("xn"))
+    x = x.withColumn("rank", F.explode(F.sequence(rank(F.col("xn")), rank(most))))
+    y = live.select("sig", *side("y")).withColumn("rank", rank(F.col("yn")))
+    less = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xc") < F.col("yc")))
+    fit = F.col("xn") + F.col("yn") <= F.least(able("x"), able("y"))
+    return x.join(y, ["sig", "rank"]).where((F.col("xk") != F.col("yk")) & less & fit).drop("rank")
 
 
 def link(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text", most_frequent: int = MOST_FREQUENT, least_frequent: int = LEAST_FREQUENT) -> DataFrame:
@@ -408,14 +415,18 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, tex
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(16, total // (6 * _GROUP))
     for seed in range(8):
-        told = cut(_sets(docs, shingle, seed, text, buckets), "jaccard-sets")
-        sets = told.where("packed is null").select("doc_id", "n", "c", "hi")
+        told = cut(_sets(docs, shingle, seed, text, buckets), "jaccard-told")
+        sets = cut(told.where("packed is null").select("doc_id", "n", "c", "hi"), "jaccard-sets")
         able = sets.where("n > 0 and doc_id is not null")
         reps = cut(able.groupBy("c", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
         seen = reps.agg(F.count("*").alias("n"), F.countDistinct("c").alias("k")).first()
-        if seen.n == seen.k:  # else two classes have one 64-bit hash: hash anew
+        if seen.n == seen.k:
             break
+        drop(told, sets, reps)  # two classes have one 64-bit hash: hash anew
+    else:
+        raise RuntimeError("sets that differ had equal hashes eight times")
     known = _order(told.where("packed is not null").select("bucket", "packed"), buckets, most_frequent, least_frequent)
+    drop(told)
     signed = _signed(docs.where("doc_id is not null"), shingle, seed, percent, known, text)
     # A rare shingle's group is bounded by what made it rare, so a window may hold it. Groups of frequent
     # ones have no bound: their leaders come from a combined aggregate and meet them in a join.
@@ -431,6 +442,8 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, tex
         heads = many.groupBy("sig").agg(F.min(lead).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig", "lead")
         live = live.unionByName(many.join(heads, "sig").select(*cols, F.lit(True).alias("often")))
     live = cut(live, "jaccard-live")
+    if len(known.frequent):
+        drop(many)
     side = lambda p, *of: [F.col(c).alias(p + c.rpartition(".")[2]) for c in of]
     near = _near(percent)
     leads = [f"lead.{c}" for c in of]
@@ -439,23 +452,26 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, tex
     links = _verified(done, docs, reps, shingle, seed, percent, text)
     shared = able.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.collect_set("c").alias("all")).where("a <> b").select("a", F.explode("all").alias("b"))
     label = cut(components(links.unionByName(shared)), "jaccard-label")
-    live = live.drop("lead")
+    drop(links)
     for turn in range(1, STARS + 1):
         # What shares a signature but no component yet.
-        placed = cut(live.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component"), "jaccard-placed")
+        placed = cut(live.drop("lead", "k").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component"), "jaccard-placed")
+        drop(live)
         mixed = placed.groupBy("sig").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("x"), *of, "k")).alias("lead"))
         mixed = cut(mixed.where("k0 <> k1").select("sig", "lead"), "jaccard-mixed")
         live = cut(placed.join(mixed, "sig"), "jaccard-left")
+        drop(placed, mixed)
         if turn < STARS:  # another star in each group, around another class
             pairs = live.where("k <> lead.k").select("sig", "often", *side("x", *of), *side("y", *leads))
         else:  # then all that is left
-            x, y = live.select("sig", "often", *side("x", *of, "k")), live.select("sig", *side("y", *of, "k"))
-            pairs = x.join(y, "sig").where("xk < yk")
+            pairs = _last_pairs(live.drop("lead"), percent)
         fresh = cut(_likely(pairs.where(near), percent).join(done, ["a", "b"], "left_anti"), "jaccard-fresh")
         links = _verified(fresh, docs, reps, shingle, seed, percent, text)
+        before = label
         label = cut(components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links)), "jaccard-label")
+        drop(links, before)
         done = done.unionByName(fresh)
-        live = live.drop("lead", "k")
+    drop(live)
     whole = label.join(reps.select(F.col("c").alias("node"), "rep"), "node")
     small = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     by = cut(label.join(small, "component").select(F.col("node").alias("c"), "component_id"), "jaccard-components")
