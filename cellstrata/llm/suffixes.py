@@ -13,13 +13,15 @@ snippets of one anchor are sorted together, window by window.
 
 *Volume and skew.* Documents equal as a whole are settled first. Anchors travel as packed sorted
 arrays, one entry per task's chunk and anchor however many documents have it. Equal snippets of a
-chunk are settled there, and only the one of smallest id goes on. An anchor of more than ``hot``
-documents has its windows dealt by their own content, so no group holds what all those documents say.
-Texts are written once, bucketed by row, and later passes join them where they lie.
+chunk are settled there, and only the one of smallest id goes on. What is still found over
+``often`` times is settled by an aggregate that combines before its shuffle. An anchor of more than
+``hot`` documents has its windows dealt by their own content, so no group holds what all those
+documents say. Texts are written once, bucketed by row, and later passes join them where they lie.
 
 Defined results: null texts are empty; rows without an id match nothing and lose nothing; rows that
 share an id don't match each other; texts shorter than ``length`` lose nothing; overlapping matches
-count, and matches are judged on the input.
+count, and matches are judged on the input; a very long text is a piece of its own; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from cellstrata.llm import _text as X
 from cellstrata.runtime import at_exit, cut, drop, scratch_dir, ship
 
-LENGTH, GRAM, HOT = 50, 24, 20_000
+LENGTH, GRAM, HOT, OFTEN = 50, 24, 20_000, 1000
 _CHUNK = 500_000  # anchors of a chunk
 _GROUP = 500_000  # anchors of a reduce group
 _SNIPPETS = 50_000  # snippets of a reduce group
@@ -262,29 +264,38 @@ def _share(buckets: int, hot: int):
 _SNIPPET = "bucket int, x long, doc_id long, kid long, a int, off int, bytes binary"
 
 
-def _cut_snippets(length: int, gram: int, buckets: int, groups: int, hot_low: np.ndarray):
+def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The names in a column of lists, and each one's row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), size), column.flatten().to_numpy(zero_copy_only=False).view(X.U64)
+
+
+def _among(known: tuple[np.ndarray, np.ndarray], row: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether each (row, name) is among the known ones."""
+    tag = lambda o, v: X.mix(v ^ X.mix(o.astype(X.U64) + X.U64(1)))
+    held = np.sort(tag(*known))
+    if not len(held):
+        return np.zeros(len(name), dtype=bool)
+    ask = tag(row, name)
+    return held[np.minimum(np.searchsorted(held, ask), len(held) - 1)] == ask
+
+
+def _cut_snippets(length: int, gram: int, buckets: int, groups: int):
     """Snippets around the shared anchors of each row; what equal ones of the chunk settle comes as spans (kid, a, e)."""
     names = ["bucket", "x", "doc_id", "kid", "a", "off", "bytes", "e"]
 
     def run(batches):
         for b in X.pieces(batches):
-            kid, doc_id, text, xs = (b.column(i) for i in range(4))
+            kid, doc_id, text = (b.column(i) for i in range(3))
             buf, offs = X.flat(text)
             start, count, place, x, doc = anchors(buf, offs, length, gram)
-            want = xs.combine_chunks() if isinstance(xs, pa.ChunkedArray) else xs
             name = X.bucket_of(x, buckets).astype(X.U64) << X.U64(32) | (x & X.U64(0xFFFFFFFF))
-            listed = want.flatten().to_numpy(zero_copy_only=False).view(X.U64)
-            owner = np.repeat(np.arange(b.num_rows), want.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            tag = lambda o, v: X.mix(v ^ X.mix(o.astype(X.U64) + X.U64(1)))
-            known = np.sort(tag(owner, listed))
-            if not len(known):
-                continue
-            ask = tag(doc, name)
-            ok = known[np.minimum(np.searchsorted(known, ask), len(known) - 1)] == ask
+            ok = _among(_listed(b.column(3)), doc, name)
             start, count, place, x, doc, name = start[ok], count[ok], place[ok], x[ok], doc[ok], name[ok]
             off = place - start
-            if len(hot_low):  # the windows of hot anchors go by their own content
-                often = hot_low[np.minimum(np.searchsorted(hot_low, name), len(hot_low) - 1)] == name
+            often = _among(_listed(b.column(4)), doc, name)
+            if often.any():  # the windows of hot anchors go by their own content
                 n = count[often]
                 s = np.repeat(start[often], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 own = X.mix(X.hash_spans(buf, s, s + length) ^ X.U64(0x243F6A8885A308D3))
@@ -421,7 +432,22 @@ def _finish(length: int):
     return run
 
 
-def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, text: str = "text", with_kept: bool = True) -> DataFrame:
+def _settle(snippets: DataFrame, often: int) -> tuple[DataFrame, DataFrame]:
+    """Of contents found over ``often`` times only the rows of the smallest id go on; the others' spans are settled."""
+    content = ["bucket", "x", "off", "bytes"]
+    keyed = snippets.withColumn("h", F.xxhash64(*content))
+    many = cut(keyed.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") > often).select("h"), "suffix-often")
+    if many.isEmpty():
+        return snippets.select("kid", "a", F.lit(0).alias("e")).limit(0), snippets
+    held = keyed.join(many, "h", "left_semi").drop("h")
+    first = cut(held.groupBy(*content).agg(F.min("doc_id").alias("first")), "suffix-first")
+    both = held.join(first, content)
+    end = (F.col("a") + F.octet_length("bytes")).cast("int").alias("e")
+    going = keyed.join(many, "h", "left_anti").drop("h").unionByName(both.where("doc_id = first").select(*snippets.columns))
+    return both.where("doc_id > first").select("kid", "a", end), going
+
+
+def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, often: int = OFTEN, text: str = "text", with_kept: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept, kept_sha256) of every row; ``spans`` holds start, end, start, end, ..."""
     spark = ship(docs.sparkSession)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -433,6 +459,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
     at_exit(spark, path)
     drop()
     table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files stay: the plan has them and their buckets
     able = table.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     seen = cut(able.select("kid", "doc_id", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("n")), "suffix-texts")
     total = seen.agg(F.sum("n")).first()[0] or 0
@@ -444,23 +471,23 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
     found = cut(live.mapInArrow(_find_anchors(length, gram, buckets), "bucket int, packed binary, kid long, x long"), "suffix-anchors")
     share = found.where("packed is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_share(buckets, hot), "bucket int, kid long, low long")
     share = cut(share, "suffix-shared")
-    hot_rows = share.where("kid is null").select("bucket", "low")
-    # total anchors / hot, at most
-    hot_names = np.sort(np.array([r.bucket << 32 | r.low for r in hot_rows.toLocalIterator()], dtype=X.U64))
-    named = share.where("kid is not null").select("kid", (F.col("bucket").cast("long") * (1 << 32) + F.col("low")).alias("name"))
-    local = found.where("packed is null").select("kid", F.col("x"))
-    high = F.shiftrightunsigned("x", 32)  # the bucket of an anchor, as _bucket has it
-    local = local.select("kid", (F.shiftrightunsigned(high * buckets, 32) * (1 << 32) + F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))).alias("name"))
-    lists = named.unionByName(local).groupBy("kid").agg(F.collect_set("name").alias("names"), F.count("*").alias("times"))
+    name_of = F.col("bucket").cast("long") * (1 << 32) + F.col("low")
+    hot_names = cut(share.where("kid is null").select(name_of.alias("name"), F.lit(True).alias("hot")), "suffix-hot")
+    named = share.where("kid is not null").select("kid", name_of.alias("name"))
+    high = F.shiftrightunsigned("x", 32)  # the bucket of an anchor, as bucket_of has it
+    local = found.where("packed is null").select("kid", (F.shiftrightunsigned(high * buckets, 32) * (1 << 32) + F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))).alias("name"))
+    flagged = named.unionByName(local).join(hot_names, "name", "left")
+    lists = flagged.groupBy("kid").agg(F.collect_set("name").alias("names"), F.collect_set(F.when(F.col("hot"), F.col("name"))).alias("often"), F.count("*").alias("times"))
     lists = cut(lists, "suffix-lists")
-    drop(found, share)
+    drop(found, share, hot_names)
     occurrences = lists.agg(F.sum("times")).first()[0] or 0
     groups = max(parts, int(occurrences) // _SNIPPETS)
-    cutting = able.join(lists, "kid").select("kid", "doc_id", "text", "names")
-    snippets = cut(cutting.mapInArrow(_cut_snippets(length, gram, buckets, groups, hot_names), f"{_SNIPPET}, e int"), "suffix-snippets")
+    cutting = able.join(lists, "kid").select("kid", "doc_id", "text", "names", "often")
+    snippets = cut(cutting.mapInArrow(_cut_snippets(length, gram, buckets, groups), f"{_SNIPPET}, e int"), "suffix-snippets")
     drop(lists)
-    sorted_ = snippets.where("bytes is not null").drop("e").groupBy("bucket").applyInArrow(_sort_snippets(length), "kid long, a int, e int")
-    spans = sorted_.unionByName(snippets.where("bytes is null").select("kid", "a", "e"))
+    settled, going = _settle(snippets.where("bytes is not null").drop("e"), often)
+    sorted_ = going.groupBy("bucket").applyInArrow(_sort_snippets(length), "kid long, a int, e int")
+    spans = sorted_.unionByName(settled).unionByName(snippets.where("bytes is null").select("kid", "a", "e"))
     spans = spans.groupBy("kid").agg(F.collect_list(F.struct("a", "e")).alias("s"))
     marks = spans.join(copies.withColumn("copy", F.lit(True)), "kid", "full")
     marks = marks.select("kid", F.coalesce("copy", F.lit(False)).alias("copy"), F.col("s.a").alias("a"), F.col("s.e").alias("e"))

@@ -97,6 +97,20 @@ def test_jaccard_of_half(spark, make_docs):
     assert got == brute_components(list(enumerate(texts)), 50)
 
 
+def test_boilerplate_does_not_meet(spark, make_docs):
+    """Documents that share 24 of 30 shingles, too few to link, and plain copies of the 24, which each may link with."""
+    say = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    common = " ".join(f"c{j}" for j in range(28))  # 24 shingles
+    texts = [f"{common} {say(i, 6)}" for i in range(60)] + [f"{common} {say(100 + i, 7)}" for i in range(30)] + [common, f"{common} end"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(make_docs(texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+    live = [("s", i, 30, i, 24, 0) for i in range(60)] + [("s", 100, 24, 100, 24, 0), ("s", 101, 25, 101, 24, 0)]
+    cols = ", ".join(["sig string", "c long", "n int", "k long", "low int", "high int"])
+    rest = {c: F.lit(0) for c in jaccard._OF if c not in ("c", "n", "low", "high")} | {"often": F.lit(True)}
+    met = jaccard._last_pairs(spark.createDataFrame(live, cols).withColumns(rest), 80).select("xc", "yc").collect()
+    assert sorted((r.xc, r.yc) for r in met) == sorted([(100, i) for i in range(60)] + [(100, 101)])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(100)] + [(5000, 5000 + i) for i in range(1, 80)] + [(7, 7)]
@@ -120,8 +134,8 @@ def test_components(spark):
 # --- suffixes ----------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot,chunk", [(20_000, None), (1, None), (2, 50)])
-def test_suffix_dedup_equals_brute_force(spark, make_docs, monkeypatch, hot, chunk):
+@pytest.mark.parametrize("hot,often,chunk", [(20_000, 1000, None), (1, 1, None), (2, 3, 50)])
+def test_suffix_dedup_equals_brute_force(spark, make_docs, monkeypatch, hot, often, chunk):
     if chunk:
         for name in ("_CHUNK", "_GROUP", "_SNIPPETS"):
             monkeypatch.setattr(suffixes, name, chunk)
@@ -134,7 +148,7 @@ def test_suffix_dedup_equals_brute_force(spark, make_docs, monkeypatch, hot, chu
     rng.shuffle(order)
     rows = [(order[i], t) for i, t in enumerate(texts)]
     docs = make_docs(texts, ids=order)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans) // 2, bytes(r.kept), r.kept_sha256) for r in suffixes.dedup(docs, hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans) // 2, bytes(r.kept), r.kept_sha256) for r in suffixes.dedup(docs, hot=hot, often=often).collect()}
     expected = {i: (n, gone, spans, kept, sha(kept)) for i, n, gone, spans, kept in brute_suffixes(rows)}
     assert got == expected and sum(v[1] for v in got.values()) > 1000
 
@@ -146,6 +160,7 @@ def test_suffix_dedup_of_odd_rows(spark, make_docs):
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans) // 2) for r in suffixes.dedup(docs, with_kept=False).collect()), key=str)
     assert got == sorted([(i, n, gone, spans) for i, n, gone, spans, _ in brute_suffixes(rows)], key=str)
     assert suffixes.dedup(docs.limit(0)).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
 
 
 def test_suffix_sort():
