@@ -128,7 +128,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-SQL_OP8 = f"with {lines.sql()} select doc_id, n_lines, n_dropped, sha256(text) kept_sha256 from kept"
+SQL_OP8 = f"with recursive {lines.sql()} select doc_id, n_lines, n_dropped, sha256(text) kept_sha256 from kept"
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_stages(spark, folder):
         if name == "toxicity":
             assert kept == {i for i, t in texts.items() if not t or "vile" not in t}
         elif name == "line_dedup":
-            want = _sql(before, f"with {lines.sql()} select doc_id, text, n_dropped from kept")
+            want = _sql(before, f"with recursive {lines.sql()} select doc_id, text, n_dropped from kept")
             want = {r.doc_id: r.text for r in want.itertuples() if r.n_dropped == 0 or r.text.strip()}
             assert {i: t for i, t in zip(after.doc_id, after.text, strict=True) if t is not None} == {i: t for i, t in want.items() if texts[i] is not None}
             assert (after.n_chars.dropna() == after.text.dropna().str.len()).all()

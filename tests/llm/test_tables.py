@@ -233,7 +233,7 @@ def test_lines_equal_the_sql(spark, make_docs):
     documents = docs.select("doc_id", "text").toPandas()  # noqa: F841
     con = duckdb.connect()
     con.register("documents", documents)
-    expected = con.sql(f"with {lines.sql()} select doc_id, n_lines, n_dropped, text from kept").fetchall()
+    expected = con.sql(f"with recursive {lines.sql()} select doc_id, n_lines, n_dropped, text from kept").fetchall()
     assert got == sorted(expected) and sum(r[2] for r in got) > 20
 
 
@@ -269,10 +269,12 @@ def test_every_template_of_a_leaf_is_found(spark, make_docs, batch):
         return " ".join(["the", "same", rng.choice(["lead", "start"]), *words])
 
     texts = ["\n".join(line() for _ in range(rng.randint(0, 3))) for _ in range(60)]
-    got = cells_of(lines.drop_recurring(make_docs(texts), reseed=True, batch=batch).select("row.doc_id", "text"), "doc_id", "text")
+    got = cells_of(lines.drop_recurring(make_docs(texts), batch=batch).select("row.doc_id", "text"), "doc_id", "text")
     assert got == brute_templates(list(enumerate(texts)), lines.MIN_DOCS)
-    once = cells_of(lines.drop_recurring(make_docs(texts)).select("row.doc_id", "text"), "doc_id", "text")
-    assert sum(len(t) for _, t in got) < sum(len(t) for _, t in once)
+    documents = make_docs(texts).select("doc_id", "text").toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert got == sorted(con.sql(f"with recursive {lines.sql()} select doc_id, text from kept").fetchall())
 
 
 def test_the_line_stage_drops_a_leafs_second_template(spark, make_docs):
@@ -290,6 +292,22 @@ def test_lines_of_rows_without_or_with_equal_ids(spark, make_docs):
     assert lines.drop_recurring(docs.limit(0)).count() == 0
 
 
+def test_lines_of_many_rows_without_an_id(spark, make_docs):
+    """Each loses what recurs in its own text; what they lose is held by text, never in one list for all."""
+    own = "this line is in all of them"
+    texts = [f"{own}\nand words of number {c} alone here {c}{c}" for c in "abcdefghij"]
+    docs = make_docs(texts, ids=[1, 2, 3, *[None] * 7])
+    kept = Counter((r.doc_id, r.text) for r in lines.drop_recurring(docs, similar=1).select("row.doc_id", "text").collect())
+    assert kept == Counter([(1, texts[0]), *[(i, texts[k].split("\n")[1]) for k, i in enumerate([2, 3, *[None] * 7], 1)]])
+
+
+def test_lines_whatever_the_screen(spark, make_docs, monkeypatch):
+    texts = [f"one two three {a} {b}\nx{a} says that {b} and more so" for a in "abcd" for b in "efgh"] + ["z" * 50_000 + " a b c\n" + "p q r s\n" * 3000, None]
+    expected = cells_of(lines.drop_recurring(make_docs(texts)).select("row.doc_id", "text"), "doc_id", "text")
+    monkeypatch.setattr(lines._screened, "__defaults__", (64,))
+    assert cells_of(lines.drop_recurring(make_docs(texts)).select("row.doc_id", "text"), "doc_id", "text") == expected
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
