@@ -12,10 +12,11 @@ precision.
 upper estimate of the distance of its k-th neighbour, and the slot width, 1.5 times the median r. The
 slots per table grow with the logarithm of the row count. Every row is indexed.
 
-*Tables meet in a shuffle.* Rows are entries of (table, group of buckets), visits are probes of it,
-made where the queries lie; probes of buckets without a row go before any vector moves. A task
-holds one group's rows, about ``group`` of them, and streams the probes past them: only rows of a
-visited bucket are compared. A group of more rows is split, and its probes go to every part.
+*Tables meet in a shuffle.* Rows are entries of (table, group of buckets), and a group is what shares the
+first slots, so that the buckets a query visits lie in few groups: it is sent to each group once, with
+the buckets it visits there. A task holds one group's rows and streams the queries past them; only rows
+of a visited bucket are compared. A group of over four times ``group`` rows is split, and its queries go
+to every part.
 
 *Copies.* Of rows with one vector only the k + 1 smallest ids can be among a query's k best, and k
 times each, so others leave the index first. Queries with one vector are searched once.
@@ -45,7 +46,7 @@ from pyspark.sql import types as T
 from cellstrata.llm._text import U64, mix
 from cellstrata.runtime import cut, drop, ship
 
-_SLICE, _PAIRS, _NEAR = 1024, 50_000, 4096
+_SLICE, _PAIRS, _NEAR, _HELD = 1024, 50_000, 4096, 1_000_000
 _BLOCK = 16_384  # rows of a block of the exact way
 
 
@@ -78,7 +79,7 @@ class Tables:
     width: float
     hashes: int
     tables: int
-    groups: int
+    leading: int
     seed: int
     near: np.ndarray
     nth: int
@@ -92,14 +93,15 @@ class Tables:
         """In slot widths, by row, table and hash."""
         return ((x @ self.a + self.b) / self.width).reshape(len(x), self.tables, self.hashes)
 
-    def keys(self, slots: np.ndarray, table: int) -> np.ndarray:
+    def keys(self, slots: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the leading slots, which name the group, and of all, which name the bucket."""
         h = np.full(len(slots), table + 1, dtype=U64)
+        group = h
         for j in range(self.hashes):
             h = mix(h * U64(0x9E3779B97F4A7C15) + np.ascontiguousarray(slots[:, j]).view(U64))
-        return h
-
-    def group_of(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys ^ U64(0x2545F4914F6CDD1D)) % U64(self.groups)).astype(np.int32)
+            if j + 1 == self.leading:
+                group = h
+        return group, h
 
     def reach(self, queries: np.ndarray) -> np.ndarray:
         """Each query's distance to the nth of the sample but itself: its k-th neighbour is hardly farther."""
@@ -156,41 +158,42 @@ def _fit(rows: DataFrame, k: int, tables: int, sample: int, group: int, seed: in
         # one more, as a query may be in the sample itself; one that is not looks a row farther, which is safe
         nth = 1 + (k if total <= sample else math.ceil(k * len(held) / sum(sizes.values())) + 1)
         hashes = min(24, max(4, round(0.65 * math.log2(max(total, 2)))))
-        rough = Tables(dim, 1.0, 1, 1, 1, seed, near, nth).reach(near[:256])
+        rough = Tables(dim, 1.0, 1, 1, 0, seed, near, nth).reach(near[:256])
         width = 1.5 * float(np.median(rough[rough > 0])) if (rough > 0).any() else 1.0
-        out[dim] = Tables(dim, width, hashes, tables, max(1, math.ceil(total / group)), seed, near, nth)
+        leading = round(hashes * math.log2(max(total / group, 1)) / math.log2(max(total, 2)))
+        out[dim] = Tables(dim, width, hashes, tables, leading, seed, near, nth)
     return out
 
 
 _PLACE = ["d", "t", "g"]
 
 
-def _entries(held, vectors: bool):
-    """(d, t, g, key) of rows (no, vec_id, embedding) in every table, with the rows if asked for."""
+def _entries(held, whole: bool):
+    """(d, t, g) of rows (no, vec_id, embedding) in every table; ``whole``: with the bucket and the row."""
 
     def run(batches):
         for b in batches:
             for dim, at, column in _by_length(b.column(2)):
                 own = held.value.get(dim)
                 for lo in range(0, len(at) if own else 0, _SLICE):
-                    part = column.slice(lo, _SLICE)
+                    part, rows = column.slice(lo, _SLICE), pa.array(at[lo : lo + _SLICE])
                     slots = np.floor(own.places(_matrix(part, dim))).astype(np.int64)
                     for t in range(own.tables):
-                        key, n = own.keys(slots[:, t], t), len(part)
-                        out = [pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, t), pa.int32()), pa.array(own.group_of(key), pa.int32()), pa.array(key.view(np.int64))]
-                        if vectors:
-                            rows = pa.array(at[lo : lo + _SLICE])
-                            out += [b.column(0).take(rows), b.column(1).take(rows), part]
-                        yield pa.RecordBatch.from_arrays(out, [*_PLACE, "key", *(["no", "vec_id", "embedding"] if vectors else [])])
+                        g, key = own.keys(slots[:, t], t)
+                        out, names = [*[pa.array(np.full(len(part), x), pa.int32()) for x in (dim, t)], pa.array(g.view(np.int64))], _PLACE
+                        if whole:
+                            out += [pa.array(key.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), part]
+                            names = [*_PLACE, "key", "no", "vec_id", "embedding"]
+                        yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
 def _probes(held, need: float, most: int):
-    """(d, t, g, key, cls) of the buckets that queries (cls, embedding) visit; none of those that go the exact way."""
+    """(d, t, g, query, keys, embedding): the buckets that queries (cls, embedding) visit, by group; none of those that
+    go the exact way."""
 
     def run(batches):
-        names = [*_PLACE, "key", "cls"]
         for b in batches:
             for dim, at, column in _by_length(b.column(1)):
                 own = held.value.get(dim)
@@ -209,9 +212,15 @@ def _probes(held, need: float, most: int):
                         found.append(own.keys(slot[q, t] + got, t))
                     if len(found) < own.tables:
                         continue
-                    key, n = np.concatenate(found), sum(map(len, found))
-                    t = np.repeat(np.arange(own.tables), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim), pa.int32()), pa.array(t, pa.int32()), pa.array(own.group_of(key), pa.int32()), pa.array(key.view(np.int64)), pa.array(np.full(n, cls[q]), pa.int64())], names)
+                    for t, (g, key) in enumerate(found):
+                        order = np.argsort(g, kind="stable")
+                        lead = np.flatnonzero(np.concatenate([[True], np.diff(g[order]) != 0]))
+                        n = len(lead)
+                        keys = pa.ListArray.from_arrays(pa.array(np.append(lead, len(g)), pa.int32()), pa.array(key[order].view(np.int64)))
+                        yield pa.RecordBatch.from_arrays(
+                            [*[pa.array(np.full(n, v), pa.int32()) for v in (dim, t)], pa.array(g[order][lead].view(np.int64)), pa.array(np.full(n, cls[q]), pa.int64()), keys, column.take(pa.array(np.full(n, q)))],
+                            [*_PLACE, "query", "keys", "embedding"],
+                        )
 
     return run
 
@@ -229,9 +238,51 @@ def _meet(entries: DataFrame, probes: DataFrame, most: int) -> DataFrame:
     return both.select(*_MEETING).mapInArrow(_search(most), _FOUND)
 
 
+class _Best:
+    """What a task found: k rows a query, whatever groups they came from; told when over ``_HELD`` are left."""
+
+    def __init__(self, k: int):
+        self.k, self.size, self.found, self.effort = k, 0, [], []
+
+    def add(self, query, no, vec_id, score, asked, compared) -> None:
+        self.found.append((query, no, vec_id, score))
+        self.effort.append((asked, compared))
+        self.size += len(query)
+
+    def combine(self) -> None:
+        query, no, vec_id, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        by = np.lexsort((no, vec_id, score, query))
+        query, no, vec_id, score = query[by], no[by], vec_id[by], score[by]
+        new = np.ones(len(no), dtype=bool)  # a row found in several tables has the same score each time
+        new[1:] = (no[1:] != no[:-1]) | (query[1:] != query[:-1])
+        query, no, vec_id, score = query[new], no[new], vec_id[new], score[new]
+        stay = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.found = [(query[stay], no[stay], vec_id[stay], score[stay])]
+        asked, compared = (np.concatenate(x) for x in zip(*self.effort, strict=True))
+        once, back = np.unique(asked, return_inverse=True)
+        self.effort = [(once, np.bincount(back, compared, len(once)).astype(np.int64))]
+        self.size = int(stay.sum())
+
+    def tell(self):
+        if not self.found:
+            return
+        self.combine()
+        query, no, vec_id, score = self.found[0]
+        asked, compared = self.effort[0]
+        none, m, names = pa.nulls, len(asked), ["query", "no", "vec_id", "score", "compared"]
+        for at in range(0, len(query), 1 << 16):
+            p = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[p]) for x in (query, no, vec_id, score)], none(len(query[p]), pa.int64())], names)
+        for at in range(0, m, 1 << 16):
+            p = slice(at, at + (1 << 16))
+            n = len(asked[p])
+            yield pa.RecordBatch.from_arrays([pa.array(asked[p]), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), pa.array(compared[p])], names)
+        self.found, self.effort, self.size = [], [], 0
+
+
 def _search(k: int):
     def run(batches):
-        group, parts, rows = None, [], None
+        group, parts, rows, best = None, [], None, _Best(k)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -245,7 +296,12 @@ def _search(k: int):
                     parts.append(part)
                 elif parts:
                     rows = rows or _Group(parts, own[0])
-                    yield from rows.nearest(part, k)
+                    rows.nearest(part, k, best)
+                    if best.size > _HELD:
+                        best.combine()
+                        if best.size > _HELD // 2:
+                            yield from best.tell()
+        yield from best.tell()
 
     return run
 
@@ -261,8 +317,8 @@ class _Group:
         self.no, self.id = np.asarray(get(5))[order], np.asarray(get(6))[order]
         self.x = np.concatenate([_matrix(p.column(9), dim) for p in parts])[order]
 
-    def nearest(self, part: pa.RecordBatch, k: int):
-        """k best of the rows whose bucket a query visits; queries without a list of buckets visit all."""
+    def nearest(self, part: pa.RecordBatch, k: int, best: _Best) -> None:
+        """Adds the k best of the rows whose bucket a query visits; queries without a list of buckets visit all."""
         x, name = _matrix(part.column(9), self.dim), np.asarray(part.column(5))
         own = part.column(6)
         skip, has_own = np.asarray(own.fill_null(0)), np.asarray(own.is_valid())
@@ -293,9 +349,7 @@ class _Group:
             q, row, d = q[by], row[by], d[by]
             nth = np.arange(len(q)) - np.searchsorted(q, q)
             q, row, d = q[nth < k], row[nth < k], d[nth < k]
-            none, m = pa.nulls, len(asked)
-            yield pa.RecordBatch.from_arrays([pa.array(name[q]), pa.array(self.no[row]), pa.array(self.id[row]), pa.array(d), none(len(q), pa.int64())], ["query", "no", "vec_id", "score", "compared"])
-            yield pa.RecordBatch.from_arrays([pa.array(name[asked]), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), pa.array(compared, pa.int64())], ["query", "no", "vec_id", "score", "compared"])
+            best.add(name[q], self.no[row], self.id[row], d, name[asked], compared)
 
 
 def _ranked(found: DataFrame, of: str, k: int) -> DataFrame:
@@ -330,34 +384,33 @@ def nearest(
 
     fitted = _fit(rows, k, tables, sample, group, seed)
     held = spark.sparkContext.broadcast(fitted)
-    buckets = cut(rows.mapInArrow(_entries(held, False), "d int, t int, g int, key long").groupBy(*_PLACE, "key").agg(F.count("*").alias("n")), "neighbours-buckets")
-    split = buckets.groupBy(*_PLACE).agg(F.sum("n").alias("n")).where(F.col("n") > 4 * group)
-    split = cut(split.select(*_PLACE, F.ceil(F.col("n") / group).cast("int").alias("parts")), "neighbours-split")
-    parts = F.coalesce("parts", F.lit(1))
-    entries = rows.mapInArrow(_entries(held, True), T.StructType([T.StructField(c, T.IntegerType()) for c in _PLACE] + [T.StructField("key", T.LongType()), *rows.schema]))
-    entries = entries.join(split, _PLACE, "left").withColumn("s", F.pmod(F.xxhash64("no"), parts).cast("int"))
+    place = [T.StructField(c, T.IntegerType()) for c in "dt"] + [T.StructField("g", T.LongType())]
+    entries = rows.mapInArrow(_entries(held, True), T.StructType([*place, T.StructField("key", T.LongType()), *rows.schema]))
+    sizes = rows.mapInArrow(_entries(held, False), T.StructType(place)).groupBy(*_PLACE).agg(F.count("*").alias("n"))
+    parts = F.when(F.col("n") > 4 * group, F.ceil(F.col("n") / group)).otherwise(1).cast("int")
+    groups = cut(sizes.select(*_PLACE, parts.alias("parts")), "neighbours-groups")
+    entries = entries.join(groups.where("parts > 1"), _PLACE, "left").withColumn("s", F.pmod(F.xxhash64("no"), F.coalesce("parts", F.lit(1))).cast("int"))
     need = 1 - (1 - target) ** (1 / tables)
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a query's visits take far longer than its bytes
-    probes = searched.repartition(tasks, "cls").mapInArrow(_probes(held, need, most_probes), "d int, t int, g int, key long, cls long")
-    probes = probes.join(buckets, [*_PLACE, "key"], "left_semi").groupBy(*_PLACE, "cls").agg(F.collect_list("key").alias("keys"))
-    probes = probes.join(searched, "cls").join(split, _PLACE, "left").withColumn("s", F.explode(F.sequence(F.lit(0), parts - 1)))
+    probes = searched.repartition(tasks, "cls").mapInArrow(_probes(held, need, most_probes), T.StructType([*place, T.StructField("query", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), rows.schema["embedding"]]))
+    probes = probes.join(groups, _PLACE).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # A class of queries leaves out no row: own ids go when the class is dealt to its queries, and 2k hold k of others.
-    found = cut(_meet(entries, probes.select(*_PLACE, "s", F.col("cls").alias("query"), F.lit(None).cast("long").alias("own"), "keys", "embedding"), 2 * k), "neighbours-found")
+    found = cut(_meet(entries, probes.select(*_PLACE, "s", "query", F.lit(None).cast("long").alias("own"), "keys", "embedding"), 2 * k), "neighbours-found")
     once = found.where("no is not null").groupBy("query", "no").agg(F.min("vec_id").alias("vec_id"), F.min("score").alias("score"))
     effort = found.where("no is null").groupBy("query").agg(F.sum("compared").alias("compared"))
     classes = _ranked(once, "query", 2 * k).select(F.col("query").alias("cls"), "vec_id", "score")
     own = classes.join(asked.select("cls", F.col("vec_id").alias("query_id")), "cls").where("vec_id <> query_id")
     own = _ranked(own, "query_id", k).join(effort.withColumnRenamed("query", "cls"), "cls", "left")
     out = cut(own.select("query_id", "rank", "vec_id", "score", "compared"), "neighbours-best")
-    drop(found, buckets)
+    drop(found, groups)
 
     full = out.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     left = cut(asked.join(full, "vec_id", "left_anti"), "neighbours-left")
     if left.isEmpty():
         return out
     blocks = max(1, math.ceil(rows.count() / _BLOCK))
-    every_row = rows.select(F.size("embedding").alias("d"), F.lit(-1).alias("t"), F.pmod(F.xxhash64("no"), F.lit(blocks)).cast("int").alias("g"), F.lit(0).alias("s"), "no", "vec_id", F.lit(None).cast("long").alias("key"), "embedding")
-    whole = left.select(F.size("embedding").alias("d"), F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.lit(0).alias("s"), F.col("vec_id").alias("query"), F.col("vec_id").alias("own"), F.lit(None).cast("array<long>").alias("keys"), "embedding")
+    every_row = rows.select(F.size("embedding").alias("d"), F.lit(-1).alias("t"), F.pmod(F.xxhash64("no"), F.lit(blocks)).alias("g"), F.lit(0).alias("s"), "no", "vec_id", F.lit(None).cast("long").alias("key"), "embedding")
+    whole = left.select(F.size("embedding").alias("d"), F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("g"), F.lit(0).alias("s"), F.col("vec_id").alias("query"), F.col("vec_id").alias("own"), F.lit(None).cast("array<long>").alias("keys"), "embedding")
     found = cut(_meet(every_row, whole, k), "neighbours-whole")
     exact = _ranked(found.where("no is not null"), "query", k).join(found.where("no is null").groupBy("query").agg(F.sum("compared").alias("all")), "query")
     exact = exact.select(F.col("query").alias("query_id"), "rank", "vec_id", "score", F.col("all").alias("compared"))
