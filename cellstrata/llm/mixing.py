@@ -2,18 +2,21 @@
 
 Documents fall into cells of (source, language, topic) with their word counts as weights. The
 cells' weights are raked in turn to the target marginals of source, language and topic, and cut
-back to what a cell holds, for a fixed number of rounds. A marginal's targets are its categories'
+back to what a cell holds, for a fixed number of rounds; with ``tolerance``, on until every marginal is
+that close to its target (as a share of it), or ``most_rounds`` are done. ``marginals`` tells what is
+reached, which shares that ask for more than a category holds never meet. A marginal's targets are its categories'
 words to the power ``temper`` (below 1: small ones gain), or the shares that ``targets`` gives for
 a marginal, as {"lang": {"en": 3, "fr": 1}}; either scaled to ``rate`` of all words. A document is sampled with its cell's probability, weight over words, by a hash of its id.
 
-A document's topic is its form: tabular, noisy (runs of symbols), long, short or prose.
+A document's topic is what ``topics`` says, a column over the documents; without it, its form: tabular,
+noisy (runs of symbols), long, short or prose.
 
 The cells are summed before any shuffle. Up to ``one_task`` of them are raked in one task, more
 in as many as their categories need.
 
 Defined results: a null source or language is the empty one; null and word-less texts have 0
 words, and a cell without words keeps its documents with probability ``rate``; rows that share
-an id are sampled alike; a null id is an id of its own; an empty table gives an empty one. Shares
+an id are sampled alike; a very long text is one row; a null topic is the empty one; a null id is an id of its own; an empty table gives an empty one. Shares
 are relative, over the categories that the cells have; one that is not named gets 0, and None is
 the empty one. A category can't give more than the words it holds: shares that ask for more are
 met at a lower ``rate`` only, and scarce ones may need more ``rounds``.
@@ -22,6 +25,7 @@ met at a lower ``rate`` only, and scarce ones may need more ``rounds``.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from cellstrata.runtime import cut
 
 RATE, TEMPER, ROUNDS, LONG, SHORT = 0.5, 0.7, 8, 1000, 100
+MOST_ROUNDS = 200
 _WORD = r"[^\x09-\x0D\x20]+"
 _SALT = "mix"
 _DIMS = ("source", "lang", "topic")
@@ -48,11 +53,13 @@ def topic(text: Column, n: Column) -> Column:
     )
 
 
-def _sorted_docs(docs: DataFrame, text: str) -> DataFrame:
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+def _placed(docs: DataFrame, text: str, topics: Column | None) -> DataFrame:
+    own = F.lit(None).cast("string") if topics is None else F.coalesce(topics.cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("told"))
     t = F.col(f"row.`{text}`")
-    out = docs.select(row).select("row", words(t).alias("n_words"))
-    return out.select("row", "n_words", F.coalesce(F.col("row.source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("row.lang").cast("string"), F.lit("")).alias("lang"), topic(t, F.col("n_words")).alias("topic"))
+    out = rows.select("row", "told", words(t).alias("n_words"))
+    named = lambda c: F.coalesce(F.col(f"row.{c}").cast("string"), F.lit("")).alias(c)
+    return out.select("row", "n_words", named("source"), named("lang"), F.coalesce("told", topic(t, F.col("n_words"))).alias("topic"))
 
 
 def _shares(targets: dict | None) -> dict[str, dict[str, float]]:
@@ -71,8 +78,13 @@ def _shares(targets: dict | None) -> dict[str, dict[str, float]]:
     return out
 
 
-def rake(cells: DataFrame, *, rate: float = RATE, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, one_task: int = 100_000) -> DataFrame:
-    """Cells (source, lang, topic, words) with ``weight``, raked to the tempered marginals or to ``targets``."""
+def _residual(df: DataFrame) -> float:
+    """The largest distance of a marginal from its target, as a share of the target."""
+    by = [df.groupBy(d).agg(F.max(f"t_{d}").alias("t"), F.sum("weight").alias("w")).where("t > 0").agg(F.max(F.abs(F.col("w") / F.col("t") - 1)).alias("x")) for d in _DIMS]
+    return max((r.x or 0.0) for r in reduce(DataFrame.unionByName, by).collect())
+
+
+def _raked(cells: DataFrame, rate: float, temper: float, rounds: int, targets: dict | None, tolerance: float | None, most_rounds: int, one_task: int) -> DataFrame:
     shares = _shares(targets)
     few = cells.count() <= one_task
     df = cells.coalesce(1) if few else cells
@@ -87,22 +99,57 @@ def rake(cells: DataFrame, *, rate: float = RATE, temper: float = TEMPER, rounds
         df = df.withColumn(f"t_{d}", wanted).withColumn(f"f_{d}", once)
     totals = df.agg(F.sum("words").alias("words"), *[F.sum(F.when(F.col(f"f_{d}"), F.col(f"t_{d}"))).alias(f"s_{d}") for d in _DIMS]).first()
     if not totals.words:
-        return cells.withColumn("weight", F.lit(0.0))
+        return cells.withColumns({c: F.lit(0.0) for c in ("weight", *(f"t_{d}" for d in _DIMS))})
     for d in shares:
         if not totals[f"s_{d}"]:
             raise ValueError(f"no words in any {d} that has a share")
     for d in _DIMS:
         df = df.withColumn(f"t_{d}", F.col(f"t_{d}") * F.lit(rate * totals.words / totals[f"s_{d}"]))
     df = df.drop(*[f"f_{d}" for d in _DIMS]).withColumn("weight", F.col("words") * F.lit(float(rate)))
-    for i in range(rounds):
-        for d in _DIMS:
-            total = F.sum("weight").over(Window.partitionBy(d))
-            df = df.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"t_{d}") / total).otherwise(F.lit(0.0)))
-        df = df.withColumn("weight", F.least("weight", F.col("words").cast("double")))
-        if not few or i == rounds // 2:
-            df = cut(df, "raked")
-            df = df.coalesce(1) if few else df
-    return df.select(*_DIMS, "words", "weight")
+    done = 0
+    while True:
+        for i in range(rounds):
+            for d in _DIMS:
+                total = F.sum("weight").over(Window.partitionBy(d))
+                df = df.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"t_{d}") / total).otherwise(F.lit(0.0)))
+            df = df.withColumn("weight", F.least("weight", F.col("words").cast("double")))
+            if not few or i == rounds // 2:
+                df = cut(df, "raked")
+                df = df.coalesce(1) if few else df
+        done += rounds
+        if tolerance is None or done >= most_rounds:
+            return df
+        df = cut(df, "raked")
+        if _residual(df) <= tolerance:
+            return df
+        df = df.coalesce(1) if few else df
+
+
+def rake(
+    cells: DataFrame,
+    *,
+    rate: float = RATE,
+    temper: float = TEMPER,
+    rounds: int = ROUNDS,
+    targets: dict[str, dict[str, float]] | None = None,
+    tolerance: float | None = None,
+    most_rounds: int = MOST_ROUNDS,
+    one_task: int = 100_000,
+) -> DataFrame:
+    """Cells (source, lang, topic, words) with ``weight``, raked to the tempered marginals or to ``targets``."""
+    return _raked(cells, rate, temper, rounds, targets, tolerance, most_rounds, one_task).select(*_DIMS, "words", "weight")
+
+
+def marginals(cells: DataFrame, *, rate: float = RATE, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, tolerance: float | None = None, most_rounds: int = MOST_ROUNDS, one_task: int = 100_000) -> DataFrame:
+    """(dimension, category, words, target, reached) of every marginal after raking."""
+    df = cut(_raked(cells, rate, temper, rounds, targets, tolerance, most_rounds, one_task), "raked")
+    each = [df.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("category")).agg(F.sum("words").alias("words"), F.max(f"t_{d}").alias("target"), F.sum("weight").alias("reached")) for d in _DIMS]
+    return reduce(DataFrame.unionByName, each)
+
+
+def cells_of(docs: DataFrame, *, text: str = "text", topics: Column | None = None) -> DataFrame:
+    """Cells (source, lang, topic, words) of the documents."""
+    return _placed(docs, text, topics).groupBy(*_DIMS).agg(F.sum("n_words").alias("words"))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -111,13 +158,12 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def sample(docs: DataFrame, *, text: str = "text", rate: float = RATE, **options) -> DataFrame:
+def sample(docs: DataFrame, *, text: str = "text", rate: float = RATE, topics: Column | None = None, **options) -> DataFrame:
     """``docs`` as a struct ``row`` with n_words, topic, probability and whether it is ``sampled``."""
-    placed = _sorted_docs(docs, text)
-    cells = cut(placed.groupBy(*_DIMS).agg(F.sum("n_words").alias("words")), "cells")
+    cells = cut(cells_of(docs, text=text, topics=topics), "cells")
     raked = cut(rake(cells, rate=rate, **options), "raked")
     chance = F.round(F.when(F.col("words") > 0, F.col("weight") / F.col("words")).otherwise(F.lit(float(rate))), 9)
-    joined = placed.join(raked.select(*_DIMS, chance.alias("probability")), list(_DIMS))
+    joined = _placed(docs, text, topics).join(raked.select(*_DIMS, chance.alias("probability")), list(_DIMS))
     return joined.select("row", "n_words", "topic", "probability", (uniform(F.col("row.doc_id")) < F.col("probability")).alias("sampled"))
 
 

@@ -361,6 +361,27 @@ def test_raking_meets_given_targets(spark):
             mixing.rake(cells, targets=wrong)
 
 
+def test_raking_goes_on_to_a_tolerance(spark):
+    """Targets far from the table's own mix, met to a tolerance; what can't be met is told."""
+    rng = random.Random(5)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", rng.choice([20, 900, 5000])) for i in range(4) for j in range(3) for k in range(3)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, words long")
+    targets = {"source": {"s0": 5, "s1": 3, "s2": 1, "s3": 1}, "lang": {"l0": 1, "l1": 6, "l2": 3}, "topic": {"t0": 1, "t1": 1, "t2": 1}}
+    told = mixing.marginals(cells, rate=0.05, targets=targets, rounds=2, tolerance=1e-3).collect()
+    assert len(told) == 10 and all(abs(r.reached / r.target - 1) <= 1e-3 for r in told)
+    assert {(r.dimension, r.category): round(r.target / (0.05 * sum(x[3] for x in rows)), 3) for r in told if r.dimension == "source"} == {("source", f"s{i}"): v for i, v in enumerate([0.5, 0.3, 0.1, 0.1])}
+    short = {r.category: r for r in mixing.marginals(cells, rate=0.9, targets={"lang": {"l0": 1}}, tolerance=1e-3, most_rounds=16).collect() if r.dimension == "lang"}
+    assert short["l0"].reached <= short["l0"].words < short["l0"].target and short["l1"].reached == 0
+
+
+def test_topics_of_a_column(spark, make_docs):
+    docs = make_docs(["one two three four five"] * 3000).withColumn("subject", F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.concat(F.lit("x"), F.col("doc_id") % 2)))
+    mixed = mixing.sample(docs, rate=0.3, topics=F.col("subject"), targets={"topic": {"x0": 1, "x1": 1}})
+    got = {r["topic"]: r["count"] for r in mixed.where("sampled").groupBy("topic").count().collect()}
+    assert set(got) == {"x0", "x1"} and all(abs(n - 450) < 90 for n in got.values())
+    assert {r["topic"] for r in mixed.select("topic").distinct().collect()} == {"", "x0", "x1"}
+
+
 def test_samples_have_the_mix_asked_for(spark, make_docs):
     docs = make_docs(["one two three four five"] * 6000).withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "fr").otherwise("en"))
     got = mixing.sample(docs, rate=0.4, targets={"lang": {"en": 1, "fr": 1}}).where("sampled").groupBy("row.lang").count().collect()
