@@ -19,6 +19,15 @@ log = logging.getLogger("cellstrata.storage")
 WINDOW = 4 << 20
 
 
+def log_requests() -> None:
+    """Has this process tell every read of storage on its standard error."""
+    if not log.handlers:
+        told = logging.StreamHandler()
+        told.setFormatter(logging.Formatter("%(name)s: %(message)s"))
+        log.addHandler(told)
+        log.setLevel(logging.DEBUG)
+
+
 def split_bucket(path: str) -> tuple[str, str] | None:
     """(bucket, object) of a gs:// path, or None for any other; a path without a bucket is none."""
     if not path.startswith("gs://"):

@@ -7,7 +7,8 @@ opens nothing but its blocks. Both decode whole blocks to Arrow arrays in Python
 
 Options: startKey, endKey (UTF-8) or startKeyHex, endKeyHex; row or rowHex for one row, which
 skips files by their row bloom filter; columns (comma-separated; others come back empty);
-verify (checksums, true); onError (fail or skip the file); splitBytes; pushdown (true takes
+verify (checksums, true); onError (fail or skip the file); splitBytes; verbose (true
+logs requests of storage on the workers' standard error); pushdown (true takes
 the bounds from filters on ``row``, for which :func:`enable_pushdown` sets the session up).
 """
 
@@ -51,6 +52,7 @@ class Bounds:
     verify: bool = True
     skip_errors: bool = False
     split_bytes: int = 32 << 20
+    verbose: bool = False
 
     @classmethod
     def of(cls, options: dict) -> Bounds:
@@ -58,7 +60,7 @@ class Bounds:
         key = lambda name: bytes.fromhex(o[name + "hex"]) if o.get(name + "hex") else o.get(name, "").encode()
         row = key("row") if "row" in o or "rowhex" in o else None
         columns = frozenset(c.strip() for c in o["columns"].split(",")) if o.get("columns") else None
-        return cls(key("startkey"), key("endkey"), row, columns, o.get("verify", "true") == "true", o.get("onerror", "fail") == "skip", int(o.get("splitbytes", 32 << 20)))
+        return cls(key("startkey"), key("endkey"), row, columns, o.get("verify", "true") == "true", o.get("onerror", "fail") == "skip", int(o.get("splitbytes", 32 << 20)), o.get("verbose") == "true")
 
 
 def _row(key: bytes) -> bytes:
@@ -87,6 +89,8 @@ class Plan:
 
 
 def plan(path: str, b: Bounds) -> Plan:
+    if b.verbose:
+        storage.log_requests()
     f = storage.RandomAccess(path)
     try:
         file = CellFile(f, b.verify)
@@ -105,6 +109,8 @@ def plan(path: str, b: Bounds) -> Plan:
 
 
 def read_blocks(path: str, order: int, first: int, offsets: list[int], layout: tuple[int, str, bool], b: Bounds) -> Iterator[pa.RecordBatch]:
+    if b.verbose:
+        storage.log_requests()
     want = lambda c: b.columns is None or c in b.columns
     f = storage.RandomAccess(path)
     held, size = [], 0
@@ -225,7 +231,7 @@ _VIEWS = {
 
 class _MetaReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.view = options["path"], options.get("view", "trailer")
+        self.path, self.view, self.verbose = options["path"], options.get("view", "trailer"), options.get("verbose") == "true"
         if self.view not in _VIEWS:
             raise FormatError(f"view {self.view}: one of {', '.join(_VIEWS)}")
 
@@ -233,6 +239,8 @@ class _MetaReader(DataSourceReader):
         return [Split(name, 0, 0, 0) for name in storage.list_files(self.path)]
 
     def read(self, partition):
+        if self.verbose:
+            storage.log_requests()
         f = storage.RandomAccess(partition.path)
         try:
             yield from _meta(partition.path, CellFile(f), self.view)

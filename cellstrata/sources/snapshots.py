@@ -85,7 +85,7 @@ def store_files(spark: SparkSession, folder: str, data: str, start: bytes = b"",
     return files.select(path.alias("path"), "file_order", "region", "start_key", "family_index")
 
 
-def scan_snapshot(spark: SparkSession, folder: str, data: str, *, start: bytes = b"", end: bytes = b"", max_versions: int = 1, raw: bool = False, on_error: str = "fail") -> DataFrame:
+def scan_snapshot(spark: SparkSession, folder: str, data: str, *, start: bytes = b"", end: bytes = b"", max_versions: int = 1, raw: bool = False, on_error: str = "fail", verbose: bool = False) -> DataFrame:
     """Visible cells of a snapshot, or with ``raw`` all of them; ``region``, ``start_key`` and ``family_index`` beside.
 
     A file's order in its family's manifest ranks it. Only rows in range are read, and
@@ -93,7 +93,7 @@ def scan_snapshot(spark: SparkSession, folder: str, data: str, *, start: bytes =
     """
     from cellstrata.sources.cellfiles import read_files
 
-    options = {"startKeyHex": bytes(start).hex(), "endKeyHex": bytes(end).hex(), "onError": on_error}
+    options = {"startKeyHex": bytes(start).hex(), "endKeyHex": bytes(end).hex(), "onError": on_error, "verbose": str(verbose).lower()}
     cells = read_files(store_files(spark, folder, data, start, end), **options)
     if raw:
         return algebra.row_range(cells, start, end)
