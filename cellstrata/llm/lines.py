@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cellstrata.runtime import cut, drop
 
-MIN_DOCS, MIN_TOKENS, DEPTH, SIMILAR = 3, 4, 3, 0.8
+MIN_DOCS, MIN_TOKENS, DEPTH, SIMILAR = 2, 4, 3, 0.8
 BITS, BATCH = 1 << 25, 500
 
 
