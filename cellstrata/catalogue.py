@@ -19,7 +19,7 @@ from cellstrata.functions import render
 from cellstrata.operators import algebra
 from cellstrata.plans import regions as plans
 from cellstrata.runtime import scratch_dir, ship
-from cellstrata.sources.cellfiles import enable_pushdown, read_files, register
+from cellstrata.sources.cellfiles import enable_pushdown, read_files, register, seek_files
 from cellstrata.sources.sink import write_store
 from cellstrata.sources.snapshots import in_scan_order, scan_snapshot, snapshot
 
@@ -407,6 +407,12 @@ def cellfile_range_pushdown(spark, d):
     return _texts(cells.where((F.col("row") >= F.lit(b"0000000100")) & (F.col("row") < F.lit(b"0000000900"))))
 
 
+@_query("cellfile_seek", f"with {_ORDER_SQL} select {_ORDER_ROWS} from oc where row_key >= '00000002055' order by row_key, qualifier limit 1")
+def cellfile_seek(spark, d):
+    """The first cell at or after a key that no row has, found by the files' indexes."""
+    return _texts(seek_files(spark, _written(spark, d, block_size=2048, fan_out=8), b"00000002055"))
+
+
 @_query("bloom_no_false_negative", "select count(*) n_rows, cast(0 as bigint) misses, true as few_false_hits from orders")
 def bloom_no_false_negative(spark, d):
     """Each file's filter is asked of its rows, where none may be missed, and of as many rows that are nowhere."""

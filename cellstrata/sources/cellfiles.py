@@ -7,7 +7,8 @@ opens nothing but its blocks. Both decode whole blocks to Arrow arrays in Python
 
 Options: startKey, endKey (UTF-8) or startKeyHex, endKeyHex; row or rowHex for one row, which
 skips files by their row bloom filter; columns (comma-separated; others come back empty);
-verify (checksums, true); onError (fail or skip the file); splitBytes; verbose (true
+verify (checksums, true); onError (fail or skip the file); splitBytes; seek (true reads only the
+blocks where a file's first cell at or after the start key can be); verbose (true
 logs requests of storage on the workers' standard error); pushdown (true takes
 the bounds from filters on ``row``, for which :func:`enable_pushdown` sets the session up).
 """
@@ -31,6 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from cellstrata.format import storage
 from cellstrata.format.errors import FormatError
 from cellstrata.format.reader import BLOOM_KEY, CellFile, block_columns
+from cellstrata.operators import algebra
 from cellstrata.runtime import ship
 from cellstrata.schema import CELL
 
@@ -53,6 +55,7 @@ class Bounds:
     skip_errors: bool = False
     split_bytes: int = 32 << 20
     verbose: bool = False
+    seek: bool = False
 
     @classmethod
     def of(cls, options: dict) -> Bounds:
@@ -60,7 +63,7 @@ class Bounds:
         key = lambda name: bytes.fromhex(o[name + "hex"]) if o.get(name + "hex") else o.get(name, "").encode()
         row = key("row") if "row" in o or "rowhex" in o else None
         columns = frozenset(c.strip() for c in o["columns"].split(",")) if o.get("columns") else None
-        return cls(key("startkey"), key("endkey"), row, columns, o.get("verify", "true") == "true", o.get("onerror", "fail") == "skip", int(o.get("splitbytes", 32 << 20)), o.get("verbose") == "true")
+        return cls(key("startkey"), key("endkey"), row, columns, o.get("verify", "true") == "true", o.get("onerror", "fail") == "skip", int(o.get("splitbytes", 32 << 20)), o.get("verbose") == "true", o.get("seek") == "true")
 
 
 def _row(key: bytes) -> bytes:
@@ -105,6 +108,8 @@ def plan(path: str, b: Bounds) -> Plan:
         start, end = max(start, b.row), min(end or b.row + b"\0", b.row + b"\0")
     lo = max(0, bisect.bisect_left(rows, start) - 1) if start else 0
     hi = bisect.bisect_left(rows, end) if end else len(rows)
+    if b.seek:  # the block that the start key falls in, or the first cell of the next one
+        hi = min(hi, lo + 2 if start else 1)
     return Plan(file.layout(), lo, [(o, n) for o, n, _ in blocks[lo:hi]])
 
 
@@ -294,6 +299,12 @@ def enable_pushdown(spark: SparkSession) -> SparkSession:
     return register(spark)
 
 
+def seek_files(spark: SparkSession, path: str, row: bytes, **options) -> DataFrame:
+    """The first cell at or after a row among the cell files below a path: their indexes tell the blocks to read, two a file."""
+    cells = register(spark).read.format("cellfile").options(startKeyHex=bytes(row).hex(), seek="true", **options).load(path)
+    return algebra.seek(cells, bytes(row))
+
+
 def read_files(files: DataFrame, **options) -> DataFrame:
     """Cells of the files listed by ``files``: (path, file_order, and any columns, which stay beside the cells).
 

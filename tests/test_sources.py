@@ -7,7 +7,7 @@ from cellstrata.format import storage
 from cellstrata.format.errors import FormatError
 from cellstrata.format.manifest import Description, Manifest, Region, StoreFile, read_manifest, write_manifest
 from cellstrata.sources import cellfiles
-from cellstrata.sources.cellfiles import Bounds, enable_pushdown, plan, read_files, register
+from cellstrata.sources.cellfiles import Bounds, enable_pushdown, plan, read_files, register, seek_files
 from cellstrata.sources.sink import write_store
 from cellstrata.sources.snapshots import scan_snapshot, snapshot
 
@@ -49,6 +49,15 @@ def test_bounds_prune_blocks(spark, store):
     assert [i for i, _ in runs] == [sum(len(own) for _, own in runs[:k]) for k in range(len(runs))]
 
 
+def test_seeks_read_two_blocks_a_file(spark, store):
+    files = storage.list_files(store)
+    for row in (b"", b"00000", b"00042", b"0004", b"000425", b"00199", b"1"):
+        bounds = Bounds(row, seek=True)
+        assert all(len(plan(f, bounds).blocks) <= 2 < len(plan(f, Bounds()).blocks) for f in files)
+        want = [k for k in (f"{i:05d}".encode() for i in range(200)) if k >= row][:1]
+        assert [bytes(r.row) for r in seek_files(spark, store, row, splitBytes="500").collect()] == want
+
+
 def test_pushdown(spark, store):
     df = enable_pushdown(spark).read.format("cellfile").option("pushdown", "true").load(store)
     assert keys(df.where((F.col("row") > F.lit(b"00100")) & (F.col("row") <= F.lit(b"00103")))) == ["00101", "00102", "00103"]
