@@ -20,7 +20,8 @@ back as it was.
 Defined results: null texts and roles are empty ones; a null tree id is a tree of its own;
 a node whose parent is missing is a root; a path that ends in a cycle reaches no root and is
 left out; a null node id takes no part; of several rows of one (tree, id) the first by parent,
-role, text and score counts, while ``linear`` gives every row an id of its own.
+role, text and score counts, while ``linear`` gives every row an id of its own; a very long text is
+escaped whole, by the task that has its conversation; an empty table gives an empty one.
 """
 
 from __future__ import annotations
