@@ -5,12 +5,14 @@ Remote reads go through a window of 4 MiB that is fetched anew only on a miss.
 
 from __future__ import annotations
 
+import contextlib
 import logging
 import os
 import posixpath
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 
 from cellstrata.format.errors import FormatError
@@ -123,16 +125,27 @@ def read_file(path: str) -> bytes | None:
         return f.readall()
 
 
-def write_file(path: str, data: bytes) -> None:
-    """Writes beside and renames, so a task that is run twice leaves one whole file."""
+@contextlib.contextmanager
+def writing(path: str) -> Iterator[pa.NativeFile]:
+    """A stream that is the file once it ends well: written beside and renamed, so a task that is run twice leaves one whole file."""
     fs, at = filesystem(path)
     fs.create_dir(posixpath.dirname(at), recursive=True)
     beside = f"{at}.{os.getpid()}.{time.time_ns()}.tmp"
-    with fs.open_output_stream(beside) as f:
-        f.write(data)
+    try:
+        with fs.open_output_stream(beside) as f:
+            yield f
+    except BaseException:
+        with contextlib.suppress(OSError):
+            fs.delete_file(beside)
+        raise
     fs.move(beside, at)
 
 
+def write_file(path: str, data: bytes) -> None:
+    with writing(path) as f:
+        f.write(data)
+
+
 def list_dir(path: str) -> list[str]:
     """Names of the files of one level."""
     fs, at = filesystem(path)
