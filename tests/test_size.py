@@ -72,3 +72,17 @@ def test_cells_come_in_pieces():
             again = CellFile(storage.InMemory(bytes(got)))
             assert list(again.scan()) == cells and len(again.bloom.chunks) == 7
             assert [read._block(o) for o, _, _ in read.data_blocks()] == [again._block(o) for o, _, _ in again.data_blocks()]
+
+
+def test_many_rows_are_asked_of_a_filter_at_once():
+    """Each chunk is read once, whatever the number of rows, and the answers are those for single rows."""
+    rows = [b"%04d" % i for i in range(900)]
+    held = storage.InMemory(write_cells([Cell(r, b"f", b"q", 1, 4, b"") for r in rows], row_bloom=True, keys_per_chunk=300))
+    file = CellFile(held)
+    asked = rows + [b"x" + r for r in rows] + [r[:-1] + b"y" + r[-1:] for r in rows] + [b"", b"0"]
+    one_by_one = [file.may_contain(r) for r in asked]
+    reads, read_at = [], held.read_at
+    held.read_at = lambda *a: reads.append(a) or read_at(*a)
+    got = file.may_contain_all(asked)
+    assert got.tolist() == one_by_one and all(got[:900]) and got[900:].sum() < 90
+    assert len(reads) == 2 * 3  # header and body of each
